@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op1_language_id
+from .lm_score import op3_lm_score
+from .packing import op6_best_fit_packing
+from .pii import op7_pii
 from .piece_bpe import op5_sentencepiece
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_score": op3_lm_score,
+    "op4_nearest": op4_nearest,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii": op7_pii,
+    "op9_warc": op9_warc,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op9_warc": OP9_SQL,
 }
