@@ -20,18 +20,18 @@ TABLES, PROJECTIONS, WIDTH, CELLS = 2, 6, 1.2, 4
 SUCCESS = 0.84
 #: Distinct vectors of an index shard, and of a block of queries, on average.
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4096
-#: Vectors of the bounded sample that the distance of neighbours is estimated on.
+#: Vectors of the bounded sample that the cosine of neighbours is estimated on.
 SAMPLE = 2048
 SEED = 11
 
 
 @dataclass
 class Hasher:
-    """Projections with Gaussian (2-stable) entries on unit vectors, offsets, and the neighbour distance."""
+    """Projections with Gaussian (2-stable) entries on unit vectors, offsets, and the neighbours' cosine."""
 
     directions: np.ndarray
     shifts: np.ndarray
-    spread: float
+    cosine: float
 
     def places(self, unit: np.ndarray) -> np.ndarray:
         """``[row, table, projection]`` in units of a cell, from the first cell's start."""
@@ -47,13 +47,14 @@ class Hasher:
     def probes(self, unit: np.ndarray) -> np.ndarray:
         """``[row, table, bucket]``: whether the bucket is among those visited.
 
-        The chance that a neighbour lies in a cell is that of a normal deviation of the
-        neighbour distance between the cell's edges; a bucket's is the product over projections.
+        A unit vector at cosine c of one whose projection is x projects to a normal value of mean
+        c x and variance 1 - c^2, which gives the chance of each cell; a bucket's is the product
+        over projections.
         Buckets are visited from the most likely one until their chances sum to ``SUCCESS``.
         """
-        places = self.places(unit)
-        edges = np.arange(1, CELLS)
-        below = _normal_cdf((edges - places[..., None]) * WIDTH / self.spread)
+        projected = np.einsum("nd,tpd->ntp", unit, self.directions)[..., None]
+        edges = (np.arange(1, CELLS) - CELLS / 2) * WIDTH - self.shifts[..., None]
+        below = _normal_cdf((edges - self.cosine * projected) / math.sqrt(1 - self.cosine**2))
         chance = np.diff(below, axis=-1, prepend=0.0, append=1.0)
         joint = chance[:, :, 0]
         for p in range(1, PROJECTIONS):
@@ -75,23 +76,21 @@ def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, (1 - e) / 2, (1 + e) / 2)
 
 
-def new_hasher(dimension: int, spread: float, seed: int = SEED) -> Hasher:
+def new_hasher(dimension: int, cosine: float, seed: int = SEED) -> Hasher:
     rng = np.random.default_rng([seed, dimension])
-    return Hasher(rng.normal(size=(TABLES, PROJECTIONS, dimension)), rng.uniform(-WIDTH / 2, WIDTH / 2, (TABLES, PROJECTIONS)), spread)
+    return Hasher(rng.normal(size=(TABLES, PROJECTIONS, dimension)), rng.uniform(-WIDTH / 2, WIDTH / 2, (TABLES, PROJECTIONS)), cosine)
 
 
-def neighbour_distance(unit: np.ndarray, k: int = 5) -> float:
-    """Median distance to the k-th nearest other vector of a sample.
+def neighbour_cosine(unit: np.ndarray, k: int = 5) -> float:
+    """Median cosine of the k-th nearest other vector of a sample.
 
     Neighbours among all vectors are nearer than those in a sample, so the estimate errs to
     the side of more buckets.
     """
     if len(unit) < 2:
-        return 1.0
-    some = unit[: min(len(unit), 256)]
-    near = np.sort(some @ unit.T, axis=1)[:, ::-1]
-    cosine = near[:, min(k, len(unit) - 1)]
-    return max(0.05, float(np.sqrt(np.maximum(0, 2 - 2 * np.median(cosine)))))
+        return 0.0
+    near = np.sort(unit[:256] @ unit.T, axis=1)[:, ::-1]
+    return float(np.clip(np.median(near[:, min(k, len(unit) - 1)]), 0.0, 0.95))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -166,7 +165,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         by_size.setdefault(row["size"], []).append(row["vector"])
     for size, some in by_size.items():
         unit = np.array(some, float)
-        hashers[size] = new_hasher(size, neighbour_distance(unit / np.sqrt((unit * unit).sum(1, keepdims=True)), k))
+        hashers[size] = new_hasher(size, neighbour_cosine(unit / np.sqrt((unit * unit).sum(1, keepdims=True)), k))
     shared = spark.sparkContext.broadcast(hashers)
 
     shards = max(1, -(-entries.count() // SHARD_ROWS))
