@@ -7,6 +7,7 @@ is more like the target than like the whole corpus scores above zero (Moore and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -60,11 +61,14 @@ class CountModel:
 
 def _fold(texts: pa.Array) -> np.ndarray:
     """0 or 1 from a hash of the text, so that copies of a text lie in one fold."""
-    import zlib
-
     return np.array([zlib.crc32(t.as_buffer()) & 1 if t.is_valid else 0 for t in texts.cast(pa.binary())], np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Mostly zeros and small numbers: a fast compression takes little."""
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
 def _counts(labelled: DataFrame) -> np.ndarray:
     """``[all in fold 0, all in fold 1, target in fold 0, target in fold 1][slot]`` of ``text, target`` rows."""
     sizes = (WORD_SLOTS, WORD_SLOTS, PAIR_SLOTS)
@@ -84,24 +88,23 @@ def _counts(labelled: DataFrame) -> np.ndarray:
                     if k >= 2:
                         total[k] += own
         if total.any():
-            rows = [(at // CHUNK, total[:, at : at + CHUNK].astype("<i4").tobytes()) for at in range(0, begins[-1], CHUNK)]
+            rows = [(at // CHUNK, _packed(own)) for at in range(0, begins[-1], CHUNK) if (own := total[:, at : at + CHUNK]).any()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(4 * CHUNK, np.int64)
         for batch in parts:
-            width = 4 if key[-1].as_py() == 0 else 8
             for row in batch.column(batch.schema.get_field_index("counts")):
-                total += np.frombuffer(row.as_buffer(), f"<i{width}")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["chunk", "counts"])
+                total += np.frombuffer(zlib.decompress(row.as_buffer()), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(total)], pa.binary())], ["chunk", "counts"])
 
     # Sums of a few tasks each, then sums of those: no task adds up more than a share of all rows.
-    parts = labelled.mapInArrow(count, "chunk int, counts binary").withColumn("part", F.spark_partition_id() % 64).withColumn("level", F.lit(0))
-    some = parts.groupBy("chunk", "part", "level").applyInArrow(add, "chunk int, counts binary").withColumn("level", F.lit(1))
+    parts = labelled.mapInArrow(count, "chunk int, counts binary").withColumn("part", F.spark_partition_id() % 64)
+    some = parts.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary")
     out = np.zeros((4, begins[-1]), np.int64)
-    for row in some.groupBy("chunk", "level").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
+    for row in some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
         at = row["chunk"] * CHUNK
-        out[:, at : at + CHUNK] = np.frombuffer(row["counts"], "<i8").reshape(4, CHUNK)
+        out[:, at : at + CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), "<i8").reshape(4, CHUNK)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .jaccard_join import op10_jaccard_join
 from .language_id import op1_language_id
 from .lm_score import op3_lm_score
 from .packing import op6_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
     "op9_warc": op9_warc,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES = {
