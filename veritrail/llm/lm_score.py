@@ -117,7 +117,7 @@ def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     tokens, so that smoothing weighs as much in both. The driver gets 32 bytes a slot.
     """
     good = targets.select(F.col(id_col).alias("__id"), F.lit(True).alias("__target")).distinct()
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(good, "__id", "left")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(good.hint("merge"), "__id", "left")
     counts = _counts(rows.select("text", F.coalesce("__target", F.lit(False)).alias("target"))).astype(float)
 
     def model(c: np.ndarray, tokens: float) -> CountModel:
