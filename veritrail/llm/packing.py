@@ -6,15 +6,15 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import steps
+from .arrowtext import Memory, steps
 from .scratch import cut, table
 
 #: Words that a worker remembers at most.
@@ -22,15 +22,27 @@ REMEMBERED = 400_000
 #: Pieces that are packed together at most on average; a shard leaves about one sequence half full.
 SHARD_PIECES = 8192
 #: Where Python and the tokenizer differ on what is white space, or words might not stand alone.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f᠎​-‍﻿]")
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Words on whose letters, digits and lower case Python and the tokenizer agree without normalisation.
+_LATIN = re.compile("[!-~¡-¬®-ÖØ-įĲ-ňŊ-ž]+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _SEPARATOR = "<|endoftext|>"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte: itself if it is one, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, from the ids of their words.
 
-    Words unknown so far are encoded together in one call, set apart by a special token.
+    New words in Latin letters are cut into the tokenizer's parts, whose ids its merges give;
+    other new words are encoded together in one call, set apart by a special token.
     """
 
     def __init__(self, path: str):
@@ -39,18 +51,27 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-        self.words: dict[str, bytes] = {}
+        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.letters = _byte_letters()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; null counts as empty."""
-        words = [[] if not t or _ODD.search(t) or "<|" in t else t.split() for t in texts]
-        fresh = list(set().union(*words).difference(self.words)) if words else []
+    def _latin(self, words: list[str]) -> dict[str, bytes]:
+        cut = [_ASCII_PARTS.findall(w.lower()) if w.isascii() else _PARTS.findall(w.lower()) for w in words]
+        model, letters = self.tokenizer.model, self.letters
+        learned = {}
+        for p in set().union(*cut).difference(self.parts):
+            shown = p if p.isascii() else "".join([letters[b] for b in p.encode()])
+            learned[p] = np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
+        self.parts.learn(learned)
+        known = self.parts
+        return {w: known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for w, own in zip(words, cut)}
+
+    def _other(self, words: list[str]) -> dict[str, bytes]:
         learned: dict[str, bytes] = {}
-        for i in range(0, len(fresh), 50_000):
-            some = fresh[i : i + 50_000]
+        for i in range(0, len(words), 50_000):
+            some = words[i : i + 50_000]
             ids = self._ids(_SEPARATOR.join(some))
             ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
             if len(ends) != len(some):
@@ -59,16 +80,17 @@ class WordTokenizer:
             for w, end in zip(some, ends):
                 learned[w] = ids[start:end].tobytes()
                 start = end + 1
-        room = REMEMBERED - len(self.words)
-        if room > 0:
-            self.words.update(islice(learned.items(), room))
-        known, out = self.words, []
-        for t, own in zip(texts, words):
-            if own:
-                out.append(b"".join([known[w] if w in known else learned[w] for w in own]))
-            else:
-                out.append(self._ids(t).tobytes() if t else b"")
-        return out
+        return learned
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; null counts as empty."""
+        words = [[] if not t or _ODD.search(t) or "<|" in t else t.split() for t in texts]
+        fresh = list(set().union(*words).difference(self.words)) if words else []
+        latin = [w for w in fresh if _LATIN.fullmatch(w)]
+        other = list(set(fresh).difference(latin)) if len(latin) < len(fresh) else []
+        self.words.learn((self._latin(latin) if latin else {}) | (self._other(other) if other else {}))
+        known = self.words
+        return [b"".join([known[w] for w in own]) if own else self._ids(t).tobytes() if t else b"" for t, own in zip(texts, words)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
