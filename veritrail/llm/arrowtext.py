@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,3 +38,25 @@ def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) ->
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for start, end in zip(cuts, cuts[1:]):
         yield batch.slice(start, end - start)
+
+
+class Memory(dict):
+    """What a worker remembers, up to a bound, with an overflow that lasts for one call."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+        self.overflow: dict = {}
+
+    def __missing__(self, key):
+        return self.overflow[key]
+
+    def learn(self, learned: dict) -> None:
+        """Takes entries as long as there is room; the rest can be looked up until the next call."""
+        room = self.most - len(self)
+        if len(learned) <= room:
+            self.update(learned)
+            self.overflow = {}
+        else:
+            self.update(islice(learned.items(), max(0, room)))
+            self.overflow = learned

@@ -18,6 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import Memory
 from .scratch import table
 
 _SPACE = "▁"
@@ -200,23 +201,12 @@ def encode_words(model: PieceModel, words: list[str]) -> list[list[int]]:
     return out
 
 
-class _Both(dict):
-    """Looks first among the new words, then in the memory."""
-
-    def __init__(self, known: dict, learned: dict):
-        super().__init__(learned)
-        self.known = known
-
-    def __missing__(self, key: str):
-        return self.known[key]
-
-
 class Encoder:
     """Encodes texts word by word and remembers words between calls, up to a bound."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.words = Memory(REMEMBERED)
         raw = [b"" if k in (2, 3) else bytes([int(p[3:5], 16)]) if k == 6 else p.replace(_SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds.tolist())]
         self.raw = raw
 
@@ -231,7 +221,7 @@ class Encoder:
             words = [w[1:] for w in _WORD.findall(" " + text)]
         return words
 
-    def look_up(self, texts: list[list[str]]) -> dict[str, tuple[int, str, bytes]]:
+    def look_up(self, texts: list[list[str]]) -> Memory:
         """Number of ids, the ids joined by commas and the decoded bytes of all words of the texts.
 
         The memory takes the words that come first, up to its bound; later ones are merged anew.
@@ -243,10 +233,8 @@ class Encoder:
             some = fresh[i : i + WORDS]
             for w, ids in zip(some, encode_words(self.model, [_SPACE + w.replace(" ", _SPACE) for w in some])):
                 learned[w] = (len(ids), ",".join(map(str, ids)), b"".join([self.raw[t] for t in ids]))
-        if len(known) + len(learned) <= REMEMBERED:
-            known.update(learned)
-            return known
-        return _Both(known, learned)
+        known.learn(learned)
+        return known
 
 
 def encode(model: PieceModel, text: str | None) -> list[int]:

@@ -10,6 +10,7 @@ from .lm_score import op3_lm_score
 from .packing import op6_best_fit_packing
 from .pii import op7_pii
 from .piece_bpe import op5_sentencepiece
+from .suffix_dedup import op8_suffix_dedup
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
