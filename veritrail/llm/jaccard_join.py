@@ -5,8 +5,8 @@ number of shingles (T), also within prefixes of a global order; this finds the f
 that can have a partner at all. Those are gathered by a shingle they share, and each group is
 searched with an inverted index by DivideSkip: short lists are merged, long ones are probed,
 and documents that reach the required overlap are linked. What remains between groups is
-counted over the short lists of shared prefix shingles, with room for the long ones, and every
-pair that can still reach T is verified.
+counted over the short lists of shared shingles, with room for the long ones, and every pair
+that can still reach T is verified.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from bisect import bisect_left
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,14 +64,13 @@ def prefix_size(n):
 # --- search ------------------------------------------------------------------------------
 
 
-def merge_counts(lists: list[list[int]], least: int) -> dict[int, int]:
-    """Members of at least ``least`` of the ascending lists, with their number of lists."""
-    total = sum(map(len, lists))
-    if total > 2000:
-        members, counts = np.unique(np.concatenate([np.asarray(x) for x in lists]), return_counts=True)
-        keep = counts >= least
-        return dict(zip(members[keep].tolist(), counts[keep].tolist()))
-    out: dict[int, int] = {}
+def merge_counts(lists: list[array], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of at least ``least`` of the ascending lists, and in how many they are."""
+    if sum(map(len, lists)) > 500:
+        counts = np.bincount(np.concatenate([np.frombuffer(x, np.int64) for x in lists]))
+        members = np.flatnonzero(counts >= least)
+        return members, counts[members]
+    members, counts = [], []
     heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
     heapq.heapify(heap)
     while heap:
@@ -83,30 +83,30 @@ def merge_counts(lists: list[list[int]], least: int) -> dict[int, int]:
             else:
                 heapq.heappop(heap)
         if count >= least:
-            out[member] = count
-    return out
+            members.append(member)
+            counts.append(count)
+    return np.array(members, np.int64), np.array(counts, np.int64)
 
 
-def divide_skip(index: dict[int, list[int]], query: list[int], least: int) -> dict[int, int]:
+def divide_skip(index: dict[int, array], query: list[int], least: int) -> dict[int, int]:
     """Documents of the index that share at least ``least`` shingles with the query, and how many."""
     lists = [index[t] for t in query if t in index]
     if len(lists) < least or least < 1:
         return {}
     lists.sort(key=len)
-    aside = min(least - 1, int(least / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
-    if len(lists[-1]) <= 4:
-        aside = 0
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    out = {}
-    for member, count in merge_counts(short, least - aside).items():
-        for k, own in enumerate(long):
-            if count + len(long) - k < least:
-                break
-            place = bisect_left(own, member)
-            count += place < len(own) and own[place] == member
-        if count >= least:
-            out[member] = count
-    return out
+    aside = min(least - 1, int(least / (0.01 * math.log2(len(lists[-1]) + 1) + 1))) if len(lists[-1]) > 4 else 0
+    members, counts = merge_counts(lists[: len(lists) - aside], least - aside)
+    for k in range(len(lists) - aside, len(lists)):
+        if not len(members):
+            break
+        own = np.frombuffer(lists[k], np.int64)
+        at = np.searchsorted(own, members)
+        at[at == len(own)] = 0
+        counts = counts + (own[at] == members)
+        keep = counts + (len(lists) - k - 1) >= least
+        if not keep.all():
+            members, counts = members[keep], counts[keep]
+    return dict(zip(members.tolist(), counts.tolist()))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -120,9 +120,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def link_groups(sets: list[np.ndarray]) -> list[int]:
+def link_groups(sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
     """For each set the place of the first set of its component; links are exact. Sets come by size.
 
+    ``known`` labels sets that are in one component already.
+
     Pairs inside a component need no test. So the largest component has an index of its own,
     which is searched only for sets that don't link to one of its last members at once: a
     group of thousands of near copies takes about one test for each.
@@ -145,12 +147,16 @@ def link_groups(sets: list[np.ndarray]) -> list[int]:
     members = [1] * len(sets)
     large: int | None = None
     recent: list[int] = []
-    indexes: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+    indexes: tuple[dict[int, array], dict[int, array]] = ({}, {})
+    seen: dict[int, int] = {}
     for i, own in enumerate(sets):
         n, query = len(own), own.tolist()
         inside = False
+        if known is not None:
+            join(i, seen.setdefault(known[i], i))
         if large is not None:
-            for j in recent:
+            inside = root(i) == root(large)
+            for j in [] if inside else recent:
                 if overlap(own, sets[j]) >= required_overlap(n, len(sets[j])):
                     join(i, j)
                     inside = True
@@ -163,9 +169,8 @@ def link_groups(sets: list[np.ndarray]) -> list[int]:
         if members[top] >= 16 and (large is None or root(large) == top or members[top] > members[root(large)]):
             if large is None or root(large) != top:
                 # Another component leads: only its later members go to the second index.
-                for t, own_list in indexes[1].items():
-                    indexes[0].setdefault(t, []).extend(own_list)
-                    indexes[0][t].sort()
+                for t, places in indexes[1].items():
+                    indexes[0][t] = array("q", sorted([*indexes[0].get(t, ()), *places]))
                 indexes[1].clear()
                 recent = []
             large = top
@@ -174,7 +179,10 @@ def link_groups(sets: list[np.ndarray]) -> list[int]:
             recent = [i, *recent[:2]]
         target = indexes[1] if is_large else indexes[0]
         for t in query:
-            target.setdefault(t, []).append(i)
+            if t in target:
+                target[t].append(i)
+            else:
+                target[t] = array("q", (i,))
     return [root(i) for i in range(len(sets))]
 
 
@@ -260,15 +268,24 @@ def _mark_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``cid, n, home, tokens`` of documents that can have a partner."""
+    """``cid, n, tokens`` of rows ``cid, hi, text`` whose set has the digest ``hi``."""
     for batch in batches:
         for part in steps(batch):
             values, bounds = _sets(part)
-            his = part.column(part.schema.get_field_index("hi")).to_pylist()
+            his = part.column(1).to_pylist()
             keep = [i for i in range(part.num_rows) if _digest(values[bounds[i] : bounds[i + 1]])[0] == his[i]]
-            chosen = part.take(pa.array(keep, pa.int64()))
             tokens = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())
-            yield pa.RecordBatch.from_arrays([chosen.column(chosen.schema.get_field_index("cid")), pa.array(np.diff(bounds)[keep]), chosen.column(chosen.schema.get_field_index("home")), tokens], ["cid", "n", "home", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(np.diff(bounds)[keep]), tokens], ["cid", "n", "tokens"])
+
+
+def _set_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, hi`` of every member of the sets ``cid, tokens``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            sizes = np.asarray(pc.binary_length(part.column(1))).astype(np.int64) // 8
+            tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(np.asarray(part.column(0)), sizes))], ["token", "hi"])
 
 
 def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +314,42 @@ def _search(sets: DataFrame) -> DataFrame:
     return found.join(dealt.select("cid", "home", "part"), "cid")
 
 
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b``: known components that link, from rows ``family, block, n, cid, comp, tokens`` sorted by the first four."""
+    for block, bounds in whole_groups(batches, 2, rows=2000):
+        comps = block.column(4).to_pylist()
+        pairs = set()
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = comps[a:b]
+            if len(set(own)) > 1:
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in block.column(5).slice(a, b - a)]
+                pairs |= {(own[i], own[r]) for i, r in enumerate(link_groups(sets, own)) if own[i] != own[r]}
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _long_links(member: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """``a, b``: components that link though their documents may share long lists only.
+
+    Both documents of such a pair have enough shingles on long lists to reach the threshold.
+    Those documents are gathered in families, joined by the long lists on which more than one
+    component is left, and each family is searched. A family of more shingles than a group may
+    have is dealt into parts, and every two parts are searched together in a task of their own.
+    """
+    held = member.where("many >= least").select("cid", "comp", F.explode("long").alias("token"))
+    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cid").alias("b")).where("low <> high").select("token", "b")
+    edges = cut(held.join(mixed, "token").select(F.col("cid").alias("a"), "b").where("a <> b").distinct(), "families")
+    if not edges.head(1):
+        return None
+    family = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    rows = cut(sets.select("cid", "n", "tokens").join(family, "cid").join(member.select("cid", "comp"), "cid"), "family-sets")
+    parts = rows.groupBy("family").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
+    dealt = rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("family", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("block"), "n", "cid", "comp", "tokens")
+    sorted_blocks = blocks.repartition(_width(member.sparkSession), "family", "block").sortWithinPartitions("family", "block", "n", "cid")
+    return sorted_blocks.mapInArrow(_search_blocks, "a long, b long")
+
+
 def _width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -348,6 +401,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``a, b`` pairs whose sets reach the threshold."""
+    tokens = sets.select("cid", "tokens")
+    both = pairs.join(tokens.toDF("a", "a_tokens"), "a").join(tokens.toDF("b", "b_tokens"), "b")
+    return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify, "a long, b long")
+
+
+def _merge_leaders(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """``member`` with components joined whose first documents link and share long lists.
+
+    Groups of very many near copies fall into several components, as not all copies hold the
+    shingle that gathers most of them. On every long list the first document of the component
+    with most of its documents is tested against those of the others: a number of tests that
+    grows with the components, where pairs across them would grow with the square of the group.
+    Only tests are saved; what is not joined here is searched for as before.
+    """
+    for _ in range(2):
+        held = member.where("many >= least").select("comp", F.explode("long").alias("token")).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("docs"))
+        held = cut(held, "held")
+        most = held.groupBy("token").agg(F.max_by("comp", F.struct("docs", "comp")).alias("a"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "a")
+        star = held.join(most, "token").where("comp <> a").groupBy("a", F.col("comp").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        size = member.where("cid = comp").select("cid", "least")
+        star = star.join(size.toDF("a", "a_least"), "a").join(size.toDF("b", "b_least"), "b").where("2 * shared >= least(a_least, b_least)").select("a", "b")
+        edges = cut(_verified(star, sets), "leaders")
+        if not edges.head(1):
+            break
+        top = connected_components(edges)
+        member = cut(member.join(top, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"), "member")
+    return member
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
@@ -366,15 +450,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Documents of whose prefix enough shingles have another owner.
     postings = texts.select("text").mapInArrow(_postings, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
+    shared = postings.mapInArrow(_mark_shared, "hi long, token long, long boolean").groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
+    prefixed = shared.join(classes, "hi").where(f"shared >= {_sql_prefix_common(_sql_least_share('n'))}").select("cid", "hi")
+    wanted = texts.join(prefixed.hint("merge"), F.col("doc_id") == F.col("cid")).select("cid", "hi", "text")
+    sets = cut(wanted.mapInArrow(_set_rows, "cid long, n long, tokens binary").dropDuplicates(["cid"]), "sets")
+
+    # Of these, documents of whose whole set enough shingles have another owner among them.
+    postings = sets.select("cid", "tokens").mapInArrow(_set_postings, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
     shared = postings.mapInArrow(_mark_shared, "hi long, token long, long boolean")
-    listed = shared.groupBy("hi").agg(F.collect_list(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_list(F.when(F.col("long"), F.col("token"))).alias("long"))
-    least = f"({_sql_prefix_common(_sql_least_share('n'))})"
-    live = listed.join(classes, "hi").where(f"size(short) + size(long) >= {least}")
-    live = cut(live.select("cid", "hi", "n", "short", "long", F.coalesce(F.array_min("short"), F.array_min("long")).alias("home")), "live")
+    listed = shared.groupBy(F.col("hi").alias("cid")).agg(F.collect_list(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_list(F.when(F.col("long"), F.col("token"))).alias("long"))
+    live = listed.join(sets.select("cid", "n"), "cid").where(f"size(short) + size(long) >= {_sql_least_share('n')}")
+    live = cut(live.withColumn("home", F.coalesce(F.array_min("short"), F.array_min("long"))), "live")
+    sets = cut(sets.join(live.select("cid", "home"), "cid"), "live-sets")
 
     # Search within groups of a common shingle.
-    wanted = texts.join(live.select("cid", "hi", "home"), F.col("doc_id") == F.col("cid")).select("cid", "hi", "home", "text")
-    sets = cut(wanted.mapInArrow(_set_rows, "cid long, n long, home long, tokens binary").dropDuplicates(["cid"]), "sets")
     found = cut(_search(sets), "found")
     split = found.where("part > 0").select("home").distinct()
     if split.head(1):
@@ -384,24 +473,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = cut(found.join(merged, "comp", "left").select("cid", F.coalesce("head", "comp").alias("comp"), "home", "part"), "found")
 
     # Pairs across groups that can still reach the threshold.
-    member = live.join(found.drop("home"), "cid").withColumns({"many": F.size("long"), "common": F.expr(_sql_prefix_common("n")), "least": F.expr(least)})
-    member = cut(member, "member")
+    member = live.join(found.drop("home"), "cid").withColumns({"many": F.size("long"), "least": F.expr(_sql_least_share("n"))})
+    member = _merge_leaders(cut(member, "member"), sets)
     columns = ("token", "cid", "n", "comp", "home", "part")
     by_token = lambda rows: rows.repartition(width, "token").sortWithinPartitions("token", "comp", "cid").mapInArrow(_cross_pairs, "x long, y long")
     short = by_token(member.withColumn("token", F.explode("short")).select(*columns))
-    long = member.where("many >= least").withColumn("token", F.explode("long")).select(*columns)
-    mixed = long.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    long = by_token(long.join(mixed, "token", "left_semi").select(*columns))
-    size = member.select("cid", "common", "many")
-    counted = short.withColumn("kind", F.lit(0)).unionByName(long.withColumn("kind", F.lit(1))).groupBy("x", "y").agg(F.count_if(F.col("kind") == 0).alias("few"), F.count_if(F.col("kind") == 1).alias("lots"))
-    sized = counted.join(size.toDF("x", "x_common", "x_many"), "x").join(size.toDF("y", "y_common", "y_many"), "y")
-    possible = cut(sized.where("few + least(x_many, y_many) >= least(x_common, y_common) AND (few > 0 OR lots >= least(x_common, y_common))").select(F.col("x").alias("a"), F.col("y").alias("b")), "possible")
-    tokens = sets.select("cid", "tokens")
-    both = possible.join(tokens.toDF("a", "x_tokens"), "a").join(tokens.toDF("b", "y_tokens"), "b").select("a", "b", "x_tokens", "y_tokens")
-    links = both.mapInArrow(_verify, "a long, b long")
-    comp = found.select("cid", "comp")
-    edges = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
-    edges = cut(edges, "links")
+    size = member.select("cid", "n", "many")
+    counted = short.groupBy("x", "y").agg(F.count(F.lit(1)).alias("few"))
+    sized = counted.join(size.toDF("x", "x_n", "x_many"), "x").join(size.toDF("y", "y_n", "y_many"), "y")
+    needed = f"({PERCENT} * (x_n + y_n) + {99 + PERCENT}) div {100 + PERCENT}"
+    possible = cut(sized.where(f"few + least(x_many, y_many) >= {needed}").select(F.col("x").alias("a"), F.col("y").alias("b")), "possible")
+    comp = member.select("cid", "comp")
+    edges = _verified(possible, sets).join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    long = _long_links(member, sets)
+    edges = cut((edges if long is None else edges.unionByName(long)).where("a <> b").distinct(), "links")
     if edges.head(1):
         top = connected_components(edges)
         comp = comp.join(top, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
