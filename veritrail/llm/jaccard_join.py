@@ -226,10 +226,11 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "hi"])
 
 
-def _mark_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``hi, token, long`` of sorted postings whose token has two owners at least.
+def mark_shared(batches: Iterator[pa.RecordBatch], limit: int = LONG_LIST) -> Iterator[pa.RecordBatch]:
+    """``hi, token, long`` of sorted postings ``token, hi`` whose token has two owners at least.
 
-    Needs no more of a list than shows that it is long; the rest of it streams through.
+    ``long`` are those with over ``limit``. Needs no more of a list than shows that it is long;
+    the rest of it streams through.
     """
     token, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
     previous: tuple | None = None
@@ -252,7 +253,7 @@ def _mark_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
         flowing = token[starts] == streaming if streaming is not None else np.zeros(len(starts), bool)
-        long = flowing | (sizes > LONG_LIST)
+        long = flowing | (sizes > limit)
         out = long | (sizes > 1)
         if not long[-1]:
             out[-1] = False
@@ -450,14 +451,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Documents of whose prefix enough shingles have another owner.
     postings = texts.select("text").mapInArrow(_postings, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
-    shared = postings.mapInArrow(_mark_shared, "hi long, token long, long boolean").groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
+    shared = postings.mapInArrow(mark_shared, "hi long, token long, long boolean").groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
     prefixed = shared.join(classes, "hi").where(f"shared >= {_sql_prefix_common(_sql_least_share('n'))}").select("cid", "hi")
     wanted = texts.join(prefixed.hint("merge"), F.col("doc_id") == F.col("cid")).select("cid", "hi", "text")
     sets = cut(wanted.mapInArrow(_set_rows, "cid long, n long, tokens binary").dropDuplicates(["cid"]), "sets")
 
     # Of these, documents of whose whole set enough shingles have another owner among them.
     postings = sets.select("cid", "tokens").mapInArrow(_set_postings, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
-    shared = postings.mapInArrow(_mark_shared, "hi long, token long, long boolean")
+    shared = postings.mapInArrow(mark_shared, "hi long, token long, long boolean")
     listed = shared.groupBy(F.col("hi").alias("cid")).agg(F.collect_list(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_list(F.when(F.col("long"), F.col("token"))).alias("long"))
     live = listed.join(sets.select("cid", "n"), "cid").where(f"size(short) + size(long) >= {_sql_least_share('n')}")
     live = cut(live.withColumn("home", F.coalesce(F.array_min("short"), F.array_min("long"))), "live")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import flat_utf8, steps
-from .jaccard_join import _mark_shared, _width
+from .jaccard_join import _width, mark_shared
 from .scratch import cut, table
 from .shingles import mix
 from .streams import whole_groups
@@ -29,6 +29,8 @@ LENGTH = 100
 ANCHOR = 32
 #: Text bytes of one vectorised step.
 STEP = 1 << 21
+#: Anchors of more texts are long lists, whose contexts are dealt into parts; documents of a part, on average.
+LONG_LIST, PART_DOCS = 4096, 16_384
 _PLACE_BITS = np.uint64(28)
 
 
@@ -196,46 +198,97 @@ def string_buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return starts, pointer[starts]
 
 
-def later_copies(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Starts, ascending, of the strings of ``LENGTH`` bytes of which an equal one starts at a smaller place."""
-    starts, bucket = string_buckets(data, bounds)
-    order = np.lexsort((starts, bucket))
-    again = np.zeros(len(order), bool)
-    again[1:] = bucket[order[1:]] == bucket[order[:-1]]
-    return np.sort(starts[order[again]])
+def _runs(found: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of neighbouring starts in one row."""
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1] + 1) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(found)) - 1
+
+
+def _refine_block(block: pa.RecordBatch, bounds: np.ndarray, column: int, firsts: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None]:
+    """Spans ``doc_id, start, end`` of later copies in a block of groups, and, if asked, the first copies ``doc_id, start, digest``.
+
+    From ``column`` on stand doc_id, start and context, in that order in each group. A context
+    that equals an earlier one of its group is a copy as a whole; only others are refined, and
+    only where a group has several.
+    """
+    contexts = block.column(column + 2).to_pylist()
+    starts, docs = np.asarray(block.column(column + 1)), block.column(column)
+    whole, chosen = [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        seen: set[bytes] = set()
+        own = []
+        for i in range(a, b):
+            if contexts[i] in seen:
+                whole.append(i)
+            else:
+                seen.add(contexts[i])
+                own.append(i)
+        if len(own) > 1 or firsts:
+            chosen += own
+    row, begin, end = [np.array(whole, np.int64)], [starts[whole]], [starts[whole] + np.array([len(contexts[i]) for i in whole], np.int64)]
+    first_copies = None
+    if chosen:
+        sizes = np.array([len(contexts[i]) for i in chosen])
+        limits = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.frombuffer(b"".join([contexts[i] for i in chosen]), np.uint8)
+        chosen = np.array(chosen)
+        places, bucket = string_buckets(data, limits)
+        order = np.lexsort((places, bucket))
+        again = np.zeros(len(order), bool)
+        again[1:] = bucket[order[1:]] == bucket[order[:-1]]
+        found = np.sort(places[order[again]])
+        if len(found):
+            r = np.searchsorted(limits, found, "right") - 1
+            first, last = _runs(found, r)
+            base = starts[chosen[r[first]]] - limits[r[first]]
+            row.append(chosen[r[first]])
+            begin.append(found[first] + base)
+            end.append(found[last] + base + LENGTH)
+        if firsts:
+            places = np.sort(places[order[~again]])
+            r = np.searchsorted(limits, places, "right") - 1
+            raw = data.tobytes()
+            digests = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in places.tolist()]
+            first_copies = pa.RecordBatch.from_arrays([docs.take(pa.array(chosen[r])), pa.array(places - limits[r] + starts[chosen[r]]), pa.array(digests, pa.binary())], ["doc_id", "start", "digest"])
+    row = np.concatenate(row)
+    spans = pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(np.concatenate(begin)), pa.array(np.concatenate(end))], ["doc_id", "start", "end"]) if len(row) else None
+    return spans, first_copies
 
 
 def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, start, end``: bytes to remove, from rows ``token, doc_id, start, context`` sorted by the first three."""
-    for block, _ in whole_groups(batches, 1, rows=6000):
-        contexts = block.column(3)
-        sizes = np.asarray(pc.binary_length(contexts)).astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        data = np.frombuffer(b"".join(contexts.to_pylist()), np.uint8)
-        found = later_copies(data, bounds)
-        if not len(found):
-            continue
-        row = np.searchsorted(bounds, found, "right") - 1
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1] + 1) | (row[1:] != row[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(found)) - 1
-        base = np.asarray(block.column(2))[row[first]] - bounds[row[first]]
-        yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(row[first])), pa.array(found[first] + base), pa.array(found[last] + base + LENGTH)], ["doc_id", "start", "end"])
-
-
-def _long_spans(contexts: DataFrame) -> DataFrame:
-    """``doc_id, start, end`` for anchors with very many places: strings are compared by digest.
-
-    Such lists are not brought together. The first place of each string comes from an aggregate
-    with map-side combining, and the join back is one that Spark splits where it is skewed.
+    """Spans of rows ``token, doc_id, start, context`` sorted by the first three."""
+    for block, bounds in whole_groups(batches, 1, rows=6000):
+        spans, _ = _refine_block(block, bounds, 1, False)
+        if spans is not None:
+            yield spans
+
+
+def _refine_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, and first copies with their digest, of rows ``token, part, doc_id, start, context`` sorted by the first four."""
+    for block, bounds in whole_groups(batches, 2, rows=6000):
+        spans, first = _refine_block(block, bounds, 2, True)
+        if spans is not None:
+            yield pa.RecordBatch.from_arrays([*spans.columns, pa.nulls(spans.num_rows, pa.binary())], ["doc_id", "start", "end", "digest"])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([first.column(0), first.column(1), pc.add(first.column(1), LENGTH), first.column(2)], ["doc_id", "start", "end", "digest"])
+
+
+def _long_spans(contexts: DataFrame, parts: int) -> DataFrame:
+    """``doc_id, start, end`` for anchors with very many places.
+
+    Their contexts are dealt into parts by document, and each part is refined by itself. What
+    is first in its part is then compared between parts by its digest: the first place of each
+    string comes from an aggregate with map-side combining, others are copies after all.
     """
-    strings = contexts.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)))
-    strings = strings.select("doc_id", (F.col("start") + F.col("k")).alias("start"), F.unhex(F.md5(F.expr(f"substring(context, k + 1, {LENGTH})"))).alias("digest"))
-    strings = cut(strings, "strings")
-    first = strings.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = strings.join(first, "digest").where(F.struct("doc_id", "start") != F.col("first"))
-    return again.select("doc_id", "start", (F.col("start") + LENGTH).cast("long").alias("end"))
+    dealt = contexts.select("token", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "start", "context")
+    rows = dealt.repartition(_width(contexts.sparkSession), "token", "part").sortWithinPartitions("token", "part", "doc_id", "start")
+    found = cut(rows.mapInArrow(_refine_parts, "doc_id long, start long, end long, digest binary"), "parts")
+    firsts = found.where("digest IS NOT NULL")
+    winners = firsts.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = firsts.join(winners, "digest").where(F.struct("doc_id", "start") != F.col("first"))
+    return found.where("digest IS NULL").select("doc_id", "start", "end").unionByName(again.select("doc_id", "start", "end"))
 
 
 # --- result ------------------------------------------------------------------------------
@@ -268,7 +321,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """``doc_id, spans`` (array of start, end) of the documents that hold a repeated string; spans may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     width = _width(docs.sparkSession)
@@ -277,17 +330,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = profiles.join(first.select("sha", "first"), "sha").where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
 
     anchors = texts.select("text").mapInArrow(_anchors, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
-    shared = anchors.mapInArrow(_mark_shared, "hi long, token long, long boolean").withColumn("key", F.col("hi").bitwiseAND(F.lit(-2)))
+    shared = anchors.mapInArrow(lambda batches: mark_shared(batches, long_list), "hi long, token long, long boolean").withColumn("key", F.col("hi").bitwiseAND(F.lit(-2)))
     listed = shared.groupBy("key").agg(F.collect_set(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_set(F.when(F.col("long"), F.col("token"))).alias("long"))
     wanted = listed.join(first.select(F.col("first").alias("doc_id"), "key"), "key")
     contexts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "key", "short", "long").mapInArrow(_contexts, "token long, doc_id long, start long, context binary, long boolean")
     contexts = cut(contexts, "contexts")
     short = contexts.where("NOT long").select("token", "doc_id", "start", "context").repartition(width, "token").sortWithinPartitions("token", "doc_id", "start")
-    spans = short.mapInArrow(_refine_groups, "doc_id long, start long, end long").unionByName(_long_spans(contexts.where("long"))).unionByName(copies)
+    spans = short.mapInArrow(_refine_groups, "doc_id long, start long, end long").unionByName(_long_spans(contexts.where("long"), max(16, -(-profiles.count() // PART_DOCS)))).unionByName(copies)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
     A byte goes if it is covered by a string of ``LENGTH`` bytes of the UTF-8 text that also
@@ -296,7 +349,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that repeat a document are that document; ids of different texts should differ. A row
     without an id neither loses bytes nor counts as earlier.
     """
-    spans = cut(repeated_spans(docs, id_col, text_col), "spans")
+    spans = cut(repeated_spans(docs, id_col, text_col, long_list), "spans")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = texts.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
