@@ -1,0 +1 @@
+"""Audits of retrieval-augmented question answering as DataFrame transformations."""

@@ -1,0 +1,104 @@
+"""Searching pipeline settings: proposals on the driver, every evaluation a DataFrame job."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .planning import knob_values
+
+OVERFIT_POINTS = 10.0
+KNOB_ORDER = {"retrieval_miss": 0, "generation_miss": 1, "pass": 2}
+
+
+class SearchSpace:
+    """Knobs with their values, and a baseline that has one for each."""
+
+    def __init__(self, knobs: dict[str, list | dict], baseline: dict | None = None):
+        self.values = {name: knob_values(spec) for name, spec in knobs.items()}
+        self.baseline = {name: (baseline or {}).get(name, v[0]) for name, v in self.values.items()}
+        unknown = set(baseline or {}) - set(self.values)
+        if unknown:
+            raise ValueError(f"baseline names unknown knobs: {sorted(unknown)}")
+        self.check(self.baseline)
+
+    @property
+    def size(self) -> int:
+        out = 1
+        for v in self.values.values():
+            out *= len(v)
+        return out
+
+    def check(self, config: dict) -> dict:
+        """The config with the baseline's values for missing knobs; ValueError if a value isn't in the space."""
+        full = {name: config.get(name, self.baseline[name]) for name in self.values}
+        wrong = [n for n, v in full.items() if v not in self.values[n]] + sorted(set(config) - set(self.values))
+        if wrong:
+            raise ValueError(f"not in the search space: {wrong}")
+        return full
+
+
+def key_of(config: dict) -> tuple:
+    return tuple(sorted(config.items()))
+
+
+def random_proposals(space: SearchSpace, seed: int, tried: set[tuple]) -> Iterator[dict]:
+    """Settings not tried yet in a seeded order, without listing the whole space."""
+    rng = random.Random(seed)
+    while len(tried) < space.size:
+        config = {n: rng.choice(v) for n, v in space.values.items()}
+        if key_of(config) not in tried:
+            yield config
+
+
+def coordinate_ascent(space: SearchSpace, best: dict, failure: str, retrieval_knobs: tuple[str, ...], tried: set[tuple]) -> dict | None:
+    """One knob of the best settings moved one value, up first.
+
+    Knobs of the side that fails most come first; a run without failures starts with the others.
+    """
+    first = [n for n in space.values if (n in retrieval_knobs) == (failure == "retrieval_miss")]
+    for name in [*first, *(n for n in space.values if n not in first)]:
+        values = space.values[name]
+        at = values.index(best[name])
+        for to in (at + 1, at - 1):
+            if 0 <= to < len(values):
+                config = {**best, name: values[to]}
+                if key_of(config) not in tried:
+                    return config
+    return None
+
+
+def tune(space: SearchSpace, evaluate: Callable[[dict], DataFrame], exam: Callable[[dict], float], trials: int = 20, seed: int = 0, retrieval_knobs: tuple[str, ...] = ("k",), calls_per_trial: int = 0, budget: int | None = None) -> dict:
+    """Practice trials from the baseline on, then one exam each for baseline and best.
+
+    ``evaluate`` gives rows with failure_class; only their counts reach the driver. Stops after
+    ``trials``, when nothing is left to try, or when the budget, less what the exams need, does
+    not cover another trial. The best is the first with the highest score.
+    """
+    tried: set[tuple] = set()
+    log: list[dict] = []
+    config: dict | None = space.baseline
+    left = None if budget is None else budget - 2 * calls_per_trial
+    stop = "max_trials"
+    while config is not None and len(log) < trials:
+        if left is not None and left < calls_per_trial:
+            stop = "budget"
+            break
+        left = None if left is None else left - calls_per_trial
+        tried.add(key_of(config))
+        counts = {r["failure_class"]: r["n"] for r in evaluate(config).groupBy("failure_class").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total = sum(counts.values())
+        log.append({"trial_index": len(log), "config": config, "score": round(100 * counts.get("pass", 0) / total, 2) if total else 0.0})
+        best = max(log, key=lambda t: (t["score"], -t["trial_index"]))
+        worst = max(("retrieval_miss", "generation_miss"), key=lambda c: counts.get(c, 0)) if total else "retrieval_miss"
+        config = coordinate_ascent(space, best["config"], worst, retrieval_knobs, tried) or next(random_proposals(space, seed + len(log), tried), None)
+        if config is None:
+            stop = "exhausted"
+    best = max(log, key=lambda t: (t["score"], -t["trial_index"])) if log else {"config": space.baseline, "score": 0.0}
+    base_exam = exam(space.baseline)
+    best_exam = base_exam if best["config"] == space.baseline else exam(best["config"])
+    gap = round(best["score"] - best_exam, 2)
+    return {"trials": log, "best": best, "baseline_exam": base_exam, "best_exam": best_exam, "overfit_gap": gap, "overfit": gap > OVERFIT_POINTS, "stopped": stop}
