@@ -235,9 +235,10 @@ def _refine_block(block: pa.RecordBatch, bounds: np.ndarray, column: int, firsts
         data = np.frombuffer(b"".join([contexts[i] for i in chosen]), np.uint8)
         chosen = np.array(chosen)
         places, bucket = string_buckets(data, limits)
-        order = np.lexsort((places, bucket))
+        group = np.searchsorted(bounds, chosen, "right")[np.searchsorted(limits, places, "right") - 1]
+        order = np.lexsort((places, group, bucket))
         again = np.zeros(len(order), bool)
-        again[1:] = bucket[order[1:]] == bucket[order[:-1]]
+        again[1:] = (bucket[order[1:]] == bucket[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
         found = np.sort(places[order[again]])
         if len(found):
             r = np.searchsorted(limits, found, "right") - 1
