@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -19,10 +20,12 @@ from .scratch import cut, table
 
 #: Words that a worker remembers at most.
 REMEMBERED = 400_000
+#: Text bytes whose words are numbered together.
+STEP = 24 << 20
 #: Pieces that are packed together at most on average; a shard leaves about one sequence half full.
 SHARD_PIECES = 8192
 #: Where Python and the tokenizer differ on what is white space, or words might not stand alone.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_ODD = r"[\x00-\x08\x0e-\x1f\x{7f}-\x{9f}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]|<\|"
 #: Words on whose letters, digits and lower case Python and the tokenizer agree without normalisation.
 _LATIN = re.compile("[!-~¡-¬®-ÖØ-įĲ-ňŊ-ž]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -82,15 +85,38 @@ class WordTokenizer:
                 start = end + 1
         return learned
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; null counts as empty."""
-        words = [[] if not t or _ODD.search(t) or "<|" in t else t.split() for t in texts]
-        fresh = list(set().union(*words).difference(self.words)) if words else []
+    def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and the n + 1 offsets."""
+        fresh = [w for w in words if w not in self.words]
         latin = [w for w in fresh if _LATIN.fullmatch(w)]
-        other = list(set(fresh).difference(latin)) if len(latin) < len(fresh) else []
+        other = list(set(fresh).difference(latin, ("",))) if len(latin) < len(fresh) else []
         self.words.learn((self._latin(latin) if latin else {}) | (self._other(other) if other else {}))
         known = self.words
-        return [b"".join([known[w] for w in own]) if own else self._ids(t).tobytes() if t else b"" for t, own in zip(texts, words)]
+        entries = [known[w] if w else b"" for w in words]
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        return np.frombuffer(b"".join(entries), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text; null counts as empty.
+
+        Texts are split and their words numbered by Arrow; only distinct words come to Python.
+        """
+        odd = np.asarray(pc.fill_null(pc.match_substring_regex(column, _ODD), False))
+        plain = pc.if_else(pa.array(odd), pa.scalar(None, column.type), column) if odd.any() else column
+        split = pc.utf8_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(split), 0)).astype(np.int64)
+        ids, bounds = self._table(coded.dictionary.to_pylist())
+        word = np.asarray(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for at in range(0, len(column), 512):
+            some = word[ends[at] : ends[min(at + 512, len(column))]]
+            lengths = bounds[some + 1] - bounds[some]
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            flat = ids[np.repeat(bounds[some] - upto[:-1], lengths) + np.arange(upto[-1])].tobytes()
+            cuts = (4 * upto[ends[at : at + 513] - ends[at]]).tolist()
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                yield self._ids(column[at + k].as_py()).tobytes() if odd[at + k] else flat[a:b]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -111,9 +137,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), _tokenizers[path].encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), _tokenizers[path].encode(part.column(1))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
