@@ -39,7 +39,9 @@ def json_object(reply: Column | str) -> Column:
     text = F.trim(column(reply))
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     from_brace = F.regexp_extract(text, r"(?s)(\{.*)", 1)
-    return F.coalesce(*(_object(F.nullif(c, F.lit(""))) for c in (fenced, text, F.regexp_extract(text, r"(?s)(\{.*\})", 1), _closed(F.nullif(F.regexp_replace(from_brace, r"\s*```\s*$", ""), F.lit("")))))
+    whole = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    tail = _closed(F.nullif(F.regexp_replace(from_brace, r"\s*```\s*$", ""), F.lit("")))
+    return F.coalesce(*(_object(F.nullif(c, F.lit(""))) for c in (fenced, text, whole, tail)))
 
 
 def _kind(value: Column, path: str) -> Column:
