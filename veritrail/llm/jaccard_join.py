@@ -452,7 +452,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Documents of whose prefix enough shingles have another owner.
     postings = texts.select("text").mapInArrow(_postings, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
     shared = postings.mapInArrow(mark_shared, "hi long, token long, long boolean").groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
-    prefixed = shared.join(classes, "hi").where(f"shared >= {_sql_prefix_common(_sql_least_share('n'))}").select("cid", "hi")
+    prefixed = cut(shared.join(classes, "hi").where(f"shared >= {_sql_prefix_common(_sql_least_share('n'))}").select("cid", "hi"), "prefixed")
     wanted = texts.join(prefixed.hint("merge"), F.col("doc_id") == F.col("cid")).select("cid", "hi", "text")
     sets = cut(wanted.mapInArrow(_set_rows, "cid long, n long, tokens binary").dropDuplicates(["cid"]), "sets")
 

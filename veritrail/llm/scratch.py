@@ -29,11 +29,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Whatever uses the result starts from the files, so a lost executor costs only its own
-    tasks, and nothing above is computed a second time.
+    tasks, and nothing above is computed a second time. Shuffle files of finished jobs go when
+    the driver collects its garbage, so it is asked to, lest they pile up between stages.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = texts.select("text").mapInArrow(_anchors, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
     shared = anchors.mapInArrow(lambda batches: mark_shared(batches, long_list), "hi long, token long, long boolean").withColumn("key", F.col("hi").bitwiseAND(F.lit(-2)))
     listed = shared.groupBy("key").agg(F.collect_set(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_set(F.when(F.col("long"), F.col("token"))).alias("long"))
-    wanted = listed.join(first.select(F.col("first").alias("doc_id"), "key"), "key")
+    wanted = cut(listed.join(first.select(F.col("first").alias("doc_id"), "key"), "key"), "wanted")
     contexts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "key", "short", "long").mapInArrow(_contexts, "token long, doc_id long, start long, context binary, long boolean")
     contexts = cut(contexts, "contexts")
     short = contexts.where("NOT long").select("token", "doc_id", "start", "context").repartition(width, "token").sortWithinPartitions("token", "doc_id", "start")
