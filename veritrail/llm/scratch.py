@@ -1,44 +1,5 @@
-"""Tables that cut lineage, written in the folder all executors share."""
+"""Tables in the shared folder, as the rest of the library makes them."""
 
-from __future__ import annotations
+from ..plans.scratch import cut, new_path, shared_folder, table
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for a single-JVM session without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="veritrail-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir() or own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Whatever uses the result starts from the files, so a lost executor costs only its own
-    tasks, and nothing above is computed a second time. Shuffle files of finished jobs go when
-    the driver collects its garbage, so it is asked to, lest they pile up between stages.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "new_path", "shared_folder", "table"]
