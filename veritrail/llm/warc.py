@@ -150,8 +150,7 @@ def _read_record(data: bytes, at: int) -> tuple[Record, int]:
 def salvage_records(data: bytes, base: int = 0) -> Salvage:
     """All records of plain WARC bytes that pass their checks.
 
-    After a failed check the next version line at the start of a line is tried; the bytes
-    between are a gap. ``base`` is added to all offsets.
+    After a failed check the next version line is tried; the bytes between are a gap. ``base`` is added to all offsets.
     """
     out, at = Salvage(), 0
     while at < len(data):
@@ -162,11 +161,8 @@ def salvage_records(data: bytes, base: int = 0) -> Salvage:
             at = end
         except ValueError as why:
             start = at
-            while True:
-                found = _VERSION.search(data, at + 1)
-                at = found.start() if found else len(data)
-                if found is None or data[at - 1 : at] == b"\n":
-                    break
+            found = _VERSION.search(data, at + 1)
+            at = found.start() if found else len(data)
             if out.gaps and out.gaps[-1].end == base + start:
                 out.gaps[-1].end = base + at
             else:
