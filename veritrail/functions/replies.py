@@ -89,16 +89,21 @@ def parse_question(reply: Column | str) -> Column:
     return F.when(value.isNotNull(), own).otherwise(F.when((bare != "") & ~bare.startswith("{") & ~bare.contains("\n"), bare))
 
 
+def _items(array: Column, kind: str) -> Column:
+    """The members of a JSON array, each read by itself, so that a bad one spoils no other."""
+    return F.transform(F.from_json(array, "array<string>"), lambda x: F.from_json(x, kind))
+
+
 def parse_facts(reply: Column | str) -> Column:
     """``array<struct<fact, answer>>`` of usable facts; empty if none is, null if the reply is malformed."""
     value = json_object(reply)
-    items = F.from_json(F.try_variant_get(value, "$.facts", "string"), "array<struct<fact:string,answer:string>>")
+    items = _items(F.try_variant_get(value, "$.facts", "string"), "struct<fact:string,answer:string>")
     good = F.filter(items, lambda i: i["fact"].isNotNull() & i["answer"].isNotNull() & is_usable_fact(i["fact"], i["answer"]))
     return F.when(F.schema_of_variant(F.try_variant_get(value, "$.facts", "variant")).startswith("ARRAY"), F.transform(good, lambda i: F.struct(F.trim(i["fact"]).alias("fact"), F.trim(i["answer"]).alias("answer"))))
 
 
 def parse_questions(reply: Column | str) -> Column:
     """``array<struct<question, answer>>`` of a JSON list without its bad items; null if none is left."""
-    items = F.from_json(column(reply), "array<struct<question:string,answer:string>>")
+    items = _items(column(reply), "struct<question:string,answer:string>")
     good = F.filter(items, lambda i: (F.trim(i["question"]) != "") & (F.trim(i["answer"]) != ""))
     return F.when(F.size(good) > 0, good)
