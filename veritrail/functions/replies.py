@@ -103,7 +103,8 @@ def parse_facts(reply: Column | str) -> Column:
 
 
 def parse_questions(reply: Column | str) -> Column:
-    """``array<struct<question, answer>>`` of a JSON list without its bad items; null if none is left."""
-    items = _items(column(reply), "struct<question:string,answer:string>")
+    """``array<struct<question, answer>>`` of a strict reply ``{"questions": [...]}`` without bad items; null if none is left."""
+    value = F.try_parse_json(F.trim(column(reply)))
+    items = _items(F.try_variant_get(value, "$.questions", "string"), "struct<question:string,answer:string>")
     good = F.filter(items, lambda i: (F.trim(i["question"]) != "") & (F.trim(i["answer"]) != ""))
-    return F.when(F.size(good) > 0, good)
+    return F.when(F.size(good) > 0, F.transform(good, lambda i: F.struct(F.trim(i["question"]).alias("question"), F.trim(i["answer"]).alias("answer"))))
