@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -15,19 +13,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for 2**bits places."""
-    out = []
-    for base in (_BASE, _INVERSE):
-        table = np.empty(1 << bits, np.uint64)
-        table[0] = 1
-        size, step = 1, base
-        while size < len(table):
-            table[size : 2 * size] = table[:size] * step
-            size, step = 2 * size, np.uint64((int(step) * int(step)) & 0xFFFFFFFFFFFFFFFF)
-        out.append(table)
-    return out[0], out[1]
+_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, for ``size`` places at least; kept for the next call."""
+    while len(_tables[0]) < size:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            step = np.uint64(pow(int(base), len(_tables[k]), 1 << 64))
+            _tables[k] = np.concatenate([_tables[k], _tables[k] * step])
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +53,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends[lasts] = inside[lasts]
     starts = np.flatnonzero(begins)
     stops = np.flatnonzero(ends) + 1
-    power, inverse = _powers(max(10, int(n).bit_length()))
+    power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     hashes = (total[stops] - total[starts]) * inverse[starts]
