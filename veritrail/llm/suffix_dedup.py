@@ -28,7 +28,7 @@ LENGTH = 100
 #: Bytes of an anchor; a string of LENGTH has LENGTH - ANCHOR + 1 places for it.
 ANCHOR = 32
 #: Text bytes of one vectorised step.
-STEP = 1 << 21
+STEP = 1 << 20
 #: Anchors of more texts are long lists, whose contexts are dealt into parts; documents of a part, on average.
 LONG_LIST, PART_DOCS = 4096, 16_384
 _PLACE_BITS = np.uint64(28)
@@ -74,6 +74,9 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return value[anchor[first]], starts[first], starts[last]
 
 
+_CONTEXTS = ["token", "doc_id", "start", "end", "context", "long"]
+
+
 def _text_key(sha: bytes) -> int:
     """An even 64-bit key of a text; the odd number after it stands for a second place in the same text."""
     return int.from_bytes(sha[:8], "little", signed=True) & ~1
@@ -114,7 +117,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``token, doc_id, start, context, long`` of the rows' repeated anchors: the bytes of all strings of a run."""
+    """``token, doc_id, start, end, context, long`` of the rows' repeated anchors: the bytes of all strings of a run.
+
+    A context that its document has before is a copy as a whole; of such there is only a row
+    without a context for each stretch of them.
+    """
     for batch in batches:
         for part in steps(batch, limit=STEP):
             column = {f.name: part.column(i) for i, f in enumerate(part.schema)}
@@ -138,8 +145,26 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, flag = np.concatenate(chosen), np.concatenate(flags)
             raw = data.tobytes()
             bodies = [raw[a : b + LENGTH] for a, b in zip(first[at].tolist(), last[at].tolist())]
+            own, seen, kept, copies = doc[at].tolist(), set(), [], []
+            for i, body in enumerate(bodies):
+                if (own[i], body) in seen:
+                    copies.append(i)
+                else:
+                    seen.add((own[i], body))
+                    kept.append(i)
+            starts = first[at] - offsets[doc[at]]
             ids = column["doc_id"].take(pa.array(doc[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), ids, pa.array(first[at] - offsets[doc[at]]), pa.array(bodies, pa.binary()), pa.array(flag)], ["token", "doc_id", "start", "context", "long"])
+            rows = pa.array(kept, pa.int64())
+            ends = starts + np.array([len(x) for x in bodies])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at[kept]]), ids.take(rows), pa.array(starts[kept]), pa.array(ends[kept]), pa.array([bodies[i] for i in kept], pa.binary()), pa.array(flag[kept])], _CONTEXTS)
+            if copies:
+                order = np.array(copies)[np.lexsort((starts[copies], doc[at[copies]]))]
+                apart = np.ones(len(order), bool)
+                apart[1:] = (doc[at[order[1:]]] != doc[at[order[:-1]]]) | (starts[order[1:]] > ends[order[:-1]])
+                begin = np.flatnonzero(apart)
+                stop = np.maximum.reduceat(ends[order], begin)
+                whole = ids.take(pa.array(order[begin]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(begin), pa.int64()), whole, pa.array(starts[order[begin]]), pa.array(stop), pa.nulls(len(begin), pa.binary()), pa.nulls(len(begin), pa.bool_())], _CONTEXTS)
 
 
 # --- buckets -----------------------------------------------------------------------------
@@ -260,7 +285,7 @@ def _refine_block(block: pa.RecordBatch, bounds: np.ndarray, column: int, firsts
 
 def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of rows ``token, doc_id, start, context`` sorted by the first three."""
-    for block, bounds in whole_groups(batches, 1, rows=6000):
+    for block, bounds in whole_groups(batches, 1, rows=2000):
         spans, _ = _refine_block(block, bounds, 1, False)
         if spans is not None:
             yield spans
@@ -268,7 +293,7 @@ def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _refine_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans, and first copies with their digest, of rows ``token, part, doc_id, start, context`` sorted by the first four."""
-    for block, bounds in whole_groups(batches, 2, rows=6000):
+    for block, bounds in whole_groups(batches, 2, rows=2000):
         spans, first = _refine_block(block, bounds, 2, True)
         if spans is not None:
             yield pa.RecordBatch.from_arrays([*spans.columns, pa.nulls(spans.num_rows, pa.binary())], ["doc_id", "start", "end", "digest"])
@@ -334,10 +359,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = anchors.mapInArrow(lambda batches: mark_shared(batches, long_list), "hi long, token long, long boolean").withColumn("key", F.col("hi").bitwiseAND(F.lit(-2)))
     listed = shared.groupBy("key").agg(F.collect_set(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_set(F.when(F.col("long"), F.col("token"))).alias("long"))
     wanted = cut(listed.join(first.select(F.col("first").alias("doc_id"), "key"), "key"), "wanted")
-    contexts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "key", "short", "long").mapInArrow(_contexts, "token long, doc_id long, start long, context binary, long boolean")
+    contexts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "key", "short", "long").mapInArrow(_contexts, "token long, doc_id long, start long, end long, context binary, long boolean")
     contexts = cut(contexts, "contexts")
     short = contexts.where("NOT long").select("token", "doc_id", "start", "context").repartition(width, "token").sortWithinPartitions("token", "doc_id", "start")
-    spans = short.mapInArrow(_refine_groups, "doc_id long, start long, end long").unionByName(_long_spans(contexts.where("long"), max(16, -(-profiles.count() // PART_DOCS)))).unionByName(copies)
+    spans = short.mapInArrow(_refine_groups, "doc_id long, start long, end long").unionByName(_long_spans(contexts.where("long"), max(16, -(-profiles.count() // PART_DOCS)))).unionByName(copies).unionByName(contexts.where("context IS NULL").select("doc_id", "start", "end"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
