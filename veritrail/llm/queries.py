@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .exact_dedup import OP2_SQL, op2_exact_dedup
-from .jaccard_join import op10_jaccard_join
+from .jaccard_join import OP10_SQL, op10_jaccard_join
 from .language_id import op1_language_id
 from .lm_score import op3_lm_score
 from .packing import op6_best_fit_packing
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op9_warc": OP9_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
