@@ -15,6 +15,8 @@ from .scratch import cut, table
 
 #: Counters of the sketch: a digest held by more than about 1/COUNTERS of the rows is always named.
 COUNTERS = 8192
+#: Tasks that merge the sketches of all others before the last one does.
+SKETCH_TASKS = 64
 #: Frequent digests at most; with 40 bytes each this bounds the broadcast.
 HEAVY = 2000
 #: Copies from which a digest counts as frequent.
@@ -22,9 +24,10 @@ HEAVY_COUNT = 32
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest``: SHA-256 of every whole text in UTF-8; null counts as empty."""
+    """``doc_id, digest, short``: SHA-256 of every whole text in UTF-8, null counting as empty, and 64 bits of it to count by."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return rows.withColumn("short", F.xxhash64("digest"))
 
 
 def frequent_digests(keys: DataFrame, counters: int = COUNTERS, most: int = HEAVY, least: int = HEAVY_COUNT) -> DataFrame:
@@ -32,14 +35,17 @@ def frequent_digests(keys: DataFrame, counters: int = COUNTERS, most: int = HEAV
 
     At most ``most`` rows, whatever the input.
     """
+    count = F.expr(f"approx_top_k_accumulate(short, {counters})").alias("sketch")
+    none = keys.where(F.lit(False)).agg(count)  # an empty table has a sketch too
+    sketches = keys.groupBy((F.spark_partition_id() % SKETCH_TASKS).alias("task")).agg(count).select("sketch").unionByName(none)
     named = (
-        keys.agg(F.expr(f"approx_top_k(hex(digest), {most}, {counters})").alias("top"))
+        sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {counters}), {most})").alias("top"))
         .select(F.explode("top").alias("entry"))
         .where(F.col("entry.count") >= least)
-        .select(F.unhex(F.col("entry.item")).alias("digest"))
+        .select(F.col("entry.item").alias("short"))
     )
     return (
-        keys.join(F.broadcast(named), "digest", "left_semi")
+        keys.join(F.broadcast(named), "short", "left_semi")
         .groupBy("digest")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where(F.col("group_size") >= least)
