@@ -920,3 +920,60 @@ def locked_eval(t):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_rates(t):
     return event_rates(t.events)
+
+
+# --- generation --------------------------------------------------------------------------
+
+
+def _sources(t):
+    from .plans.generate import single_sources
+
+    return single_sources(t.chunks)
+
+
+@query()
+def det_facts(t):
+    from .plans import offline
+
+    return offline.facts(_sources(t)).select("source_key", "fact", "answer")
+
+
+@query()
+def det_question_rewrite(t):
+    from .plans import offline
+
+    return offline.reword(offline.draft(offline.facts(_sources(t)))).select("source_key", "draft", "question")
+
+
+@query()
+def generate_questions(t):
+    from .plans import offline
+
+    return offline.questions(_sources(t))
+
+
+@query()
+def generate_multihop(t):
+    from .plans import offline
+    from .plans.generate import pair_sources
+
+    chunks = t.chunks
+    return offline.questions(pair_sources(P.candidate_pairs(chunks.withColumn("tokens", X.content_tokens("text")), similar=False), chunks, 200))
+
+
+@query(f"WITH {Q.CLOZE}, v AS (SELECT query_id, {Q.content('gold')} AS f, {Q.content('text')} AS q, {Q.content('expected')} AS e FROM questions) SELECT query_id, len([w FOR w IN list_intersect(q, f) IF NOT list_contains(e, w)]) >= 2 AS unambiguous FROM v")
+def det_verify(t):
+    from .plans.generate import verify_by_rule
+
+    rows = t.questions.select("query_id", F.col("gold").alias("fact"), F.col("text").alias("question"), F.col("expected").alias("answer"), F.col("gold").alias("text"))
+    return verify_by_rule(rows).select("query_id", "unambiguous")
+
+
+@query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents")
+def scan_store_ordered(t):
+    return t.documents.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("place"))
+
+
+@query(f"WITH {CASES} SELECT c.doc_id, c.verdict, l.quality FROM cases c JOIN labels l ON l.doc_id = c.question_id")
+def join_results_to_questions(t):
+    return t.cases.select("doc_id", "verdict", "question_id").join(t.labels.select(F.col("doc_id").alias("question_id"), "quality"), "question_id").drop("question_id")
