@@ -113,9 +113,9 @@ TRIALS = "trials AS (SELECT o_orderpriority AS tune_id, row_number() OVER (PARTI
 # --- flagship ----------------------------------------------------------------------------
 
 
-@query(f"WITH {Q.AUDIT} SELECT * FROM cases")
+@query(f"WITH {Q.AUDIT} SELECT * REPLACE (coalesce(match_rank, -1) AS match_rank) FROM cases")
 def audit_verdicts(t):
-    return A.audit_cases(t.documents, t.benchmark)
+    return A.audit_cases(t.documents, t.benchmark).withColumn("match_rank", F.coalesce("match_rank", F.lit(-1)))
 
 
 @query(f"""WITH {Q.AUDIT} SELECT count(*) AS total_cases, {', '.join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in S.VERDICTS)},
@@ -451,11 +451,11 @@ def parse_question_verify(t):
     return t.benchmark.select("item_id", R.parse_question(reply).alias("question"), R.parse_verification(verify).alias("v")).select("item_id", "question", F.col("v.supported").alias("supported"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 1 WHEN item_id % 3 = 1 THEN 0 END::BIGINT AS n_facts FROM benchmark")
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 1 WHEN item_id % 3 = 1 THEN 0 ELSE -1 END::BIGINT AS n_facts FROM benchmark")
 def parse_facts(t):
     i = F.col("item_id")
     reply = F.when(i % 3 == 0, F.lit('{"facts": [{"fact": "The mill has 12 wheels", "answer": 12}, {"fact": "12", "answer": "12"}]}')).when(i % 3 == 1, F.lit('{"facts": []}')).otherwise(F.lit('{"facts": 3}'))
-    return t.benchmark.select("item_id", F.size(R.parse_facts(reply)).alias("n")).select("item_id", F.when(F.col("n") >= 0, F.col("n")).alias("n_facts"))
+    return t.benchmark.select("item_id", F.size(R.parse_facts(reply)).alias("n")).select("item_id", F.coalesce("n", F.lit(-1)).alias("n_facts"))
 
 
 # --- joins -------------------------------------------------------------------------------
@@ -668,10 +668,10 @@ def failure_stack(t):
     return S.failure_stack(t.cases, "run_id")
 
 
-@query(f"WITH {CASES} SELECT doc_id, CASE verdict WHEN 'true_pass' THEN 'earned' WHEN 'lucky_pass' THEN 'from memory' WHEN 'generation_failure' THEN 'read wrongly' ELSE 'not found' END AS label, CASE WHEN hit THEN doc_id % 4 + 1 END AS place FROM cases")
+@query(f"WITH {CASES} SELECT doc_id, CASE verdict WHEN 'true_pass' THEN 'earned' WHEN 'lucky_pass' THEN 'from memory' WHEN 'generation_failure' THEN 'read wrongly' ELSE 'not found' END AS label, CASE WHEN hit THEN doc_id % 4 + 1 ELSE 0 END AS place FROM cases")
 def case_explain(t):
     label = F.element_at(F.create_map(*(F.lit(x) for x in ("true_pass", "earned", "lucky_pass", "from memory", "generation_failure", "read wrongly", "retrieval_failure", "not found"))), F.col("verdict"))
-    return t.cases.select("doc_id", label.alias("label"), F.when(F.col("hit"), F.col("doc_id") % 4 + 1).alias("place"))
+    return t.cases.select("doc_id", label.alias("label"), F.when(F.col("hit"), F.col("doc_id") % 4 + 1).otherwise(0).alias("place"))
 
 
 @query(f"WITH {CASES} SELECT run_id, round(count(*) FILTER (verdict = 'true_pass') * 100.0 / count(*), 1) AS ring, round(count(*) FILTER (hit) * 100.0 / count(*), 1) AS hit_pct FROM cases GROUP BY run_id")
@@ -685,9 +685,9 @@ def distinct_ids(t):
     return t.cases.where("hit").select("question_id").distinct()
 
 
-@query("SELECT source, max(d) AS captured FROM (SELECT user_id % 20 AS source, CAST(ts AS DATE) AS d FROM events) GROUP BY source")
+@query("SELECT source, CAST(max(d) AS VARCHAR) AS captured FROM (SELECT user_id % 20 AS source, CAST(ts AS DATE) AS d FROM events) GROUP BY source")
 def captured_date(t):
-    return t.events.groupBy((F.col("user_id") % 20).alias("source")).agg(F.max(F.to_date("ts")).alias("captured"))
+    return t.events.groupBy((F.col("user_id") % 20).alias("source")).agg(F.max(F.to_date("ts")).cast("string").alias("captured"))
 
 
 @query("SELECT q AS questions, 3 + 2 * q AS least_calls, 3 + 4 * q AS most_calls FROM (SELECT unnest(range(1, 21)) AS q)")
@@ -755,9 +755,9 @@ def latest_by(t):
     return N.latest_by(t.events.select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query(f"WITH {CASES}, {RUNS} SELECT run_id, kind, lag(run_id) OVER (PARTITION BY kind ORDER BY created_at, run_id) AS prev_run_id FROM runs")
+@query(f"WITH {CASES}, {RUNS} SELECT run_id, kind, coalesce(lag(run_id) OVER (PARTITION BY kind ORDER BY created_at, run_id), -1) AS prev_run_id FROM runs")
 def previous_run_same_kind(t):
-    return H.previous_runs(t.runs).select("run_id", "kind", "prev_run_id")
+    return H.previous_runs(t.runs).select("run_id", "kind", F.coalesce("prev_run_id", F.lit(-1)).alias("prev_run_id"))
 
 
 _PTS = "round(count(*) FILTER (c.{0}) * 100.0 / count(*), 1) - round(count(*) FILTER (p.{0}) * 100.0 / count(*), 1)"
@@ -767,10 +767,10 @@ _PTS = "round(count(*) FILTER (c.{0}) * 100.0 / count(*), 1) - round(count(*) FI
 o AS (SELECT run_id, question_id, verdict = 'true_pass' AS tp, verdict IN ('true_pass', 'generation_failure') AS h, verdict = 'lucky_pass' AS lucky FROM cases),
 own AS (SELECT run_id, count(*) AS n, round(count(*) FILTER (tp) * 100.0 / count(*), 1) AS tpp, round(count(*) FILTER (h) * 100.0 / count(*), 1) AS hp, count(*) FILTER (lucky) AS lp FROM o GROUP BY run_id),
 d AS (SELECT l.run_id, count(*) AS shared, round({_PTS.format('tp')}, 1) AS dt, round({_PTS.format('h')}, 1) AS dh FROM l JOIN o c ON c.run_id = l.run_id JOIN o p ON p.run_id = l.prev AND p.question_id = c.question_id GROUP BY l.run_id)
-SELECT l.run_id, kind, prev AS prev_run_id, n AS n_questions, tpp AS true_pass_pct, hp AS retrieval_hit_pct, lp AS lucky_pass_count, coalesce(shared, 0) AS shared_questions, dt AS delta_true_pass, dh AS delta_retrieval_hit,
+SELECT l.run_id, kind, coalesce(prev, -1) AS prev_run_id, n AS n_questions, tpp AS true_pass_pct, hp AS retrieval_hit_pct, lp AS lucky_pass_count, coalesce(shared, 0) AS shared_questions, dt AS delta_true_pass, dh AS delta_retrieval_hit,
   prev IS NOT NULL AND coalesce(shared, 0) < 10 AS small_sample, coalesce(fingerprint <> pf, FALSE) AS corpus_changed FROM l LEFT JOIN own USING (run_id) LEFT JOIN d USING (run_id)""")
 def history_delta(t):
-    return H.history_delta(t.runs, t.cases.select("run_id", "question_id", "verdict"))
+    return H.history_delta(t.runs, t.cases.select("run_id", "question_id", "verdict")).withColumn("prev_run_id", F.coalesce("prev_run_id", F.lit(-1)))
 
 
 @query("WITH r AS (SELECT user_id AS run_id, min(event_type) AS kind, min(ts) AS created_at FROM events GROUP BY user_id), n AS (SELECT *, row_number() OVER (ORDER BY created_at, run_id) AS number, row_number() OVER (PARTITION BY kind ORDER BY created_at, run_id) = 1 AS first_of_kind, count(*) OVER () AS total FROM r) SELECT run_id, kind, number, first_of_kind FROM n WHERE number > total - 30")
