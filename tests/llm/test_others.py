@@ -54,7 +54,8 @@ def test_probes_cover():
     assert hit.mean() > ann.SUCCESS - 0.06 and hit.any(1).mean() > 0.93
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]
     parent = {}
@@ -69,7 +70,7 @@ def test_components(spark):
         if a != b:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
     assert got == {i: root(i) for i in parent}
 
 

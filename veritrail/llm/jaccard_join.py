@@ -329,7 +329,7 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _long_links(member: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _long_links(member: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b``: components that link though their documents may share long lists only.
 
     Both documents of such a pair have enough shingles on long lists to reach the threshold.
@@ -339,9 +339,7 @@ def _long_links(member: DataFrame, sets: DataFrame) -> DataFrame | None:
     """
     held = member.where("many >= least").select("cid", "comp", F.explode("long").alias("token"))
     mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cid").alias("b")).where("low <> high").select("token", "b")
-    edges = cut(held.join(mixed, "token").select(F.col("cid").alias("a"), "b").where("a <> b").distinct(), "families")
-    if not edges.head(1):
-        return None
+    edges = held.join(mixed, "token").select(F.col("cid").alias("a"), "b")
     family = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
     rows = cut(sets.select("cid", "n", "tokens").join(family, "cid").join(member.select("cid", "comp"), "cid"), "family-sets")
     parts = rows.groupBy("family").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
@@ -420,15 +418,13 @@ def _merge_leaders(member: DataFrame, sets: DataFrame) -> DataFrame:
     """
     for _ in range(2):
         held = member.where("many >= least").select("comp", F.explode("long").alias("token")).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("docs"))
-        held = cut(held, "held")
         most = held.groupBy("token").agg(F.max_by("comp", F.struct("docs", "comp")).alias("a"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "a")
         star = held.join(most, "token").where("comp <> a").groupBy("a", F.col("comp").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
         size = member.where("cid = comp").select("cid", "least")
         star = star.join(size.toDF("a", "a_least"), "a").join(size.toDF("b", "b_least"), "b").where("2 * shared >= least(a_least, b_least)").select("a", "b")
-        edges = cut(_verified(star, sets), "leaders")
-        if not edges.head(1):
+        top = connected_components(_verified(star, sets))
+        if not top.head(1):
             break
-        top = connected_components(edges)
         member = cut(member.join(top, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"), "member")
     return member
 
@@ -486,11 +482,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     possible = cut(sized.where(f"few + least(x_many, y_many) >= {needed}").select(F.col("x").alias("a"), F.col("y").alias("b")), "possible")
     comp = member.select("cid", "comp")
     edges = _verified(possible, sets).join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    long = _long_links(member, sets)
-    edges = cut((edges if long is None else edges.unionByName(long)).where("a <> b").distinct(), "links")
-    if edges.head(1):
-        top = connected_components(edges)
-        comp = comp.join(top, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
+    top = connected_components(edges.unionByName(_long_links(member, sets)))
+    comp = comp.join(top, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
     smallest = comp.groupBy("comp").agg(F.min("cid").alias("component"))
     comp = comp.join(smallest, "comp").select("cid", "component")
 
