@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .scratch import cut, table
 
-#: Counters of the sketch: a digest held by more than about 1/COUNTERS of the rows is always named.
-COUNTERS = 8192
-#: Tasks that merge the sketches of all others before the last one does.
-SKETCH_TASKS = 64
-#: Frequent digests at most; with 40 bytes each this bounds the broadcast.
+#: Counters of a sketch, and sketches that all rows are counted in.
+COUNTERS, SKETCH_TASKS = 8192, 64
+#: Frequent digests at most; with 40 bytes each this bounds the broadcast. Held by over 1/HEAVY of
+#: the rows, a digest is over that share of some sketch's rows, and so among those it lists.
 HEAVY = 2000
 #: Copies from which a digest counts as frequent.
 HEAVY_COUNT = 32
@@ -35,15 +34,9 @@ def frequent_digests(keys: DataFrame, counters: int = COUNTERS, most: int = HEAV
 
     At most ``most`` rows, whatever the input.
     """
-    count = F.expr(f"approx_top_k_accumulate(short, {counters})").alias("sketch")
-    none = keys.where(F.lit(False)).agg(count)  # an empty table has a sketch too
-    sketches = keys.groupBy((F.spark_partition_id() % SKETCH_TASKS).alias("task")).agg(count).select("sketch").unionByName(none)
-    named = (
-        sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {counters}), {most})").alias("top"))
-        .select(F.explode("top").alias("entry"))
-        .where(F.col("entry.count") >= least)
-        .select(F.col("entry.item").alias("short"))
-    )
+    by_task = keys.groupBy((F.spark_partition_id() % SKETCH_TASKS).alias("task")).agg(F.expr(f"approx_top_k(short, {most}, {counters})").alias("top"))
+    counted = by_task.select(F.explode("top").alias("entry")).groupBy(F.col("entry.item").alias("short")).agg(F.sum("entry.count").alias("n"))
+    named = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "short").limit(most).select("short")
     return (
         keys.join(F.broadcast(named), "short", "left_semi")
         .groupBy("digest")
