@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -154,6 +155,32 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.score(docs, models).count() == len(TEXTS)
 
 
+def test_lm_score_counts_grow(spark):
+    """Counts are exact with more distinct pairs than 2^19, in several blocks and buckets."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1500))) for i in range(800)]
+    rows += [(1000 + i, f"alpha beta gamma {i}") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    targets = spark.createDataFrame([(1000 + i,) for i in range(0, 40, 2)], "doc_id long")
+    models = lm_score.fit(table, targets)
+    probe = spark.createDataFrame([(1, "new words only"), (2, "alpha beta gamma")], "doc_id long, text string")
+    got = by_id(lm_score.score(probe, models), "loss_target", "loss_background")
+    fold = lambda t: zlib.crc32(t.encode()) & 1
+    vocabulary = max(lm_score.WORD_SLOTS, len({w for _, t in rows for w in t.split()}))
+    for i, text in ((1, "new words only"), (2, "alpha beta gamma")):
+        sides = [[t for d, t in rows if fold(t) != fold(text) and (d in range(1000, 1040, 2) or all_)] for all_ in (False, True)]
+        size = sum(len(t.split()) for t in sides[0])
+        for side, loss in zip(sides, got[i]):
+            words, pairs, contexts = Counter(), Counter(), Counter()
+            for t in side:
+                for a, b in zip(["^", *t.split()], t.split()):
+                    words[b] += 1
+                    pairs[a, b] += 1
+                    contexts[a] += 1
+            k = size / sum(words.values())
+            steps = [-np.log((k * pairs[a, b] + lm_score.PRIOR * (k * words[b] + 1) / (size + vocabulary)) / (k * contexts[a] + lm_score.PRIOR)) for a, b in zip(["^", *text.split()], text.split())]
+            assert loss == pytest.approx(np.mean(steps), abs=2e-6)
+
+
 # --- sentencepiece -----------------------------------------------------------------------
 
 

@@ -1,163 +1,282 @@
 """Document scores by the cross-entropy difference of two matched n-gram models.
 
-A target model (trusted documents) and a background model (all documents) have the same hashed
+A target model (trusted documents) and a background model (all documents) have the same
 vocabulary, order and smoothing, so their per-token losses can be subtracted: a document that
-is more like the target than like the whole corpus scores above zero (Moore and Lewis).
+is more like the target than like the whole corpus scores above zero (Moore and Lewis). Counts
+are exact, by 64-bit hashes of words and pairs, in tables that grow with the corpus and that no
+task or driver holds as a whole: blocks of documents ask for the counts of their own words and
+pairs, and are scored from the replies.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import flat_utf8, steps
-from .scratch import table
+from .scratch import cut, table
 from .shingles import mix, word_hashes
 
-#: Slots that words and pairs of words are hashed into, the shared vocabulary of both models.
-WORD_SLOTS, PAIR_SLOTS = 1 << 17, 1 << 19
-#: Slots in one row of counts.
-CHUNK = 1 << 16
+#: Words that smoothing allows for at least; the distinct words of the corpus if these are more.
+WORD_SLOTS = 1 << 17
+#: Bytes of the documents that are counted, or scored, together, and of text for each bucket of the count tables.
+BLOCK_BYTES = 1 << 23
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 32.0
 _START = np.uint64(0x5851F42D4C957F2D)
+_RESULT = ("n_tokens", "loss_target", "loss_background", "score")
 
 
-def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word, of the word before it and of the pair, and the documents' offsets among the words."""
-    words, bounds = word_hashes(data, offsets)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    starts = bounds[:-1][bounds[:-1] < bounds[1:]]
-    before[starts] = _START
-    pair = mix(before * np.uint64(0x9FB21C651E98DF25) + words)
-    return (words % np.uint64(WORD_SLOTS)).astype(np.int64), (before % np.uint64(WORD_SLOTS)).astype(np.int64), (pair % np.uint64(PAIR_SLOTS)).astype(np.int64), bounds
+# --- keys and counts as bytes ------------------------------------------------------------
 
 
-@dataclass
-class CountModel:
-    """Counts of words, of words as contexts, and of pairs."""
+def _fold(texts: pa.Array) -> np.ndarray:
+    """0 or 1 from a hash of the text, so that copies of a text lie in one fold."""
+    return np.array([zlib.crc32(t.as_buffer()) & 1 if t.is_valid else 0 for t in texts.cast(pa.binary())], np.int64)
 
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
 
-    @cached_property
-    def total(self) -> float:
-        return float(self.words.sum(dtype=float))
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, highest bytes first, which compress."""
+    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word after the one before it."""
-        alone = (self.words[word] + 1.0) / (self.total + WORD_SLOTS)
-        return -np.log((self.pairs[pair] + PRIOR * alone) / (self.contexts[before] + PRIOR))
 
+def _keys(packed: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
-def _fold(texts: pa.Array) -> np.ndarray:
-    """0 or 1 from a hash of the text, so that copies of a text lie in one fold."""
-    return np.array([zlib.crc32(t.as_buffer()) & 1 if t.is_valid else 0 for t in texts.cast(pa.binary())], np.int64)
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """``[key, group]`` in the narrowest type that holds them."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + zlib.compress(counts.T.astype(kind).tobytes(), 1)
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Mostly zeros and small numbers: a fast compression takes little."""
-    return zlib.compress(counts.astype("<i8").tobytes(), 1)
 
+def _counts(packed: pa.Scalar, groups: int) -> np.ndarray:
+    data = packed.as_py()
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").reshape(groups, -1).T.astype(np.int64)
 
-def _counts(labelled: DataFrame) -> np.ndarray:
-    """``[all in fold 0, all in fold 1, target in fold 0, target in fold 1][slot]`` of ``text, target`` rows."""
-    sizes = (WORD_SLOTS, WORD_SLOTS, PAIR_SLOTS)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, begins[-1]), np.int64)
-        for batch in batches:
-            for part in steps(batch, "text"):
-                word, before, pair, bounds = slots_of(*flat_utf8(part.column(0)))
-                every = np.concatenate([word, before + begins[1], pair + begins[2]])
-                group = _fold(part.column(0)) + 2 * np.asarray(part.column(1))
-                group = np.tile(np.repeat(group, np.diff(bounds)), 3)
-                for k in range(4):
-                    own = np.bincount(every[group == k], minlength=begins[-1])
-                    total[k % 2] += own
-                    if k >= 2:
-                        total[k] += own
-        if total.any():
-            rows = [(at // CHUNK, _packed(own)) for at in range(0, begins[-1], CHUNK) if (own := total[:, at : at + CHUNK]).any()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of every key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], place
 
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 * CHUNK, np.int64)
-        for batch in parts:
-            for row in batch.column(batch.schema.get_field_index("counts")):
-                total += np.frombuffer(zlib.decompress(row.as_buffer()), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(total)], pa.binary())], ["chunk", "counts"])
 
-    # Sums of a few tasks each, then sums of those: no task adds up more than a share of all rows.
-    parts = labelled.mapInArrow(count, "chunk int, counts binary").withColumn("part", F.spark_partition_id() % 64)
-    some = parts.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros((4, begins[-1]), np.int64)
-    for row in some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
-        at = row["chunk"] * CHUNK
-        out[:, at : at + CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), "<i8").reshape(4, CHUNK)
-    return out
+@dataclass
+class Block:
+    """Words and pairs of a block of documents: the sorted distinct ones, and each token's place among them."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    fold: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, text: str) -> Block:
+        words, sizes, folds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in rows.select([text]).to_batches():
+            for part in steps(batch, text):
+                own, bounds = word_hashes(*flat_utf8(part.column(0)))
+                words.append(own)
+                sizes.append(np.diff(bounds))
+                folds.append(_fold(part.column(0)))
+        word, bounds = np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+        before[starts] = _START
+        pairs, pair = _distinct(mix(before * np.uint64(0x9FB21C651E98DF25) + word))
+        names, place = _distinct(np.append(word, _START))
+        previous = np.empty(len(word), np.int64)
+        previous[1:] = place[:-2]
+        previous[starts] = place[-1]
+        return cls(names, pairs, place[:-1], previous, pair, np.concatenate(folds), bounds)
+
+    def counts(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By word ``[as word in each of 4 groups, as context in each]``, by pair ``[in each of 4 groups]``."""
+        group = np.repeat(group, np.diff(self.bounds))
+        by = lambda place, n: np.bincount(place * 4 + group, minlength=4 * n).reshape(n, 4)
+        n = len(self.words)
+        return np.concatenate([by(self.word, n), by(self.before, n)], 1), by(self.pair, len(self.pairs))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
+    """The rows in order, in tables of about ``BLOCK_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        for part in steps(batch, text, BLOCK_BYTES):
+            if held and size + part.nbytes > BLOCK_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The runs of sorted keys that lie in a bucket each; buckets are ranges of keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+    for start, end in zip(cuts, [*cuts[1:], len(keys)]):
+        yield int(bucket[start]), slice(start, end)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+# --- models ------------------------------------------------------------------------------
 
 
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[CountModel, CountModel]]:
-    """Target and background model to score fold 0 with, and those for fold 1.
+@dataclass
+class Models:
+    """Counts of all words and pairs in buckets of ``table``, tokens of the 4 groups, and the smoothing's words."""
+
+    table: DataFrame
+    buckets: int
+    tokens: np.ndarray
+    vocabulary: int
+
+    def losses(self, block: Block, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """``[target or background, token]``: negative log probability after the word before, by the counts of the other fold."""
+        other = 1 - np.repeat(block.fold, np.diff(block.bounds))
+        out = np.empty((2, len(other)))
+        size = self.tokens[2:].astype(float)
+        scale = size / np.maximum(1.0, self.tokens[:2] + self.tokens[2:])
+        for model in (0, 1):
+            total = lambda c: (c[:, 2:4] if model == 0 else (c[:, :2] + c[:, 2:4]) * scale).astype(float)  # noqa: E731, B023
+            word, context, pair = total(words[:, :4]), total(words[:, 4:]), total(pairs)
+            alone = (word[block.word, other] + 1.0) / (size[other] + self.vocabulary)
+            out[model] = -np.log((pair[block.pair, other] + PRIOR * alone) / (context[block.before, other] + PRIOR))
+        return out
+
+
+def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
+    """Exact counts to score each of two folds with those of the other.
 
     ``targets`` holds the ids of trusted documents. Every document counts. Documents are dealt
     to two folds by text and scored by models of the other fold, so neither their own counts
     nor those of a copy speak for them. Background counts are scaled to the target's number of
-    tokens, so that smoothing weighs as much in both. The driver gets 32 bytes a slot.
+    tokens, so that smoothing weighs as much in both. Blocks add up their own counts before the
+    shuffle; a bucket of the tables is a range of hashes, and there are more of them for more
+    text. The driver gets a few sums.
     """
+    buckets = max(1, -(-int(docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0) // BLOCK_BYTES))
     good = targets.select(F.col(id_col).alias("__id"), F.lit(True).alias("__target")).distinct()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(good.hint("merge"), "__id", "left")
-    counts = _counts(rows.select("text", F.coalesce("__target", F.lit(False)).alias("target"))).astype(float)
-
-    def model(c: np.ndarray, tokens: float) -> CountModel:
-        scale = tokens / max(1.0, c[:WORD_SLOTS].sum())
-        return CountModel(*((x * scale).astype(np.float32) for x in np.split(c, [WORD_SLOTS, 2 * WORD_SLOTS])))
-
-    sizes = [c[:WORD_SLOTS].sum() for c in counts]
-    return [(model(counts[2 + k], sizes[2 + k]), model(counts[k], sizes[2 + k])) for k in (1, 0)]
+    part, whole = "kind int, bucket int, keys binary, counts binary", "kind int, bucket int, keys binary, counts binary, sums array<long>"
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _blocks(batches, "text"):
+            block = Block.of(own, "text")
+            by_word, by_pair = block.counts(block.fold + 2 * np.asarray(own["target"]).astype(np.int64))
+            for kind, (keys, counts) in enumerate(((block.words, by_word), (block.pairs, by_pair))):
+                yield _batch([(kind, b, _pack_keys(keys[run]), _pack_counts(counts[run])) for b, run in _dealt(keys, buckets)], part)
 
-def score(docs: DataFrame, models: list[tuple[CountModel, CountModel]], text_col: str = "text") -> DataFrame:
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        width = (8, 4)[kind]
+        found = [(_keys(k), _counts(c, width)) for batch in parts for k, c in zip(batch.column("keys"), batch.column("counts"))]
+        keys, place = _distinct(np.concatenate([k for k, _ in found]))
+        every = np.concatenate([c for _, c in found])
+        counts = np.stack([np.bincount(place, every[:, g], len(keys)) for g in range(width)], 1).astype(np.int64)
+        sums = [*counts[:, :4].sum(0).tolist(), int(counts[:, :4].any(1).sum())]
+        yield _batch([(kind, bucket, _pack_keys(keys), _pack_counts(counts), sums)], whole)
+
+    counted = rows.select("text", F.coalesce("__target", F.lit(False)).alias("target")).mapInArrow(count, part)
+    tables = cut(counted.groupBy("kind", "bucket").applyInArrow(add, whole), "lm-counts")
+    sums = tables.where("kind = 0").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(5))).head()
+    return Models(tables.drop("sums"), buckets, np.array(sums[:4]), max(WORD_SLOTS, sums[4]))
+
+
+def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens, loss_target, loss_background, score``; columns of those names are replaced.
 
     Losses are means per token in nats; ``score`` is background less target. A null text, or one
     without a word, has 0 tokens and null losses and score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.arrow_udf("struct<n_tokens bigint, loss_target double, loss_background double, score double>")
-    def run(column: pa.Array) -> pa.Array:
-        sizes, losses = [], []
-        for part in steps(pa.RecordBatch.from_arrays([column], ["text"])):
-            word, before, pair, bounds = slots_of(*flat_utf8(part.column(0)))
-            fold = np.repeat(_fold(part.column(0)), np.diff(bounds))
-            both = np.empty((2, len(word)))
-            for k in (0, 1):
-                own = fold == k
-                for m in (0, 1):
-                    both[m, own] = shared.value[k][m].losses(word[own], before[own], pair[own])
-            total = np.concatenate([np.zeros((2, 1)), np.cumsum(both, axis=1)], 1)
-            sizes.append(np.diff(bounds))
-            losses.append(total[:, bounds[1:]] - total[:, bounds[:-1]])
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        mean = (np.concatenate(losses, 1) if losses else np.zeros((2, 0))) / np.maximum(n, 1)
-        empty = n == 0
-        columns = [pa.array(n), *(pa.array(np.round(x, 6), mask=empty) for x in (mean[0], mean[1], mean[1] - mean[0]))]
-        return pa.StructArray.from_arrays(columns, ["n_tokens", "loss_target", "loss_background", "score"])
-
-    found = docs.withColumn("__lm", run.asNondeterministic()(F.col(text_col)))
-    return found.withColumns({c: F.col(f"__lm.{c}") for c in ("n_tokens", "loss_target", "loss_background", "score")}).drop("__lm")
+    docs = docs.drop(*(c for c in _RESULT if c != text_col))
+    buckets, losses = models.buckets, Models(None, models.buckets, models.tokens, models.vocabulary).losses
+    asked, replied = "block long, kind int, bucket int, keys binary", "block long, kind int, bucket int, counts binary"
+    result = T.StructType([*docs.schema, *(T.StructField(c, T.LongType() if c == "n_tokens" else T.DoubleType()) for c in _RESULT)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, own in enumerate(_blocks(batches, text_col)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(own.combine_chunks())
+            yield _batch([(first + i, sink.getvalue().to_pybytes())], "block long, docs binary")
+
+    def opened(docs: pa.Scalar) -> pa.Table:
+        return pa.ipc.open_stream(docs.as_buffer()).read_all()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, packed in zip(batch.column("block").to_pylist(), batch.column("docs")):
+                block = Block.of(opened(packed), text_col)
+                for kind, keys in enumerate((block.words, block.pairs)):
+                    yield _batch([(name, kind, b, _pack_keys(keys[run])) for b, run in _dealt(keys, buckets)], asked)
+
+    def reply(wanted: pa.Table, counted: pa.Table) -> pa.Table:
+        rows, width = [], 4
+        known, counts = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+        if wanted.num_rows:
+            width = (8, 4)[wanted["kind"][0].as_py()]
+            counts = np.zeros((0, width), np.int64)
+        if wanted.num_rows and counted.num_rows:
+            known, counts = _keys(counted["keys"][0]), _counts(counted["counts"][0], width)
+        for name, kind, bucket, packed in zip(*(wanted[c].to_pylist() for c in ("block", "kind", "bucket")), wanted["keys"]):
+            keys = _keys(packed)
+            own = np.zeros((len(keys), width), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                own[hit] = counts[at[hit]]
+            rows.append((name, kind, bucket, _pack_counts(own)))
+        return pa.Table.from_batches([_batch(rows, replied)])
+
+    def finish(dealt: pa.Table, replies: pa.Table) -> pa.Table:
+        own = opened(dealt["docs"][0])
+        block = Block.of(own, text_col)
+        replies = replies.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        found: list[list[np.ndarray]] = [[np.zeros((0, 8), np.int64)], [np.zeros((0, 4), np.int64)]]
+        for kind, packed in zip(replies["kind"].to_pylist(), replies["counts"]):
+            found[kind].append(_counts(packed, (8, 4)[kind]))
+        both = losses(block, np.concatenate(found[0]), np.concatenate(found[1]))
+        total = np.concatenate([np.zeros((2, 1)), np.cumsum(both, axis=1)], 1)
+        n = np.diff(block.bounds)
+        mean = (total[:, block.bounds[1:]] - total[:, block.bounds[:-1]]) / np.maximum(n, 1)
+        for name, values in zip(_RESULT, (n, mean[0], mean[1], mean[1] - mean[0])):
+            own = own.append_column(name, pa.array(n) if name == "n_tokens" else pa.array(np.round(values, 6), mask=n == 0))
+        return own
+
+    gc.collect()  # Frames of the fit hold their shuffle files as long as Python holds them.
+    dealt = cut(docs.mapInArrow(deal, "block long, docs binary"), "lm-blocks")
+    wanted = dealt.mapInArrow(ask, asked)
+    replies = cut(wanted.groupBy("kind", "bucket").cogroup(models.table.groupBy("kind", "bucket")).applyInArrow(reply, replied), "lm-replies")
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, result)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
