@@ -54,6 +54,28 @@ def test_probes_cover():
     assert hit.mean() > ann.SUCCESS - 0.06 and hit.any(1).mean() > 0.93
 
 
+@pytest.mark.parametrize("grouped", [0.6, 0.8])
+def test_nearest_of_clusters(grouped):
+    """Scattered vectors find their neighbours although most rows lie in tight groups."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, size = 8000, 200
+    groups = int(n * grouped) // size
+    x = np.concatenate([np.repeat(rng.normal(size=(groups, 64)), size, 0) + 0.2 * rng.normal(size=(groups * size, 64)), rng.normal(size=(n - groups * size, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hasher = ann.new_hasher(64, ann.neighbour_cosine(unit[rng.permutation(n)[: ann.SAMPLE]]))
+    part = lambda ids: pa.table({"cid": ids, "vector": list(x[ids]), "size": [64] * len(ids)})
+    for asked in (range(0, groups * size, 97), range(groups * size, n, 31)):
+        got: dict = {}
+        for q, j, _ in ann.search_shard({64: hasher}, part(np.arange(n)), part(np.array(asked)), 6):
+            got.setdefault(q, set()).add(j)
+        hits = sum(len(set(np.argsort(-(unit @ unit[q]))[:6].tolist()) & got[q]) for q in asked)
+        assert hits / (6 * len(asked)) >= 0.9
+    few = ann.search_shard({64: hasher}, part(np.array([0, n - 1, n - 2, n - 3])), part(np.array([0])), 6)
+    assert {j for _, j, _ in few} == {0, n - 1, n - 2, n - 3}
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components(spark, small):
     rng = random.Random(1)

@@ -22,6 +22,8 @@ SUCCESS = 0.84
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4096
 #: Vectors of the bounded sample that the cosine of neighbours is estimated on.
 SAMPLE = 2048
+#: Cosine that neighbours are taken to have at most.
+MOST = 0.95
 SEED = 11
 
 
@@ -44,8 +46,8 @@ class Hasher:
         """``[row, table]``."""
         return self.cells(self.places(unit)) @ (CELLS ** np.arange(PROJECTIONS))
 
-    def probes(self, unit: np.ndarray) -> np.ndarray:
-        """``[row, table, bucket]``: whether the bucket is among those visited.
+    def probes(self, unit: np.ndarray, cosine: np.ndarray | None = None) -> np.ndarray:
+        """``[row, table, bucket]``: whether the bucket is among those visited for neighbours at ``cosine``, by row.
 
         A unit vector at cosine c of one whose projection is x projects to a normal value of mean
         c x and variance 1 - c^2, which gives the chance of each cell; a bucket's is the product
@@ -54,7 +56,8 @@ class Hasher:
         """
         projected = np.einsum("nd,tpd->ntp", unit, self.directions)[..., None]
         edges = (np.arange(1, CELLS) - CELLS / 2) * WIDTH - self.shifts[..., None]
-        below = _normal_cdf((edges - self.cosine * projected) / math.sqrt(1 - self.cosine**2))
+        near = (np.full(len(unit), self.cosine) if cosine is None else np.minimum(cosine, MOST))[:, None, None, None]
+        below = _normal_cdf((edges - near * projected) / np.sqrt(1 - near**2))
         chance = np.diff(below, axis=-1, prepend=0.0, append=1.0)
         joint = chance[:, :, 0]
         for p in range(1, PROJECTIONS):
@@ -90,7 +93,7 @@ def neighbour_cosine(unit: np.ndarray, k: int = 5) -> float:
     if len(unit) < 2:
         return 0.0
     near = np.sort(unit[:256] @ unit.T, axis=1)[:, ::-1]
-    return float(np.clip(np.median(near[:, min(k, len(unit) - 1)]), 0.0, 0.95))
+    return float(np.clip(np.median(near[:, min(k, len(unit) - 1)]), 0.0, MOST))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -100,7 +103,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search_shard(hashers: dict[int, Hasher], index: pa.Table, queries: pa.Table, k: int) -> list[tuple[int, int, float]]:
-    """``(query, candidate, cosine)``: the k best candidates of every query among the visited buckets of a shard."""
+    """``(query, candidate, cosine)``: the k best candidates of every query among the visited buckets of a shard.
+
+    Buckets are first visited for the typical cosine. A query whose k-th candidate is farther
+    visits those for that cosine too: its k-th neighbour in the shard is at least as near. If
+    there are fewer than k candidates, or the k-th isn't nearer than a random vector, the query
+    is compared with the whole shard.
+    """
     out: list[tuple[int, int, float]] = []
     for size in sorted(set(queries["size"].to_pylist())):
         rows, asked = index.filter(pc.equal(index["size"], size)), queries.filter(pc.equal(queries["size"], size))
@@ -112,17 +121,31 @@ def search_shard(hashers: dict[int, Hasher], index: pa.Table, queries: pa.Table,
         norms, lengths = np.sqrt((vectors * vectors).sum(1)), np.sqrt((wanted * wanted).sum(1))
         hasher = hashers[size]
         bucket = hasher.buckets(vectors / norms[:, None])
+
+        def candidates(visited: np.ndarray) -> np.ndarray:
+            hit = visited[0][bucket[:, 0]]
+            for t in range(1, TABLES):
+                hit |= visited[t][bucket[:, t]]
+            return hit
+
+        def cosines(i: int, found: np.ndarray) -> np.ndarray:
+            return (vectors[found] @ wanted[i]) / (norms[found] * lengths[i])
+
         for at in range(0, len(names), 32):
-            visited = hasher.probes(wanted[at : at + 32] / lengths[at : at + 32, None])
-            for j in range(len(visited)):
-                hit = visited[j, 0][bucket[:, 0]]
-                for t in range(1, TABLES):
-                    hit |= visited[j, t][bucket[:, t]]
-                found = np.flatnonzero(hit)
-                if not len(found):
-                    continue
-                q = wanted[at + j]
-                cosine = (vectors[found] @ q) / (norms[found] * lengths[at + j])
+            unit = wanted[at : at + 32] / lengths[at : at + 32, None]
+            hits = [candidates(v) for v in hasher.probes(unit)]
+            seen = [np.flatnonzero(h) for h in hits]
+            near = [cosines(at + j, found) for j, found in enumerate(seen)]
+            last = np.array([np.partition(c, len(c) - k)[len(c) - k] if len(c) >= k else 0.0 for c in near])
+            farther = np.flatnonzero((last > 0) & (last < hasher.cosine))
+            more: dict[int, np.ndarray] = dict.fromkeys(np.flatnonzero(last <= 0).tolist(), np.ones(len(ids), bool))
+            if len(farther):
+                more |= {int(j): candidates(v) for j, v in zip(farther, hasher.probes(unit[farther], last[farther]))}
+            for j in range(len(unit)):
+                found, cosine = seen[j], near[j]
+                if j in more:
+                    extra = np.flatnonzero(more[j] & ~hits[j])
+                    found, cosine = np.concatenate([found, extra]), np.concatenate([cosine, cosines(at + j, extra)])
                 if len(found) > k:
                     least = np.partition(cosine, len(cosine) - k)[len(cosine) - k]
                     keep = cosine >= least
@@ -148,7 +171,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     one entry of the index, with the k + 1 smallest of their ids, so a vector with a third of
     the rows costs as much as any other. Distinct vectors are dealt evenly into shards, each
     with its own tables; every block of queries visits every shard, where multiprobe hashing
-    picks the candidates that are reranked exactly.
+    picks the candidates that are reranked exactly, for each query as far as its own neighbours lie.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors, id_col, vector_col), "vectors")
