@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("veritrail.llm")
 
@@ -151,6 +152,31 @@ def test_salvage_members():
     assert len(cut.records) >= 20 and cut.gaps[-1].reason == "the member is cut off"
 
 
+def test_salvage_before_damage():
+    """Of a member with many records, all those before the damage come back; with a bad CRC all."""
+    import gzip
+
+    records = [record(i, random.Random(i).randbytes(150)) for i in range(1000)]
+    whole, next_one = gzip.compress(b"".join(records)), gzip.compress(record(5000))
+    at = len(whole) * 9 // 10
+    flipped = warc.salvage(whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :] + next_one)
+    assert ids(flipped)[:850] == list(range(850)) and ids(flipped)[-1] == 5000
+    assert flipped.gaps and all(g.start > 0 for g in flipped.gaps)
+    crc = warc.salvage(whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:] + next_one)
+    assert ids(crc) == [*range(1000), 5000]
+    assert [g.end for g in crc.gaps] == [len(whole)] and crc.gaps[0].start >= len(whole) - 8
+
+
+def test_round_trip_can_resync(spark):
+    """A flipped byte in the archive of the query costs one record, not those that follow."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(50)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc-test")
+    warc.archive_round_trip(pages, path)
+    data = bytearray(spark.read.format("binaryFile").load(path).orderBy(F.desc("length")).head()["content"])
+    data[len(data) // 2] ^= 0x01
+    assert len(warc.salvage(bytes(data)).records) >= 48
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from test_documents import TEXTS, components as group, sets_of

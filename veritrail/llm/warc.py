@@ -22,6 +22,8 @@ _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
+_ID, _NAME = re.compile(r"<[^<>\s]+>"), re.compile(r"[a-z0-9-]+")
 _CHUNK = 1 << 20
 
 
@@ -122,8 +124,11 @@ class Salvage:
     gaps: list[Gap] = field(default_factory=list)
 
 
-def _read_record(data: bytes, at: int) -> tuple[Record, int]:
-    """The record at ``at`` and where it ends; ValueError names the check that failed."""
+def _read_record(data: bytes, at: int, doubtful: bool = False) -> tuple[Record, int]:
+    """The record at ``at`` and where it ends; ValueError names the check that failed.
+
+    In ``doubtful`` bytes a record without a digest of its own payload needs sound headers.
+    """
     if not _VERSION.match(data, at):
         raise ValueError("no version line")
     head = data.find(b"\r\n\r\n", at)
@@ -142,12 +147,15 @@ def _read_record(data: bytes, at: int) -> tuple[Record, int]:
         raise ValueError("the block does not end in blank lines")
     record = Record(at, headers.get("warc-type", ""), headers, data[start:end])
     digest = headers.get("warc-payload-digest", "")
-    if digest.startswith("sha256:") and record.type != "revisit" and hashlib.sha256(record.payload).hexdigest() != digest[7:]:
+    own = digest.startswith("sha256:") and record.type != "revisit"
+    if own and hashlib.sha256(record.payload).hexdigest() != digest[7:]:
         raise ValueError("the payload has another digest")
+    if doubtful and not own and not (record.type in _TYPES and _ID.fullmatch(headers.get("warc-record-id", "")) and all(map(_NAME.fullmatch, headers))):
+        raise ValueError("odd headers in a damaged member")
     return record, end + 4
 
 
-def salvage_records(data: bytes, base: int = 0) -> Salvage:
+def salvage_records(data: bytes, base: int = 0, doubtful: bool = False) -> Salvage:
     """All records of plain WARC bytes that pass their checks.
 
     After a failed check the next version line is tried; the bytes between are a gap. ``base`` is added to all offsets.
@@ -155,7 +163,7 @@ def salvage_records(data: bytes, base: int = 0) -> Salvage:
     out, at = Salvage(), 0
     while at < len(data):
         try:
-            record, end = _read_record(data, at)
+            record, end = _read_record(data, at, doubtful)
             record.offset += base
             out.records.append(record)
             at = end
@@ -171,17 +179,38 @@ def salvage_records(data: bytes, base: int = 0) -> Salvage:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """Bytes of the gzip member at ``at``, where it ends, and what is wrong with it."""
-    inflate, parts, place = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and place < len(data):
-            parts.append(inflate.decompress(data[place : place + _CHUNK]))
-            place += _CHUNK
-    except zlib.error as why:
-        return b"".join(parts), -1, str(why)
+    """Bytes of the gzip member at ``at``, where it ends or fails, and what is wrong with it.
+
+    zlib drops what a failing call has inflated, so the call is made again from a copy in
+    smaller steps, down to single bytes, of which all output before the failure is taken.
+    """
+    inflate, parts, place, size, wrong = zlib.decompressobj(31), [], at, _CHUNK, ""
+    while not inflate.eof and place < len(data):
+        before = inflate.copy()
+        try:
+            parts.append(inflate.decompress(data[place : place + size]))
+            place = min(place + size, len(data))
+        except zlib.error as why:
+            inflate, wrong = before, str(why)
+            if size == 1:
+                parts += _last_bytes(inflate, data[place : place + 1])
+                break
+            size = max(1, size // 32)
+    if wrong:
+        return b"".join(parts), place, wrong
     if not inflate.eof:
-        return b"".join(parts), -1, "the member is cut off"
-    return b"".join(parts), min(place, len(data)) - len(inflate.unused_data), ""
+        return b"".join(parts), place, "the member is cut off"
+    return b"".join(parts), place - len(inflate.unused_data), ""
+
+
+def _last_bytes(inflate, byte: bytes) -> Iterator[bytes]:
+    """What one byte, in which the inflation fails, gives before it does."""
+    try:
+        while out := inflate.decompress(byte, 1):
+            yield out
+            byte = inflate.unconsumed_tail
+    except zlib.error:
+        return
 
 
 def salvage(data: bytes) -> Salvage:
@@ -189,7 +218,7 @@ def salvage(data: bytes) -> Salvage:
 
     Offsets in a member count from the member's start for gaps inside it; a damaged member is
     read as far as it inflates, and the search goes on at the next place where a member with a
-    version line begins.
+    version line begins. The gap of a damaged member is from where it fails to that place.
     """
     if data[:2] != b"\x1f\x8b":
         plain = salvage_records(data)
@@ -197,11 +226,11 @@ def salvage(data: bytes) -> Salvage:
             return plain
     out, at = Salvage(), 0
     while at < len(data):
-        body, end, wrong = _member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else (b"", -1, "no gzip member")
-        inside = salvage_records(body, at)
+        body, end, wrong = _member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else (b"", at, "no gzip member")
+        inside = salvage_records(body, at, bool(wrong))
         out.records += inside.records
-        if end >= 0:
-            out.gaps += inside.gaps
+        out.gaps += inside.gaps
+        if not wrong:
             at = end
             continue
         start, at = at, at + 1
@@ -213,7 +242,7 @@ def salvage(data: bytes) -> Salvage:
                 break
             else:
                 at += 1
-        out.gaps.append(Gap(start, at, wrong))
+        out.gaps.append(Gap(max(start, min(end, at)), at, wrong))
     return out
 
 
@@ -266,8 +295,9 @@ def archive_round_trip(pages: DataFrame, path: str) -> DataFrame:
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``. A page whose page_id is
     null comes back with null. Rows that repeat the smallest page_id are responses, all of them.
+    The files are plain text: gzip would be one member a file, of which damage leaves the start only.
     """
-    write_warc(pages, path)
+    write_warc(pages, path, "none")
     back = read_warc(pages.sparkSession, path).where(F.col("reason").isNull())
     return back.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", _page("refers_to")).alias("refers_to"))
 
