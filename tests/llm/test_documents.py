@@ -102,6 +102,20 @@ def test_language(spark, docs, empty):
     assert language_id.predict(language_id.train({}), ["abc", None])[0] == ["und", "und"] and language_id.fit(empty).languages == []
 
 
+def test_language_sample_of_distinct_texts(spark):
+    """Copies of a text, and a header that all texts begin with, do not stand for a language."""
+    rng = random.Random(11)
+    header = "the same licence stands in front of every text here " * 8
+    rows = [(i, header + spoken(lang, 80, rng), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    copy = spark.createDataFrame([(t,) for _, t, lang in rows if lang == "de"], "t string").orderBy(F.xxhash64("t")).head()[0]
+    rows += [(1000 + i, copy, "de") for i in range(300)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    fresh = [(lang, spoken(lang, 40, rng)) for lang in ["en", "de"] * 20]
+    found, _ = language_id.predict(model, [t for _, t in fresh])
+    assert np.mean([a == b for a, (b, _) in zip(found, fresh)]) >= 0.95
+    assert all(bits > 12 for bits in model.pointer_bits)
+
+
 def test_phrases_by_brute_force():
     sample = "abracadabra abc"
     model = language_id.train({"x": sample})

@@ -192,21 +192,21 @@ def is_held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Automata from labelled rows that are not held out.
 
-    A bounded sample: for each language the first ``ROW_CHARS`` characters of the ``SAMPLE_ROWS``
-    rows whose texts hash lowest; many short pieces, so that a row with a wrong label weighs
-    little. The rank keeps that many rows of each task before any shuffle, so a language with
+    A bounded sample: for each language ``ROW_CHARS`` characters, from a hashed place, of the
+    ``SAMPLE_ROWS`` distinct texts that hash lowest; many short pieces, so that a row with a
+    wrong label weighs little. Copies of a text count once: they are combined by hash before
+    the shuffle, and the rank keeps that many hashes of each task, so a language or a text with
     most of the rows costs no more than another.
     """
-    rank = Window.partitionBy("lang").orderBy("order", "text")
-    chosen = (
-        docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, ROW_CHARS).alias("text"), F.xxhash64(F.col(text_col)).alias("order"))
-        .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= SAMPLE_ROWS)
-        .select("lang", "rank", "text")
+    text = F.col(text_col)
+    start = F.pmod(F.xxhash64(text, F.lit("piece")), F.greatest(F.length(text) - ROW_CHARS, F.lit(0)) + 1).cast("int") + 1
+    labelled = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & text.isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("order"), F.substring(text, start, F.lit(ROW_CHARS)).alias("text")
     )
+    lowest = labelled.select("lang", "order").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= SAMPLE_ROWS)
+    chosen = labelled.join(F.broadcast(lowest), ["lang", "order"]).select("lang", "rank", "text").distinct()
     samples: dict[str, list[str]] = {}
-    for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["rank"])):
+    for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
         samples.setdefault(row["lang"], []).append(row["text"])
     return train({lang: "\n".join(texts) for lang, texts in samples.items()})
 
