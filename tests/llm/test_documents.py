@@ -116,6 +116,23 @@ def test_language_sample_of_distinct_texts(spark):
     assert all(bits > 12 for bits in model.pointer_bits)
 
 
+def test_letters_of_all_languages(monkeypatch):
+    """Every letter of the samples counts, of small alphabets and of thousands of letters; edges give what tables give."""
+    rng = random.Random(12)
+    ranges = {"el": range(0x3B1, 0x3C9), "en": range(97, 123), "ja": range(0x5000, 0x5C00), "ru": range(0x430, 0x450), "zh": range(0x7000, 0x7C00)}
+    words = {lang: ["".join(map(chr, rng.choices(r, k=rng.randint(1, 6)))) for _ in range(1500)] for lang, r in ranges.items()}
+    talk = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = language_id.train({lang: talk(lang, 3000) for lang in words})
+    texts = [(lang, talk(lang, 30)) for lang in words for _ in range(10)]
+    found, scores = language_id.predict(model, [t for _, t in texts])
+    assert found == [lang for lang, _ in texts]
+    small = {lang: talk(lang, 300) for lang in words}
+    dense = language_id.predict(language_id.train(small), [t for _, t in texts])
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    sparse = language_id.predict(language_id.train(small), [t for _, t in texts])
+    assert dense[0] == sparse[0] and np.array_equal(dense[1], sparse[1])
+
+
 def test_phrases_by_brute_force():
     sample = "abracadabra abc"
     model = language_id.train({"x": sample})

@@ -23,8 +23,8 @@ from .scratch import table
 SAMPLE_ROWS = 128
 ROW_CHARS = 320
 SAMPLE_CHARS = SAMPLE_ROWS * ROW_CHARS
-#: Distinct letters that get a class of their own; others match nothing.
-LETTERS = 60
+#: Entries of a language's dense table at most; an automaton that would take more, by many letters, is searched by its edges.
+DENSE = 1 << 24
 #: Code points after which a new phrase begins in any case, so that a long text is parsed as many short ones.
 BLOCK = 256
 #: Code points that are parsed at a time.
@@ -48,8 +48,8 @@ def _normal(points: np.ndarray) -> np.ndarray:
     return points[keep]
 
 
-def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
-    """Transitions ``[state, symbol]`` of the minimal automaton of all substrings; -1 where there is none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Next state by symbol, for each state of the minimal automaton of all substrings; the first state is the root."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -75,68 +75,109 @@ def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(go), classes), -1, np.int64)
-    for state, edges in enumerate(go):
-        for c, to in edges.items():
-            out[state, c] = to
-    return out
+    return go
 
 
 @dataclass
-class LanguageModel:
-    """The automata of all languages in one table.
+class Dense:
+    """An automaton as a table of all states and classes.
 
     An entry holds, in its two low bits, the phrases that end with the step and above them the
-    place of the next state's row; ``pad`` is the class that leaves a state as it is.
+    place of the next state's row.
+    """
+
+    own: np.ndarray
+    moves: np.ndarray
+
+    @classmethod
+    def of(cls, go: list[dict[int, int]], own: np.ndarray, width: int) -> Dense:
+        edges = np.full((len(go), width), -1, np.int64)
+        for state, to in enumerate(go):
+            edges[state, list(to.keys())] = list(to.values())
+        root = edges[0]
+        move, phrases = np.where(edges >= 0, edges, np.where(root >= 0, root, 0)), np.where(edges >= 0, 0, np.where(root >= 0, 1, 2))
+        phrases[0] = np.where(root >= 0, 0, 1)
+        move[:, width - 1], phrases[:, width - 1] = np.arange(len(go)), 0
+        return cls(own, (move * width * 4 + phrases).astype(np.uint32).ravel())
+
+    def phrases(self, codes: np.ndarray) -> np.ndarray:
+        state, count = np.zeros(codes.shape[1], np.uint32), np.zeros(codes.shape[1], np.uint32)
+        for row in self.own[codes]:
+            move = self.moves[state + row]
+            count += move & np.uint32(3)
+            state = move >> np.uint32(2)
+        return count + (state != 0)
+
+
+@dataclass
+class Sparse:
+    """An automaton as its sorted edges, for a language of many letters."""
+
+    own: np.ndarray
+    edges: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+
+    @classmethod
+    def of(cls, go: list[dict[int, int]], own: np.ndarray, width: int) -> Sparse:
+        edges = np.array([state * width + c for state, to in enumerate(go) for c in to], np.int64)
+        to = np.array([s for to in go for s in to.values()], np.int64)
+        root = np.full(width, -1, np.int64)
+        root[list(go[0].keys())] = list(go[0].values())
+        order = np.argsort(edges)
+        return cls(own, edges[order], to[order], root)
+
+    def phrases(self, codes: np.ndarray) -> np.ndarray:
+        width = len(self.root)
+        state, count = np.zeros(codes.shape[1], np.int64), np.zeros(codes.shape[1], np.uint32)
+        for row in self.own[codes]:
+            edge = state * width + row
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            hit, begin = self.edges[at] == edge, self.root[row]
+            ended = np.where(hit, 0, np.where(begin >= 0, 1, np.where(state == 0, 1, 2)))
+            pad = row == width - 1
+            count += np.where(pad, 0, ended).astype(np.uint32)
+            state = np.where(pad, state, np.where(hit, self.to[at], np.maximum(begin, 0)))
+        return count + (state != 0)
+
+
+@dataclass
+class LanguageModel:
+    """The automata of all languages, each over the letters of its own sample.
+
+    ``classes`` numbers the letters of all samples; the class before the last is that of any
+    other letter, the last one (``width - 1``) leaves a state as it is.
     """
 
     languages: list[str]
     classes: np.ndarray
-    moves: np.ndarray
-    roots: np.ndarray
+    automata: list[Dense | Sparse]
     pointer_bits: np.ndarray
     width: int
 
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """``[language, block]`` counts for ``codes[place, block]``."""
-        blocks = codes.shape[1]
-        state = np.repeat(self.roots, blocks)
-        count = np.zeros(len(state), np.uint32)
-        place = np.empty(len(state), np.uint32)
-        for row in codes:
-            np.add(state.reshape(-1, blocks), row, out=place.reshape(-1, blocks))
-            move = self.moves[place]
-            count += move & np.uint32(3)
-            state = move >> np.uint32(2)
-        count += state != np.repeat(self.roots, blocks)
-        return count.reshape(-1, blocks)
+        return np.stack([a.phrases(codes) for a in self.automata])
 
 
 def train(samples: dict[str, str]) -> LanguageModel:
     """A model of sample texts by language; languages without a letter in their sample are left out."""
     points = {lang: _normal(_code_points(text))[:SAMPLE_CHARS] for lang, text in sorted(samples.items())}
     points = {lang: p for lang, p in points.items() if (p != 0).any()}
-    seen, counts = np.unique(np.concatenate([p[p != 0] for p in points.values()] or [np.zeros(0, np.uint32)]), return_counts=True)
-    letters = seen[np.lexsort((seen, -counts))][:LETTERS]
-    unknown, pad, width = len(letters) + 1, len(letters) + 2, len(letters) + 3
-    classes = np.where(_is_letter(), unknown, 0).astype(np.uint8)
+    letters = np.unique(np.concatenate([p[p != 0] for p in points.values()] or [np.zeros(0, np.uint32)]))
+    unknown, width = len(letters) + 1, len(letters) + 3
+    classes = np.where(_is_letter(), unknown, 0).astype(np.uint32 if width > 1 << 16 else np.uint16)
     classes[letters] = np.arange(1, len(letters) + 1)
-    tables, roots, bits, base = [], [], [], 0
+    automata: list[Dense | Sparse] = []
     for p in points.values():
-        codes = classes[p].astype(np.int64)
-        codes[codes == unknown] = 0
-        go = suffix_automaton(codes.tolist(), width)
-        n = len(go)
-        again = np.where(go[0] >= 0, go[0], 0)
-        ended = np.where(go[0] >= 0, 1, 2)
-        move, phrases = np.where(go >= 0, go, again), np.where(go >= 0, 0, ended)
-        phrases[0] = np.where(go[0] >= 0, 0, 1)
-        move[:, pad], phrases[:, pad] = np.arange(n), 0
-        tables.append(((base + move * width) * 4 + phrases).astype(np.uint32).ravel())
-        roots.append(base)
-        bits.append(math.log2(max(2, len(p))))
-        base += n * width
-    return LanguageModel(list(points), classes, np.concatenate(tables) if tables else np.zeros(0, np.uint32), np.array(roots, np.uint32), np.array(bits), width)
+        have = np.unique(classes[p[p != 0]])
+        own = np.full(width, len(have) + 1, np.uint32)
+        own[0], own[have], own[width - 1] = 0, np.arange(1, len(have) + 1), len(have) + 2
+        go = suffix_automaton(own[classes[p]].tolist())
+        kind = Dense if len(go) * (len(have) + 3) <= DENSE else Sparse
+        automata.append(kind.of(go, own, len(have) + 3))
+    bits = np.array([math.log2(max(2, len(p))) for p in points.values()])
+    return LanguageModel(list(points), classes, automata, bits, width)
 
 
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -154,9 +195,8 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
         nonlocal pending, size
         if not pending:
             return
-        pad = np.uint8(model.width - 1)
         blocks = np.array([-(-len(c) // BLOCK) for _, c in pending])
-        flat = np.full((blocks.sum(), BLOCK), pad, np.uint8)
+        flat = np.full((blocks.sum(), BLOCK), model.width - 1, model.classes.dtype)
         lengths = np.array([len(c) for _, c in pending])
         first = np.concatenate([[0], np.cumsum(blocks)])
         row = np.repeat(first[:-1] * BLOCK, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
