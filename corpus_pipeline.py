@@ -16,7 +16,7 @@ from veritrail.llm.scratch import cut, table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those without a letter, and null texts, go."""
     found = identify(docs, fit(docs), label_col="__lang_pred", score_col="__lang_score")
-    return found.where(F.col("__lang_pred") != "und").drop("__lang_pred", "__lang_score")
+    return found.where((F.col("__lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).drop("__lang_pred", "__lang_score")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

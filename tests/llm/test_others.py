@@ -177,6 +177,12 @@ def test_round_trip_can_resync(spark):
     assert len(warc.salvage(bytes(data)).records) >= 48
 
 
+def test_language_stage_without_labels(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "some words", None), (2, "1 2 3", None), (3, None, None), (4, "Слово", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in pipeline.language_stage(spark, docs, "").collect()) == [1, 4]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from test_documents import TEXTS, components as group, sets_of
