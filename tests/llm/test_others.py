@@ -42,39 +42,95 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
-def test_probes_cover():
+def near_to(x, cosine, rng):
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def test_regions_and_buckets_cover():
+    """Visited regions hold neighbours as often as estimated, and visited buckets of two tables nearly all of them."""
     rng = np.random.default_rng(3)
-    hasher = ann.new_hasher(32, 0.6)
     x = rng.normal(size=(400, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.normal(size=(400, 32))
-    z -= (z * x).sum(1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    near = 0.6 * x + 0.8 * z
-    hit = np.take_along_axis(hasher.probes(x), hasher.buckets(near)[..., None], -1)[..., 0]
-    assert hit.mean() > ann.SUCCESS - 0.06 and hit.any(1).mean() > 0.93
+    hasher, cosine = ann.new_hasher(32), np.full(400, 0.6)
+    near = near_to(x, 0.6, rng)
+    for lead in (0, 1, 3):
+        visited = hasher.regions(x, cosine, lead)
+        held = np.take_along_axis(visited, (hasher.codes(near) >> hasher.shift(lead))[..., None], -1)[..., 0]
+        assert held.mean() > ann.REGION_SUCCESS - 0.03 and (lead < 3 or visited.mean() < 0.9)
+    pairs = [(x, near), (x, rng.permutation(x))]
+    found = []
+    for asked, other in pairs:
+        hit = np.zeros(400, bool)
+        for t in range(ann.TABLES):
+            for i in range(400):
+                part = ann.Part(hasher, t, np.arange(2), np.repeat(hasher.codes(other[i : i + 1])[:, t], 2), np.repeat(other[i : i + 1], 2, 0))
+                gains, least = hasher.scores(asked[i : i + 1], cosine[:1], t, ann.DEVIATIONS)
+                hit[i] |= sum(gains[0, g][part.groups[g]] for g in range(len(part.groups)))[0] >= least[0]
+        found.append(hit.mean())
+    assert found[0] > 0.75 and found[1] < 0.1
+
+
+def share_and_recall(spark, x, every=50, k=5):
+    tally = spark.sparkContext.accumulator(0)
+    n = len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, every, k, tally=tally).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    recall = {}
+    for q in range(0, n, every):
+        near = unit @ unit[q]
+        near[q] = -2
+        recall[q] = len(set(np.argpartition(-near, k)[:k].tolist()) & got[q]) / k
+    return tally.value / len(recall) / n, recall
+
+
+@pytest.mark.parametrize("n", [2000, 10_000, 100_000])
+def test_few_rows_compared(spark, n):
+    """On vectors without structure below a fifth of the rows is compared, and 0.9 of the neighbours are found."""
+    every = 50 if n < 100_000 else 500
+    share, recall = share_and_recall(spark, np.random.default_rng(n).normal(size=(n, 64)), every)
+    print(f"{n} vectors: {share:.3f} of the rows compared, recall {np.mean(list(recall.values())):.3f}")
+    assert share < 0.2 and np.mean(list(recall.values())) >= 0.9
 
 
 @pytest.mark.parametrize("grouped", [0.6, 0.8])
-def test_nearest_of_clusters(grouped):
+def test_nearest_of_clusters(spark, grouped):
     """Scattered vectors find their neighbours although most rows lie in tight groups."""
-    import pyarrow as pa
-
     rng = np.random.default_rng(6)
     n, size = 8000, 200
     groups = int(n * grouped) // size
     x = np.concatenate([np.repeat(rng.normal(size=(groups, 64)), size, 0) + 0.2 * rng.normal(size=(groups * size, 64)), rng.normal(size=(n - groups * size, 64))])
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hasher = ann.new_hasher(64, ann.neighbour_cosine(unit[rng.permutation(n)[: ann.SAMPLE]]))
-    part = lambda ids: pa.table({"cid": ids, "vector": list(x[ids]), "size": [64] * len(ids)})
-    for asked in (range(0, groups * size, 97), range(groups * size, n, 31)):
-        got: dict = {}
-        for q, j, _ in ann.search_shard({64: hasher}, part(np.arange(n)), part(np.array(asked)), 6):
-            got.setdefault(q, set()).add(j)
-        hits = sum(len(set(np.argsort(-(unit @ unit[q]))[:6].tolist()) & got[q]) for q in asked)
-        assert hits / (6 * len(asked)) >= 0.9
-    few = ann.search_shard({64: hasher}, part(np.array([0, n - 1, n - 2, n - 3])), part(np.array([0])), 6)
-    assert {j for _, j, _ in few} == {0, n - 1, n - 2, n - 3}
+    share, recall = share_and_recall(spark, x)
+    inside = np.array([q < groups * size for q in recall])
+    values = np.array(list(recall.values()))
+    print(f"{share:.3f} of the rows compared, recall {values[inside].mean():.3f} in groups, {values[~inside].mean():.3f} elsewhere")
+    assert values[inside].mean() >= 0.9 and values[~inside].mean() >= 0.9 and share < 0.25
+
+
+def test_nearest_of_odd_vectors(spark, monkeypatch):
+    """Magnitudes whose squares overflow or vanish, an id with two vectors, parts of a region, clashing columns, few dimensions."""
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [1e-310, 0.0]), (3, [3.0, 3.0]), (3, [0.0, 1.0]), (50, [2.0, 0.1]), (4, [-1e300, 1.0])]
+    names = "vec_id long, embedding array<double>, size int, entry string, cosine int, vector string, query int"
+    df = spark.createDataFrame([(*r, 1, "e", 1, "v", 1) for r in rows], names)
+    got = {}
+    for r in ann.nearest(df, 50, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [j for j, _ in got[0]] == [3, 1, 50, 2, 3] and got[0][0][1] == pytest.approx(1.0)
+    assert [j for j, _ in got[50]][::3] == [2, 1] and {j for j, _ in got[50][1:3]} == {0, 3} and got[50][0][1] == pytest.approx(2 / np.hypot(2, 0.1), abs=1e-15)
+    monkeypatch.setattr(ann, "LEAST_PART", 40)
+    monkeypatch.setattr(ann, "MOST_PART", 40)
+    x = np.random.default_rng(8).normal(size=(3000, 24))
+    _, recall = share_and_recall(spark, x)
+    assert np.mean(list(recall.values())) >= 0.9
+    for dimension in (1, 2, 3):
+        _, recall = share_and_recall(spark, np.random.default_rng(9).normal(size=(600, dimension)) if dimension > 1 else np.array([[float(i - 300 or 1)] for i in range(600)]), 50, 2)
+        assert dimension == 1 or np.mean(list(recall.values())) >= 0.9
 
 
 @pytest.mark.parametrize("small", [0, 1000])
