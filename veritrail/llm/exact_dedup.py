@@ -8,10 +8,10 @@ other digests take the ordinary shuffle by digest; the sketch bounds the size of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, table
+from .scratch import cut, spare, table
 
 #: Counters of a sketch, and sketches that all rows are counted in.
 COUNTERS, SKETCH_TASKS = 8192, 64
@@ -57,12 +57,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = cut(digests(docs, id_col, text_col), "digests")
     heavy = cut(frequent_digests(keys), "heavy")
     common = keys.join(F.broadcast(heavy), "digest")
-    group = Window.partitionBy("digest")
-    rare = (
-        keys.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-        .withColumn("keep_id", F.max("doc_id").over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
+    others = keys.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    groups = others.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rare = others.join(groups, "digest").select(*common.columns)
     return common.unionByName(rare).select(
         "doc_id",
         "keep_id",
@@ -73,12 +70,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the copies that :func:`exact_groups` drops."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns, without the copies that :func:`exact_groups` drops.
+
+    A row goes by its id and its text together: another text of the same id stays. A null id is
+    an id like any other here, so a copy without one goes where a copy with one stays, and where
+    no copy has an id they all stay. Rows that repeat the staying one stay with it. Null and
+    empty texts are equal. An empty table gives no rows; columns may have any names.
+    """
+    gone_id, gone_digest = spare(docs, "gone_id"), spare(docs, "gone_digest")
+    dropped = exact_groups(docs, id_col, text_col).where(~F.col("kept"))
+    gone = dropped.select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_digest)).distinct()
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (digest == gone[gone_digest]), "left_anti")
 
 
 def op2_exact_dedup(spark, sf_dir):
+    """Groups of equal texts of ``documents``, by :func:`exact_groups`."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

@@ -1,5 +1,15 @@
-"""Tables in the shared folder, as the rest of the library makes them."""
+"""Tables in the shared folder, as the rest of the library makes them, and names that no column has."""
+
+from pyspark.sql import DataFrame
 
 from ..plans.scratch import cut, new_path, shared_folder, table
 
-__all__ = ["cut", "new_path", "shared_folder", "table"]
+__all__ = ["cut", "new_path", "shared_folder", "spare", "table"]
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
