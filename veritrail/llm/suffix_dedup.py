@@ -31,17 +31,30 @@ ANCHOR = 32
 STEP = 1 << 20
 #: Anchors of more texts are long lists, whose contexts are dealt into parts; documents of a part, on average.
 LONG_LIST, PART_DOCS = 4096, 16_384
+#: Bytes whose places are told apart by so many bits.
 _PLACE_BITS = np.uint64(28)
+PIECE = 1 << 27
 
 
 # --- anchors -----------------------------------------------------------------------------
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring string starts with a common anchor: hash of the anchor, first and last start.
 
-    Places count from the start of ``data``; a run lies in one document.
+    Places count from the start of ``data``; a run lies in one document. More than ``piece``
+    bytes, so a very long document, are read in pieces that share the strings on their borders.
     """
+    found = []
+    for at in range(0, max(1, len(data)), piece):
+        end = min(len(data), at + piece + LENGTH - 1)
+        inside = np.unique(np.clip(offsets, at, end)) - at
+        tokens, first, last = _piece_runs(data[at:end], inside if len(inside) > 1 else np.zeros(2, np.int64))
+        found.append((tokens, first + at, last + at))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _piece_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     n = len(data)
     if n < LENGTH:
@@ -74,36 +87,34 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return value[anchor[first]], starts[first], starts[last]
 
 
-_CONTEXTS = ["token", "doc_id", "start", "end", "context", "long"]
+_CONTEXTS = ["token", "doc_id", "key", "start", "end", "context", "long"]
 
 
-def _text_key(sha: bytes) -> int:
-    """An even 64-bit key of a text; the odd number after it stands for a second place in the same text."""
-    return int.from_bytes(sha[:8], "little", signed=True) & ~1
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, key, text``: an even 64-bit key of the text; the odd number after it stands for a second place in the same text."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(-2))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, n, key, sha``."""
+    """``doc_id, key, n, sha``."""
     for batch in batches:
         for part in steps(batch, limit=STEP):
-            data, offsets = flat_utf8(part.column(1))
+            data, offsets = flat_utf8(part.column(2))
             shas = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array([_text_key(s) for s in shas], pa.int64()), pa.array(shas, pa.binary())], ["doc_id", "n", "key", "sha"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.array(shas, pa.binary())], ["doc_id", "key", "n", "sha"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``token, hi``: anchors with the key of their text, and once more with the odd key if the text repeats them."""
     for batch in batches:
         for part in steps(batch, limit=STEP):
-            data, offsets = flat_utf8(part.column(0))
+            data, offsets = flat_utf8(part.column(1))
             tokens, first, _ = anchor_runs(data, offsets)
             if not len(tokens):
                 continue
             doc = np.searchsorted(offsets, first, "right") - 1
-            keys = np.zeros(len(offsets) - 1, np.int64)
-            for d in np.unique(doc).tolist():
-                keys[d] = _text_key(hashlib.sha256(data[offsets[d] : offsets[d + 1]]).digest())
-            token, owner = tokens.view(np.int64), keys[doc]
+            token, owner = tokens.view(np.int64), np.asarray(part.column(0))[doc]
             order = np.lexsort((token, doc))
             token, owner, doc = token[order], owner[order], doc[order]
             same = np.zeros(len(token), bool)
@@ -117,7 +128,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``token, doc_id, start, end, context, long`` of the rows' repeated anchors: the bytes of all strings of a run.
+    """``token, doc_id, key, start, end, context, long`` of the rows' repeated anchors: the bytes of all strings of a run.
 
     A context that its document has before is a copy as a whole; of such there is only a row
     without a context for each stretch of them.
@@ -131,8 +142,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
             chosen, flags = [], []
             for d in range(part.num_rows):
-                if column["key"][d].as_py() != _text_key(hashlib.sha256(data[offsets[d] : offsets[d + 1]]).digest()):
-                    continue
                 own = tokens[bounds[d] : bounds[d + 1]]
                 for name in ("short", "long"):
                     wanted = np.asarray(column[name][d].values)
@@ -153,18 +162,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add((own[i], body))
                     kept.append(i)
             starts = first[at] - offsets[doc[at]]
-            ids = column["doc_id"].take(pa.array(doc[at]))
+            ids, keys = (column[c].take(pa.array(doc[at])) for c in ("doc_id", "key"))
             rows = pa.array(kept, pa.int64())
             ends = starts + np.array([len(x) for x in bodies])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at[kept]]), ids.take(rows), pa.array(starts[kept]), pa.array(ends[kept]), pa.array([bodies[i] for i in kept], pa.binary()), pa.array(flag[kept])], _CONTEXTS)
+            arrays = [ids.take(rows), keys.take(rows), pa.array(starts[kept]), pa.array(ends[kept]), pa.array([bodies[i] for i in kept], pa.binary()), pa.array(flag[kept])]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at[kept]]), *arrays], _CONTEXTS)
             if copies:
                 order = np.array(copies)[np.lexsort((starts[copies], doc[at[copies]]))]
                 apart = np.ones(len(order), bool)
                 apart[1:] = (doc[at[order[1:]]] != doc[at[order[:-1]]]) | (starts[order[1:]] > ends[order[:-1]])
                 begin = np.flatnonzero(apart)
                 stop = np.maximum.reduceat(ends[order], begin)
-                whole = ids.take(pa.array(order[begin]))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(begin), pa.int64()), whole, pa.array(starts[order[begin]]), pa.array(stop), pa.nulls(len(begin), pa.binary()), pa.nulls(len(begin), pa.bool_())], _CONTEXTS)
+                whole, n = pa.array(order[begin]), len(begin)
+                arrays = [ids.take(whole), keys.take(whole), pa.array(starts[order[begin]]), pa.array(stop), pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *arrays], _CONTEXTS)
 
 
 # --- buckets -----------------------------------------------------------------------------
@@ -232,14 +243,14 @@ def _runs(found: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refine_block(block: pa.RecordBatch, bounds: np.ndarray, column: int, firsts: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None]:
-    """Spans ``doc_id, start, end`` of later copies in a block of groups, and, if asked, the first copies ``doc_id, start, digest``.
+    """Spans ``doc_id, key, start, end`` of later copies in a block of groups, and, if asked, the first copies ``doc_id, key, start, digest``.
 
-    From ``column`` on stand doc_id, start and context, in that order in each group. A context
+    From ``column`` on stand doc_id, key, start and context, in that order in each group. A context
     that equals an earlier one of its group is a copy as a whole; only others are refined, and
     only where a group has several.
     """
-    contexts = block.column(column + 2).to_pylist()
-    starts, docs = np.asarray(block.column(column + 1)), block.column(column)
+    contexts = block.column(column + 3).to_pylist()
+    starts, docs, keys = np.asarray(block.column(column + 2)), block.column(column), block.column(column + 1)
     whole, chosen = [], []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         seen: set[bytes] = set()
@@ -277,14 +288,22 @@ def _refine_block(block: pa.RecordBatch, bounds: np.ndarray, column: int, firsts
             r = np.searchsorted(limits, places, "right") - 1
             raw = data.tobytes()
             digests = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in places.tolist()]
-            first_copies = pa.RecordBatch.from_arrays([docs.take(pa.array(chosen[r])), pa.array(places - limits[r] + starts[chosen[r]]), pa.array(digests, pa.binary())], ["doc_id", "start", "digest"])
-    row = np.concatenate(row)
-    spans = pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array(np.concatenate(begin)), pa.array(np.concatenate(end))], ["doc_id", "start", "end"]) if len(row) else None
-    return spans, first_copies
+            at = pa.array(chosen[r])
+            arrays = [docs.take(at), keys.take(at), pa.array(places - limits[r] + starts[chosen[r]]), pa.array(digests, pa.binary())]
+            first_copies = pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "start", "digest"])
+    row = pa.array(np.concatenate(row))
+    if not len(row):
+        return None, first_copies
+    arrays = [docs.take(row), keys.take(row), pa.array(np.concatenate(begin)), pa.array(np.concatenate(end))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "start", "end"]), first_copies
+
+
+_SPAN = ["doc_id", "key", "start", "end"]
+_SPAN_TYPES = "doc_id long, key long, start long, end long"
 
 
 def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of rows ``token, doc_id, start, context`` sorted by the first three."""
+    """Spans of rows ``token, doc_id, key, start, context`` sorted by the first four."""
     for block, bounds in whole_groups(batches, 1, rows=2000):
         spans, _ = _refine_block(block, bounds, 1, False)
         if spans is not None:
@@ -292,29 +311,29 @@ def _refine_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _refine_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans, and first copies with their digest, of rows ``token, part, doc_id, start, context`` sorted by the first four."""
+    """Spans, and first copies with their digest, of rows ``token, part, doc_id, key, start, context`` sorted by the first five."""
     for block, bounds in whole_groups(batches, 2, rows=2000):
         spans, first = _refine_block(block, bounds, 2, True)
         if spans is not None:
-            yield pa.RecordBatch.from_arrays([*spans.columns, pa.nulls(spans.num_rows, pa.binary())], ["doc_id", "start", "end", "digest"])
+            yield pa.RecordBatch.from_arrays([*spans.columns, pa.nulls(spans.num_rows, pa.binary())], [*_SPAN, "digest"])
         if first is not None:
-            yield pa.RecordBatch.from_arrays([first.column(0), first.column(1), pc.add(first.column(1), LENGTH), first.column(2)], ["doc_id", "start", "end", "digest"])
+            yield pa.RecordBatch.from_arrays([*first.columns[:3], pc.add(first.column(2), LENGTH), first.column(3)], [*_SPAN, "digest"])
 
 
 def _long_spans(contexts: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, start, end`` for anchors with very many places.
+    """Spans for anchors with very many places.
 
     Their contexts are dealt into parts by document, and each part is refined by itself. What
     is first in its part is then compared between parts by its digest: the first place of each
     string comes from an aggregate with map-side combining, others are copies after all.
     """
-    dealt = contexts.select("token", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "start", "context")
-    rows = dealt.repartition(_width(contexts.sparkSession), "token", "part").sortWithinPartitions("token", "part", "doc_id", "start")
-    found = cut(rows.mapInArrow(_refine_parts, "doc_id long, start long, end long, digest binary"), "parts")
-    firsts = found.where("digest IS NOT NULL")
-    winners = firsts.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = firsts.join(winners, "digest").where(F.struct("doc_id", "start") != F.col("first"))
-    return found.where("digest IS NULL").select("doc_id", "start", "end").unionByName(again.select("doc_id", "start", "end"))
+    dealt = contexts.select("token", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int").alias("part"), "doc_id", "key", "start", "context")
+    rows = dealt.repartition(_width(contexts.sparkSession), "token", "part").sortWithinPartitions("token", "part", "doc_id", "key", "start")
+    found = cut(rows.mapInArrow(_refine_parts, f"{_SPAN_TYPES}, digest binary"), "parts")
+    firsts, place = found.where("digest IS NOT NULL"), F.struct("doc_id", "key", "start")
+    winners = firsts.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = firsts.join(winners, "digest").where(place != F.col("first"))
+    return found.where("digest IS NULL").select(*_SPAN).unionByName(again.select(*_SPAN))
 
 
 # --- result ------------------------------------------------------------------------------
@@ -348,22 +367,35 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
-    """``doc_id, spans`` (array of start, end) of the documents that hold a repeated string; spans may overlap."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    width = _width(docs.sparkSession)
-    profiles = cut(texts.mapInArrow(_profiles, "doc_id long, n long, key long, sha binary"), "profiles")
-    first = cut(profiles.groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("key").alias("key"), F.first("n").alias("n")).where(f"n >= {LENGTH}"), "first")
-    copies = profiles.join(first.select("sha", "first"), "sha").where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    """``doc_id, key, spans`` (array of start, end) of the documents that hold a repeated string; spans may overlap.
 
-    anchors = texts.select("text").mapInArrow(_anchors, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
-    shared = anchors.mapInArrow(lambda batches: mark_shared(batches, long_list), "hi long, token long, long boolean").withColumn("key", F.col("hi").bitwiseAND(F.lit(-2)))
-    listed = shared.groupBy("key").agg(F.collect_set(F.when(~F.col("long"), F.col("token"))).alias("short"), F.collect_set(F.when(F.col("long"), F.col("token"))).alias("long"))
+    ``key`` is that of the text, see :func:`remove_repeats` for one id on several texts.
+    """
+    texts = _keyed(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    width = _width(docs.sparkSession)
+    profiles = cut(texts.mapInArrow(_profiles, "doc_id long, key long, n long, sha binary"), "profiles")
+    first = profiles.groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("key").alias("key"), F.first("n").alias("n"))
+    first = cut(first.where(f"n >= {LENGTH}"), "first")
+    copies = profiles.select("doc_id", "sha").join(first, "sha").where("doc_id <> first").select("doc_id", "key", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+
+    anchors = texts.select("key", "text").mapInArrow(_anchors, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
+    shared = anchors.mapInArrow(lambda batches: mark_shared(batches, long_list), "hi long, token long, long boolean")
+    shared = shared.withColumn("key", F.col("hi").bitwiseAND(F.lit(-2)))
+    tokens = lambda long, name: F.collect_set(F.when(F.col("long") == long, F.col("token"))).alias(name)
+    listed = shared.groupBy("key").agg(tokens(False, "short"), tokens(True, "long"))
     wanted = cut(listed.join(first.select(F.col("first").alias("doc_id"), "key"), "key"), "wanted")
-    contexts = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "key", "short", "long").mapInArrow(_contexts, "token long, doc_id long, start long, end long, context binary, long boolean")
-    contexts = cut(contexts, "contexts")
-    short = contexts.where("NOT long").select("token", "doc_id", "start", "context").repartition(width, "token").sortWithinPartitions("token", "doc_id", "start")
-    spans = short.mapInArrow(_refine_groups, "doc_id long, start long, end long").unionByName(_long_spans(contexts.where("long"), max(16, -(-profiles.count() // PART_DOCS)))).unionByName(copies).unionByName(contexts.where("context IS NULL").select("doc_id", "start", "end"))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    held = texts.join(wanted.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "short", "long")
+    contexts = cut(held.mapInArrow(_contexts, f"token long, {_SPAN_TYPES}, context binary, long boolean"), "contexts")
+    order = ("token", "doc_id", "key", "start")
+    short = contexts.where("NOT long").select(*order, "context").repartition(width, "token").sortWithinPartitions(*order)
+    parts = max(16, -(-profiles.count() // PART_DOCS))
+    spans = (
+        short.mapInArrow(_refine_groups, _SPAN_TYPES)
+        .unionByName(_long_spans(contexts.where("long"), parts))
+        .unionByName(copies)
+        .unionByName(contexts.where("context IS NULL").select(*_SPAN))
+    )
+    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
@@ -372,14 +404,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if it is covered by a string of ``LENGTH`` bytes of the UTF-8 text that also
     starts earlier: in a document of smaller id, or earlier in the same one, overlaps included.
     Strings are those of the input and never cross documents. A null text counts as empty.
-    Rows that repeat a document are that document; ids of different texts should differ. A row
-    without an id neither loses bytes nor counts as earlier.
+    Rows that repeat a document are that document. Several texts of one id are documents of
+    their own, in the order of a 64-bit key of the text. A row without an id neither loses bytes
+    nor counts as earlier. An empty table gives no rows; columns but the two named are not read.
+    Very long texts are read in pieces that overlap.
     """
     spans = cut(repeated_spans(docs, id_col, text_col, long_list), "spans")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = texts.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+    both = _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["doc_id", "key"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark, sf_dir):
+    """Repeated strings of all ``documents`` by :func:`remove_repeats`."""
     return remove_repeats(table(spark, sf_dir, "documents"))
