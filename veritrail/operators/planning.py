@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import split_of
+from .ordering import numbered, running_sum
 
 REGRESSION_SAMPLE = 50
 MAX_RANGE_VALUES = 1000
@@ -21,7 +22,7 @@ def spread(chunks: DataFrame, questions: int, order: list[str]) -> DataFrame:
     """
     total = chunks.agg(F.count(F.lit(1)).alias("__n"))
     q = F.lit(max(0, questions))
-    rows = chunks.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).crossJoin(F.broadcast(total))
+    rows = numbered(chunks, order, "__i").crossJoin(F.broadcast(total))
     # Of q evenly spaced ones, chunk i is taken if some j < q has floor(j n / q) = i.
     taken = F.ceil(F.col("__i") * q / F.col("__n")) * F.col("__n") < (F.col("__i") + 1) * q
     many = F.floor(q / F.col("__n")) + F.when(F.col("__i") < q % F.col("__n"), 1).otherwise(0)
@@ -69,7 +70,7 @@ def chunks_to_write(pool: DataFrame, before: DataFrame, after: DataFrame, target
     new = after.join(before.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
     sizes = new.agg(F.count(F.lit(1)).alias("__new")).crossJoin(after.agg(F.count(F.lit(1)).alias("__all")))
     share = F.greatest(F.lit(1), F.round(F.lit(float(target)) * F.col("__new") / F.col("__all"))).cast("bigint")
-    rows = new.withColumn("__i", F.row_number().over(Window.orderBy("chunk_id")) - 1).crossJoin(F.broadcast(sizes)).withColumn("__q", share)
+    rows = numbered(new, ["chunk_id"], "__i").crossJoin(F.broadcast(sizes)).withColumn("__q", share)
     first = F.ceil(F.col("__i") * F.col("__q") / F.col("__new"))
     few = F.when((first * F.col("__new") < (F.col("__i") + 1) * F.col("__q")) & (first < F.col("__q")), 1).otherwise(0)
     many = F.floor(F.col("__q") / F.col("__new")) + F.when(F.col("__i") < F.col("__q") % F.col("__new"), 1).otherwise(0)
@@ -89,8 +90,7 @@ def plan_generation(chunks: DataFrame, covered: DataFrame, before: DataFrame) ->
 
 def within_budget(work: DataFrame, cap: int, order: list[str], cost: str = "cost") -> DataFrame:
     """The first rows whose summed cost stays within the cap; a row that would pass it ends the work."""
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return work.withColumn("spent", F.sum(cost).over(upto)).where(F.col("spent") <= cap)
+    return running_sum(work, order, cost, "spent").where(F.col("spent") <= cap)
 
 
 def check_cost(generated_chunks: int, questions: int) -> tuple[int, int]:

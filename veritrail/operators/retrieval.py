@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import share_threshold
-from ..functions.text import STOPWORDS, bigram_match, bigrams, tokens_alnum
+from ..functions.text import MIN_BIGRAMS, STOPWORDS, bigram_match, bigrams, tokens_alnum
+from ..plans.scratch import cut
+from .ranking import DIGITS, K1, B, best_passages, bounded, bounded_matches
 
-K1, B = 1.5, 0.75
 MATCH_THRESHOLD = 0.5
-#: Scores are rounded before they are compared, so that equal passages tie in any order of summation.
-DIGITS = 6
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -20,6 +19,29 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", score: str = "scor
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int, ranker: str = "bm25", weight: float = 0.5) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: the k best passages of each question by bm25, trigram, hybrid or overlap.
+
+    A bounded set of questions is sent to the passages (:mod:`.ranking`). More questions than
+    that meet the passages by joins on their terms, which shuffle a row for each question and
+    passage that share one.
+    """
+    if bounded(queries):
+        return best_passages(chunks, queries, k, ranker, weight, STOPWORDS if ranker == "overlap" else ())
+    if ranker == "overlap":
+        scored = overlap_scores(chunks, queries)
+        # Passages that share nothing fill the places left: of the first 2 k ids at least k are not among those found.
+        first = F.broadcast(chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k))
+        others = queries.select("query_id").crossJoin(first).withColumn("score", F.lit(0.0))
+        found = top_k(scored, k).select("query_id", "chunk_id", "score")
+        scored = found.unionByName(others.join(found, ["query_id", "chunk_id"], "left_anti"))
+    elif ranker == "hybrid":
+        scored = hybrid(bm25(chunks, queries), trigram_cosine(chunks, queries), weight)
+    else:
+        scored = {"bm25": bm25, "trigram": trigram_cosine}[ranker](chunks, queries)
+    return top_k(scored, k).select("query_id", "chunk_id", "score", "rank")
+
+
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, score`` of all chunks that share a term with a query.
 
@@ -70,8 +92,11 @@ def hybrid(lexical: DataFrame, vector: DataFrame, weight: float = 0.5) -> DataFr
 
 
 def rerank(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, source: str = "chunk_id") -> DataFrame:
-    """Of the best 4k rows the first k distinct sources by the share of the query's words in the passage."""
-    first = ranked.where(F.col("rank") <= 4 * k).select("query_id", "chunk_id", F.col("rank").alias("before"))
+    """Of the best 4k rows the first k distinct sources by the share of the query's words in the passage.
+
+    The few ranked rows are written, so that Spark knows their size and broadcasts them if it is small.
+    """
+    first = cut(ranked.where(F.col("rank") <= 4 * k).select("query_id", "chunk_id", F.col("rank").alias("before")), "first")
     words = lambda c: F.array_distinct(tokens_alnum(c))
     asked = queries.select("query_id", words("text").alias("asked"))
     have = chunks.select("chunk_id", F.col(source).alias("source"), words("text").alias("have")) if source != "chunk_id" else chunks.select("chunk_id", F.col("chunk_id").alias("source"), words("text").alias("have"))
@@ -135,7 +160,9 @@ def match_contexts(contexts: DataFrame, gold: DataFrame, threshold: float = MATC
 
 
 def corpus_matches(chunks: DataFrame, gold: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """``query_id, chunk_id, score`` of all chunks that overlap a gold text, by an inverted list of bigrams."""
+    """``query_id, chunk_id, score`` of all chunks that overlap a gold text: in one pass if the gold texts are bounded, else by an inverted list."""
+    if bounded(gold):
+        return bounded_matches(chunks, gold, threshold, MIN_BIGRAMS)
     have = chunks.select("chunk_id", bigrams("text").alias("grams")).select("chunk_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     want = gold.select("query_id", bigrams("text").alias("grams")).select("query_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
     shared = have.join(want, "gram").groupBy("query_id", "chunk_id", "n", "m").agg(F.count(F.lit(1)).alias("shared"))

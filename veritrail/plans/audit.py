@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.ids import hash_content, share_threshold, stable_chunk_id
 from ..functions.text import tokens_alnum
 from ..operators.chunking import chunk_fixed
-from ..operators.retrieval import bm25, degrade, match_contexts, top_k
+from ..operators.ordering import numbered
+from ..operators.retrieval import degrade, match_contexts, retrieve
 from ..operators.scoring import failure_class, judge_correct, verdict
+from .scratch import cut
 
 ANSWER_WORDS, K = 6, 5
 CLOSED_BOOK_PERCENT, DEGRADED_PERCENT = 25, 30
@@ -37,11 +39,8 @@ def audit_cases(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     chunks = corpus_chunks(docs)
     questions = cloze_questions(items)
-    ids = chunks.select("chunk_id", "doc_id", "position")
-    from pyspark.sql import Window
-
-    numbered = ids.select("chunk_id", (F.row_number().over(Window.orderBy("doc_id", "position")) - 1).alias("number"))
-    ranked = degrade(top_k(bm25(chunks, questions), K), numbered, DEGRADED_PERCENT)
+    ids = numbered(chunks.select("chunk_id", "doc_id", "position"), ["doc_id", "position"])
+    ranked = cut(degrade(retrieve(chunks, questions, K), ids, DEGRADED_PERCENT), "ranked")
     contexts = ranked.join(chunks.select("chunk_id", "text"), "chunk_id")
     found = match_contexts(contexts.select("query_id", "rank", "text"), questions.select("query_id", F.col("gold").alias("text")))
     best = contexts.where("rank = 1").select("query_id", F.col("text").alias("best"), F.col("chunk_id").alias("best_chunk"))

@@ -17,6 +17,7 @@ from .operators import planning as P
 from .operators import retrieval as V
 from .operators import scoring as S
 from .operators import versioning as N
+from .operators.ordering import numbered
 from .plans import audit as A
 from .plans import sql as Q
 from .sources import corpus as L
@@ -527,16 +528,16 @@ def match_by_text(t):
 
 @query(f"WITH {Q.CHUNKS}, {Q.CLOZE}, {Q.BM25} {Q.top('scored', 5)}")
 def retrieve_bm25(t):
-    return V.top_k(V.bm25(t.chunks, t.questions), 5).select("query_id", "chunk_id", "score", "rank")
+    return V.retrieve(t.chunks, t.questions, 5)
 
 
 _WORDS = "list_distinct([w FOR w IN " + Q.tokens("text") + f" IF NOT list_contains({Q.STOP}, w)])"
 _OVERLAP = f"overlap AS (SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM (SELECT chunk_id, unnest({_WORDS}) AS w FROM chunks) JOIN (SELECT query_id, unnest({_WORDS}) AS w FROM questions) USING (w) GROUP BY ALL)"
 
 
-@query(f"WITH {Q.CHUNKS}, {Q.CLOZE}, {_OVERLAP} {Q.top('overlap', 5)}")
+@query(f"WITH {Q.CHUNKS}, {Q.CLOZE}, {_OVERLAP}, every AS (SELECT query_id, chunk_id, coalesce(score, 0.0) AS score FROM (SELECT query_id, chunk_id FROM questions, chunks) LEFT JOIN overlap USING (query_id, chunk_id)) {Q.top('every', 5)}")
 def retrieve_overlap(t):
-    return V.top_k(V.overlap_scores(t.chunks, t.questions), 5).select("query_id", "chunk_id", "score", "rank")
+    return V.retrieve(t.chunks, t.questions, 5, "overlap")
 
 
 def _grams(table: str, key: str) -> str:
@@ -549,7 +550,7 @@ _TRIGRAM = f"cg AS ({_grams('chunks', 'chunk_id')}), qg AS ({_grams('questions',
 
 @query(f"WITH {Q.CHUNKS}, {Q.CLOZE}, {_TRIGRAM} {Q.top('cosine', 5)}")
 def trigram_cosine(t):
-    return V.top_k(V.trigram_cosine(t.chunks, t.questions), 5).select("query_id", "chunk_id", "score", "rank")
+    return V.retrieve(t.chunks, t.questions, 5, "trigram")
 
 
 _HYBRID = f"hyb AS (SELECT query_id, chunk_id, round(0.6 * coalesce(lex, 0) + 0.4 * coalesce(c.score, 0), 6) AS score FROM (SELECT query_id, chunk_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) AS lex FROM scored) s FULL JOIN cosine c USING (query_id, chunk_id))"
@@ -557,8 +558,7 @@ _HYBRID = f"hyb AS (SELECT query_id, chunk_id, round(0.6 * coalesce(lex, 0) + 0.
 
 @query(f"WITH {Q.CHUNKS}, {Q.CLOZE}, {Q.BM25}, {_TRIGRAM}, {_HYBRID} {Q.top('hyb', 5)}")
 def retrieve_hybrid(t):
-    scored = V.hybrid(V.bm25(t.chunks, t.questions), V.trigram_cosine(t.chunks, t.questions), 0.4)
-    return V.top_k(scored, 5).select("query_id", "chunk_id", "score", "rank")
+    return V.retrieve(t.chunks, t.questions, 5, "hybrid", 0.4)
 
 
 @query(f"""WITH {Q.CHUNKS}, {Q.CLOZE}, {Q.BM25}, r AS ({Q.top('scored', 20)}),
@@ -566,14 +566,14 @@ s AS (SELECT r.query_id, r.chunk_id, r.rank AS before, c.doc_id, round({Q.shared
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, before) = 1)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank, chunk_id, score FROM b QUALIFY rank <= 5""")
 def rerank(t):
-    ranked = V.top_k(V.bm25(t.chunks, t.questions), 20)
+    ranked = V.retrieve(t.chunks, t.questions, 20)
     return V.rerank(ranked, t.chunks, t.questions, 5, source="doc_id")
 
 
 @query(f"WITH {Q.CHUNKS}, {Q.CLOZE}, {Q.BM25}, {Q.DEGRADED} SELECT query_id, rank, chunk_id, swap FROM degraded")
 def retrieve_degraded(t):
-    ids = t.chunks.select("chunk_id", (F.row_number().over(Window.orderBy("doc_id", "position")) - 1).alias("number"))
-    return V.degrade(V.top_k(V.bm25(t.chunks, t.questions), 5), ids)
+    ids = numbered(t.chunks.select("chunk_id", "doc_id", "position"), ["doc_id", "position"])
+    return V.degrade(V.retrieve(t.chunks, t.questions, 5), ids)
 
 
 @query(f"""WITH {Q.CHUNKS}, c AS (SELECT chunk_id, doc_id, position, {Q.content('text')} AS t, {Q.split('chunk_id')} AS s FROM chunks),

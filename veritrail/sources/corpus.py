@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import hash_content, stable_chunk_id
 from ..functions.text import parse_timestamp
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_fixed
+from ..operators.ordering import numbered
 from ..operators.versioning import duplicate_keys
 
 
@@ -51,8 +52,6 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
     doc_id is the chunk_id; a missing position is the number of chunks before. Further string
     fields go to ``metadata``, others are dropped.
     """
-    from pyspark.sql import Window
-
     rows = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     known = ("chunk_id", "text", "doc_id", "position", "timestamp")
     get = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind)
@@ -66,11 +65,13 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
         .when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank text")
         .when(F.col("stamp").isNotNull() & parse_timestamp("stamp").isNull(), "timestamp is not ISO 8601")
     )
-    # JSON text of a value tells its type: only strings begin with a quote.
-    fields = F.from_json("value", "map<string,string>")
-    raw = F.map_filter(fields, lambda k, _: ~k.isin(*known))
-    strings = F.map_filter(raw, lambda k, v: F.instr(F.regexp_replace("value", r"\s*:\s*", ":"), F.concat(F.lit('"'), k, F.lit('":"'))) > 0)
-    place = F.row_number().over(Window.orderBy("line")) - 1
+    # The type of each value comes from the value itself: its JSON text begins with a quote if it is a string.
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    strings = F.map_filter(fields, lambda k, v: ~k.isin(*known) & (F.schema_of_variant(v) == "STRING"))
+    strings = F.transform_values(strings, lambda k, v: F.try_variant_get(v, "$", "string"))
+    # As many chunks lie before a line as lines do that aren't blank.
+    parts = numbered(parts, ["line"], "__place")
+    place = F.col("__place")
     return parts.select("line", "chunk_id", F.coalesce("doc", "chunk_id").alias("doc_id"), F.coalesce("pos", place.cast("int")).alias("position"), "text", parse_timestamp("stamp").alias("timestamp"), strings.alias("metadata"), problem.alias("problem"))
 
 
