@@ -20,12 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import flat_utf8, steps
 from .components import connected_components
-from .scratch import cut, table
+from .scratch import cut, spare, table
 from .shingles import shingle_sets
 from .streams import whole_groups
 
@@ -200,12 +200,13 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, n, hi, lo``: size and digest of each document's set."""
+    """``doc_id, key, n, hi, lo`` of ``doc_id, key, text``: size and digest of each document's set."""
     for batch in batches:
         for part in steps(batch):
             values, bounds = _sets(part)
             marks = [_digest(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))], ["doc_id", "n", "hi", "lo"])
+            digests = [pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds)), *digests], ["doc_id", "key", "n", "hi", "lo"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,6 +430,11 @@ def _merge_leaders(member: DataFrame, sets: DataFrame) -> DataFrame:
     return member
 
 
+def _text_key(text) -> Column:
+    """64 bits by which the texts of one id are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
@@ -436,20 +442,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holds the distinct runs of five words, or the whole sequence of fewer words. Two documents
     link when 100 * intersection >= 75 * union; ``component_id`` is the smallest id reachable,
     ``class_id`` that of documents with the same set. A document without words (null or empty
-    text) links with nothing: both are its own id. A row without an id takes its part through
-    its set only. Repeated rows are one document. Shingles are compared by 64-bit hashes.
+    text) links with nothing: both are its own id. Rows without an id take part like others,
+    and are named only where no document of theirs has an id. Repeated rows are one document;
+    one id on two texts is two, each with the links of its text. An empty table gives no rows;
+    columns but the two named are not read. Shingles are compared by 64-bit hashes.
     """
+    return _labelled(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, key, n, class_id, component_id, kept`` for every row; ``kept`` tells the one document of its component that stays."""
     spark = docs.sparkSession
     width = _width(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = cut(texts.mapInArrow(_profiles, "doc_id long, n long, hi long, lo long"), "profiles")
-    classes = cut(profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n")).where("cid IS NOT NULL"), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    profiles = cut(texts.mapInArrow(_profiles, "doc_id long, key long, n long, hi long, lo long"), "profiles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    classes = profiles.where("n > 0").groupBy("hi", "lo").agg(first, F.first("n").alias("n"))
+    classes = cut(classes.select("hi", "lo", "n", "first.*").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # Documents of whose prefix enough shingles have another owner.
     postings = texts.select("text").mapInArrow(_postings, "token long, hi long").repartition(width, "token").sortWithinPartitions("token", "hi")
     shared = postings.mapInArrow(mark_shared, "hi long, token long, long boolean").groupBy("hi").agg(F.count(F.lit(1)).alias("shared"))
-    prefixed = cut(shared.join(classes, "hi").where(f"shared >= {_sql_prefix_common(_sql_least_share('n'))}").select("cid", "hi"), "prefixed")
-    wanted = texts.join(prefixed.hint("merge"), F.col("doc_id") == F.col("cid")).select("cid", "hi", "text")
+    prefixed = cut(shared.join(classes, "hi").where(f"shared >= {_sql_prefix_common(_sql_least_share('n'))}").select("cid", "hi", F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")), "prefixed")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    wanted = texts.join(prefixed.hint("merge"), same).select("cid", "hi", "text")
     sets = cut(wanted.mapInArrow(_set_rows, "cid long, n long, tokens binary").dropDuplicates(["cid"]), "sets")
 
     # Of these, documents of whose whole set enough shingles have another owner among them.
@@ -484,16 +500,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _verified(possible, sets).join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     top = connected_components(edges.unionByName(_long_links(member, sets)))
     comp = comp.join(top, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
-    smallest = comp.groupBy("comp").agg(F.min("cid").alias("component"))
-    comp = comp.join(smallest, "comp").select("cid", "component")
-
-    known = classes.join(comp, "cid", "left").select("hi", "lo", "cid", F.coalesce("component", "cid").alias("component"))
-    return profiles.join(known, ["hi", "lo"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("cid")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+    comp = comp.join(classes.select("cid", "unnamed", "doc_id", "hi", "lo"), "cid")
+    top = comp.groupBy("comp").agg(F.min(F.struct("unnamed", "doc_id", "hi", "lo")).alias("top"))
+    leads = (F.col("hi") == F.col("top.hi")) & (F.col("lo") == F.col("top.lo"))
+    comp = comp.join(top, "comp").select("cid", F.col("top.doc_id").alias("component_id"), leads.alias("leads"))
+
+    known = classes.join(comp, "cid", "left").select(
+        "hi", "lo", F.col("doc_id").alias("class_id"), F.when(F.col("leads").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads")
     )
+    found = profiles.join(known, ["hi", "lo"], "left")
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    kept = (F.col("n") == 0) | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "key", "n", own("class_id"), own("component_id"), kept.alias("kept"))
 
 
 def _sql_least_share(n: str) -> str:
@@ -505,12 +523,22 @@ def _sql_prefix_common(n: str) -> str:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each component stays: that with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns, of which one document of each component stays: that with the smallest id.
+
+    A row goes by its id and its text together: another text of the same id stays if it is not
+    near. Of several near texts with the smallest id, that with the smallest digest of its set
+    stays. A row without an id goes if its component has an id; of components without any, the
+    smallest digest stays. Rows that repeat the staying one, and texts of its id with its set,
+    stay with it. Texts without words all stay. An empty table gives no rows; columns may have any names.
+    """
+    gone_id, gone_key = spare(docs, "gone_id"), spare(docs, "gone_key")
+    dropped = _labelled(docs, id_col, text_col).where(~F.col("kept"))
+    gone = dropped.select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[gone_id]) & (_text_key(docs[text_col]) == gone[gone_key]), "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir):
+    """Links of all ``documents`` by :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
