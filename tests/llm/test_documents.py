@@ -443,3 +443,80 @@ def test_repeats(docs, empty, long_list):
     assert got == expected
     if long_list > 2:
         assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_long_text_in_pieces():
+    """Strings on the borders of pieces keep their anchors."""
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (700, 0, 50, 130, 2000, 99, 100)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def strings(runs):
+        return {(int(s), int(token)) for token, first, last in zip(*runs) for s in range(first, last + 1)}
+
+    whole = strings(suffix_dedup.anchor_runs(data, offsets))
+    assert {s for s, _ in whole} == {s for a, b in zip(offsets, offsets[1:]) for s in range(a, b - 99)}
+    for piece in (1, 64, 333, 2979):
+        assert {s for s, _ in strings(suffix_dedup.anchor_runs(data, offsets, piece))} == {s for s, _ in whole}
+
+
+# --- one id on several texts, no id, names that clash --------------------------------------
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    rng = random.Random(12)
+    base = prose(80, rng).split(" ")
+    near = " ".join([*base[:-1], "changed"])
+    rows = [
+        (5, "alpha beta gamma"), (5, "shared text here"), (7, "shared text here"), (7, "shared text here"),
+        (9, " ".join(base)), (9, prose(90, rng)), (8, near), (8, prose(70, rng)), (8, "Shared text  here"),
+        (None, near), (None, "only without an id"), (None, "only without an id"), (None, None), (3, None), (3, ""), (4, ""),
+        (11, prose(60, rng)), (2, prose(75, rng)),
+    ]
+    names = "doc_id long, text string, gone_id int, gone_key int, gone_digest string, key int, sha string, kept string, n int"
+    return rows, spark.createDataFrame([(*r, *[None] * 7) for r in rows], names).repartition(3)
+
+
+def left(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_exact_odd_ids(odd_ids):
+    rows, df = odd_ids
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    best = {t: max((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns
+    assert left(kept) == sorted(((i, t) for i, t in rows if i == best[t or ""]), key=repr)
+
+
+def test_near_odd_ids(odd_ids):
+    rows, df = odd_ids
+    sets = sets_of([t for _, t in rows])
+    roots = components(sets)
+    smallest = {}
+    for (i, _), s, c in zip(rows, sets, roots):
+        smallest[c] = min(smallest.get(c, np.inf), np.inf if i is None else i)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()), key=repr)
+    want = [(i, len(s), i if not s else None if smallest[c] == np.inf else smallest[c]) for (i, _), s, c in zip(rows, sets, roots)]
+    assert got == sorted(want, key=repr)
+    kept = jaccard_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert left(kept) == sorted(((i, t) for (i, t), s, c in zip(rows, sets, roots) if not s or (i is None and smallest[c] == np.inf) or i == smallest[c]), key=repr)
+
+
+def test_repeats_odd_ids(odd_ids):
+    rows, df = odd_ids
+    got = [r for r in suffix_dedup.remove_repeats(df).collect()]
+    assert len(got) == len(rows)
+    removed = {}
+    for r in got:
+        removed.setdefault((r["doc_id"], r["n_bytes"]), set()).add(r["n_removed"])
+    size = {(i, t): (i, len((t or "").encode())) for i, t in rows}
+    near, whole = rows[6][1], rows[4][1]
+    # The smaller id comes first; its second text and all texts with nothing in common stay whole.
+    assert removed[size[8, near]] == {0} and max(removed[size[9, whole]]) > 300
+    assert all(removed[size[i, t]] == {0} for i, t in rows if (i, t) not in ((8, near), (9, whole)))
