@@ -3,14 +3,13 @@
 A target model (trusted documents) and a background model (all documents) have the same
 vocabulary, order and smoothing, so their per-token losses can be subtracted: a document that
 is more like the target than like the whole corpus scores above zero (Moore and Lewis). Counts
-are exact, by 64-bit hashes of words and pairs, in tables that grow with the corpus and that no
-task or driver holds as a whole: blocks of documents ask for the counts of their own words and
-pairs, and are scored from the replies.
+are exact, by 56-bit hashes of words and pairs, and grow with the corpus, but no task or driver
+holds them as a whole: blocks of documents get the counts of their own words and pairs, and are
+scored from these.
 """
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +22,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import flat_utf8, steps
-from .scratch import cut, table
+from .scratch import cut, spare, table
 from .shingles import mix, word_hashes
 
 #: Words that smoothing allows for at least; the distinct words of the corpus if these are more.
 WORD_SLOTS = 1 << 17
-#: Bytes of the documents that are counted, or scored, together, and of text for each bucket of the count tables.
-BLOCK_BYTES = 1 << 23
+#: Bytes of the documents that are counted, or scored, together, and of text for each bucket of counts.
+BLOCK_BYTES, BUCKET_BYTES = 1 << 23, 1 << 24
+#: Ids of targets that are broadcast at most, of 16 bytes each with their flag.
+BROADCAST_IDS = 1 << 22
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 32.0
+#: Bits of the hashes that stand for words and pairs: among 10^12 distinct pairs, one in 70,000 shares its hash.
+KEY_BITS = 56
+_SHORTER = np.uint64(64 - KEY_BITS)
 _START = np.uint64(0x5851F42D4C957F2D)
 _RESULT = ("n_tokens", "loss_target", "loss_background", "score")
 
@@ -46,12 +50,14 @@ def _fold(texts: pa.Array) -> np.ndarray:
 
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, highest bytes first, which compress."""
-    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].T.tobytes()
 
 
 def _keys(packed: pa.Scalar) -> np.ndarray:
-    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(7, -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, 1:] = planes.T
+    return np.cumsum(whole.view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -85,62 +91,72 @@ class Block:
     word: np.ndarray
     before: np.ndarray
     pair: np.ndarray
-    fold: np.ndarray
     bounds: np.ndarray
 
     @classmethod
     def of(cls, rows: pa.Table, text: str) -> Block:
-        words, sizes, folds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        words, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in rows.select([text]).to_batches():
             for part in steps(batch, text):
                 own, bounds = word_hashes(*flat_utf8(part.column(0)))
                 words.append(own)
                 sizes.append(np.diff(bounds))
-                folds.append(_fold(part.column(0)))
         word, bounds = np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
         before = np.empty_like(word)
         before[1:] = word[:-1]
         starts = bounds[:-1][bounds[:-1] < bounds[1:]]
         before[starts] = _START
-        pairs, pair = _distinct(mix(before * np.uint64(0x9FB21C651E98DF25) + word))
-        names, place = _distinct(np.append(word, _START))
+        pairs, pair = _distinct(mix(before * np.uint64(0x9FB21C651E98DF25) + word) >> _SHORTER)
+        names, place = _distinct(np.append(word, _START) >> _SHORTER)
         previous = np.empty(len(word), np.int64)
         previous[1:] = place[:-2]
         previous[starts] = place[-1]
-        return cls(names, pairs, place[:-1], previous, pair, np.concatenate(folds), bounds)
+        return cls(names, pairs, place[:-1], previous, pair, bounds)
 
-    def counts(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By word ``[as word in each of 4 groups, as context in each]``, by pair ``[in each of 4 groups]``."""
-        group = np.repeat(group, np.diff(self.bounds))
-        by = lambda place, n: np.bincount(place * 4 + group, minlength=4 * n).reshape(n, 4)
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By word ``[as word in other documents and in targets, as context in both]``, by pair ``[in both]``."""
+        group = np.repeat(target.astype(np.int64), np.diff(self.bounds))
+        by = lambda place, n: np.bincount(place * 2 + group, minlength=2 * n).reshape(n, 2)
         n = len(self.words)
         return np.concatenate([by(self.word, n), by(self.before, n)], 1), by(self.pair, len(self.pairs))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
-    """The rows in order, in tables of about ``BLOCK_BYTES``."""
-    held, size = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each fold in order, in tables of about ``BLOCK_BYTES``."""
+    held: tuple[list, list] = ([], [])
+    size = [0, 0]
+
+    def taken(fold: int) -> pa.Table:
+        rows = pa.Table.from_batches(held[fold])
+        held[fold].clear()
+        size[fold] = 0
+        return rows
+
     for batch in batches:
         for part in steps(batch, text, BLOCK_BYTES):
-            if held and size + part.nbytes > BLOCK_BYTES:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-            held.append(part)
-            size += part.nbytes
-    if held:
-        yield pa.Table.from_batches(held)
+            folds = _fold(part.column(part.schema.get_field_index(text)))
+            for fold in (0, 1):
+                own = part.filter(pa.array(folds == fold))
+                if size[fold] and size[fold] + own.nbytes > BLOCK_BYTES:
+                    yield fold, taken(fold)
+                if own.num_rows:
+                    held[fold].append(own)
+                    size[fold] += own.nbytes
+    for fold in (0, 1):
+        if held[fold]:
+            yield fold, taken(fold)
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """The runs of sorted keys that lie in a bucket each; buckets are ranges of keys."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
     for start, end in zip(cuts, [*cuts[1:], len(keys)]):
         yield int(bucket[start]), slice(start, end)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
@@ -151,132 +167,149 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 @dataclass
 class Models:
-    """Counts of all words and pairs in buckets of ``table``, tokens of the 4 groups, and the smoothing's words."""
-
-    table: DataFrame
-    buckets: int
-    tokens: np.ndarray
-    vocabulary: int
-
-    def losses(self, block: Block, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """``[target or background, token]``: negative log probability after the word before, by the counts of the other fold."""
-        other = 1 - np.repeat(block.fold, np.diff(block.bounds))
-        out = np.empty((2, len(other)))
-        size = self.tokens[2:].astype(float)
-        scale = size / np.maximum(1.0, self.tokens[:2] + self.tokens[2:])
-        for model in (0, 1):
-            total = lambda c: (c[:, 2:4] if model == 0 else (c[:, :2] + c[:, 2:4]) * scale).astype(float)  # noqa: E731, B023
-            word, context, pair = total(words[:, :4]), total(words[:, 4:]), total(pairs)
-            alone = (word[block.word, other] + 1.0) / (size[other] + self.vocabulary)
-            out[model] = -np.log((pair[block.pair, other] + PRIOR * alone) / (context[block.before, other] + PRIOR))
-        return out
+    """A target and a background model over the same corpus, by the frames that they are counted from."""
+
+    corpus: DataFrame
+    targets: DataFrame
+    id_col: str
+    text_col: str
 
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Exact counts to score each of two folds with those of the other.
-
-    ``targets`` holds the ids of trusted documents. Every document counts. Documents are dealt
-    to two folds by text and scored by models of the other fold, so neither their own counts
-    nor those of a copy speak for them. Background counts are scaled to the target's number of
-    tokens, so that smoothing weighs as much in both. Blocks add up their own counts before the
-    shuffle; a bucket of the tables is a range of hashes, and there are more of them for more
-    text. The driver gets a few sums.
+    """Models of all documents, and of those whose ids ``targets`` holds; counted where :func:`score` needs them."""
+    return Models(docs, targets, id_col, text_col)
+
+
+def _losses(block: Block, words: np.ndarray, pairs: np.ndarray, tokens: np.ndarray, vocabulary: int) -> np.ndarray:
+    """``[target or background, token]``: negative log probability after the word before.
+
+    ``words`` and ``pairs`` are the counts of the block's own in the other fold, as
+    :meth:`Block.counts` has them; ``tokens`` those of other documents and of targets there.
     """
-    buckets = max(1, -(-int(docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0) // BLOCK_BYTES))
-    good = targets.select(F.col(id_col).alias("__id"), F.lit(True).alias("__target")).distinct()
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(good.hint("merge"), "__id", "left")
-    part, whole = "kind int, bucket int, keys binary, counts binary", "kind int, bucket int, keys binary, counts binary, sums array<long>"
+    out = np.empty((2, len(block.word)))
+    size = float(tokens[1])
+    scale = size / max(1.0, float(tokens.sum()))
+    for model in (0, 1):
+        total = lambda c: (c[:, 1] if model == 0 else (c[:, 0] + c[:, 1]) * scale).astype(float)  # noqa: E731, B023
+        word, context, pair = total(words[:, :2]), total(words[:, 2:]), total(pairs)
+        alone = (word[block.word] + 1.0) / (size + vocabulary)
+        out[model] = -np.log((pair[block.pair] + PRIOR * alone) / (context[block.before] + PRIOR))
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _blocks(batches, "text"):
-            block = Block.of(own, "text")
-            by_word, by_pair = block.counts(block.fold + 2 * np.asarray(own["target"]).astype(np.int64))
-            for kind, (keys, counts) in enumerate(((block.words, by_word), (block.pairs, by_pair))):
-                yield _batch([(kind, b, _pack_keys(keys[run]), _pack_counts(counts[run])) for b, run in _dealt(keys, buckets)], part)
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        width = (8, 4)[kind]
-        found = [(_keys(k), _counts(c, width)) for batch in parts for k, c in zip(batch.column("keys"), batch.column("counts"))]
-        keys, place = _distinct(np.concatenate([k for k, _ in found]))
-        every = np.concatenate([c for _, c in found])
-        counts = np.stack([np.bincount(place, every[:, g], len(keys)) for g in range(width)], 1).astype(np.int64)
-        sums = [*counts[:, :4].sum(0).tolist(), int(counts[:, :4].any(1).sum())]
-        yield _batch([(kind, bucket, _pack_keys(keys), _pack_counts(counts), sums)], whole)
-
-    counted = rows.select("text", F.coalesce("__target", F.lit(False)).alias("target")).mapInArrow(count, part)
-    tables = cut(counted.groupBy("kind", "bucket").applyInArrow(add, whole), "lm-counts")
-    sums = tables.where("kind = 0").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(5))).head()
-    return Models(tables.drop("sums"), buckets, np.array(sums[:4]), max(WORD_SLOTS, sums[4]))
+
+#: What a block of documents is for: its counts are added up, it asks for those of all, or both.
+_COUNTS, _ASKS = 1, 2
+
+
+def _dealt_blocks(docs: DataFrame, text_col: str, role: int) -> DataFrame:
+    """``block, role, fold, docs``: documents of a fold in compressed blocks of about ``BLOCK_BYTES`` of text."""
+    schema = "block long, role int, fold int, docs binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (role << 60) | (TaskContext.get().partitionId() << 28)
+        for i, (fold, own) in enumerate(_blocks(batches, text_col)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                out.write_table(own.combine_chunks())
+            yield _batch([(first + i, role, fold, sink.getvalue().to_pybytes())], schema)
+
+    return cut(docs.mapInArrow(deal, schema), "lm-blocks")
+
+
+def _opened(docs: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(docs.as_buffer()).read_all()
+
+
+def _flagged(models: Models, flag: str) -> DataFrame:
+    """The corpus with a column that tells targets; their ids are broadcast up to ``BROADCAST_IDS``, joined by shuffle beyond."""
+    docs, name = models.corpus, spare(models.corpus, "target_id")
+    good = models.targets.select(F.col(models.id_col).alias(name), F.lit(True).alias(flag)).where(F.col(name).isNotNull()).distinct()
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    good = F.broadcast(good) if few else good.hint("merge")
+    return docs.join(good, F.col(models.id_col) == F.col(name), "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop(name)
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens, loss_target, loss_background, score``; columns of those names are replaced.
 
     Losses are means per token in nats; ``score`` is background less target. A null text, or one
-    without a word, has 0 tokens and null losses and score.
+    without a word, has 0 tokens and null losses and score. Every document of the corpus counts,
+    and repeated rows or ids as often as they occur; a target id marks all rows that have it, a
+    null id none. Documents are dealt to two folds by text and scored by models of the other
+    fold, so neither their own counts nor those of a copy speak for them. Background counts are
+    scaled to the target's number of tokens, so that smoothing weighs as much in both. An empty
+    corpus leaves the smoothing only; empty ``docs`` give no rows. Texts are read whole, a long
+    one is a block by itself.
+
+    Blocks of documents add up their own words and pairs, and send the distinct ones, with their
+    counts, to buckets by ranges of hashes; there are more buckets for more text. A bucket adds
+    the counts and returns the sums to each block that asked, which is scored from them. The
+    driver gets a few sums.
     """
+    flag = spare(models.corpus, "is_target")
+    own = docs is models.corpus and text_col == models.text_col
     docs = docs.drop(*(c for c in _RESULT if c != text_col))
-    buckets, losses = models.buckets, Models(None, models.buckets, models.tokens, models.vocabulary).losses
-    asked, replied = "block long, kind int, bucket int, keys binary", "block long, kind int, bucket int, counts binary"
+    corpus = _flagged(models, flag)
+    size = int(corpus.agg(F.sum(F.octet_length(models.text_col))).head()[0] or 0)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    if own:
+        dealt = _dealt_blocks(corpus.drop(*(c for c in _RESULT if c != text_col)), text_col, _COUNTS | _ASKS)
+    else:
+        counting = corpus.select(F.col(models.text_col).alias(text_col), flag)
+        dealt = _dealt_blocks(counting, text_col, _COUNTS).unionByName(_dealt_blocks(docs, text_col, _ASKS))
+    part = "kind int, bucket int, block long, fold int, asks boolean, keys binary, counts binary"
+    replied = "block long, kind int, bucket int, counts binary, sums array<long>"
     result = T.StructType([*docs.schema, *(T.StructField(c, T.LongType() if c == "n_tokens" else T.DoubleType()) for c in _RESULT)])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for i, own in enumerate(_blocks(batches, text_col)):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(own.combine_chunks())
-            yield _batch([(first + i, sink.getvalue().to_pybytes())], "block long, docs binary")
-
-    def opened(docs: pa.Scalar) -> pa.Table:
-        return pa.ipc.open_stream(docs.as_buffer()).read_all()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, packed in zip(batch.column("block").to_pylist(), batch.column("docs")):
-                block = Block.of(opened(packed), text_col)
-                for kind, keys in enumerate((block.words, block.pairs)):
-                    yield _batch([(name, kind, b, _pack_keys(keys[run])) for b, run in _dealt(keys, buckets)], asked)
-
-    def reply(wanted: pa.Table, counted: pa.Table) -> pa.Table:
-        rows, width = [], 4
-        known, counts = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
-        if wanted.num_rows:
-            width = (8, 4)[wanted["kind"][0].as_py()]
-            counts = np.zeros((0, width), np.int64)
-        if wanted.num_rows and counted.num_rows:
-            known, counts = _keys(counted["keys"][0]), _counts(counted["counts"][0], width)
-        for name, kind, bucket, packed in zip(*(wanted[c].to_pylist() for c in ("block", "kind", "bucket")), wanted["keys"]):
-            keys = _keys(packed)
-            own = np.zeros((len(keys), width), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                own[hit] = counts[at[hit]]
-            rows.append((name, kind, bucket, _pack_counts(own)))
-        return pa.Table.from_batches([_batch(rows, replied)])
+            for name, role, fold, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "role", "fold")), batch.column("docs")):
+                rows = _opened(packed)
+                block, asks = Block.of(rows, text_col), bool(role & _ASKS)
+                counts = block.counts(np.asarray(rows[flag])) if role & _COUNTS else (None, None)
+                for kind, (keys, own) in enumerate(zip((block.words, block.pairs), counts)):
+                    packs = lambda run: None if own is None else _pack_counts(own[run])  # noqa: E731, B023
+                    yield _batch([(kind, b, name, fold, asks, _pack_keys(keys[run]), packs(run)) for b, run in _dealt(keys, buckets)], part)
+
+    def add(rows: pa.Table) -> pa.Table:
+        kind, bucket = rows["kind"][0].as_py(), rows["bucket"][0].as_py()
+        width = (4, 2)[kind]
+        found, folds = [_keys(k) for k in rows["keys"]], rows["fold"].to_pylist()
+        bounds = np.concatenate([[0], np.cumsum([len(k) for k in found])])
+        keys, place = _distinct(np.concatenate(found))
+        total = np.zeros((2, len(keys), width), np.int64)
+        for i, packed in enumerate(rows["counts"]):
+            if packed.is_valid:
+                total[folds[i], place[bounds[i] : bounds[i + 1]]] += _counts(packed, width)
+        sums = [*total[:, :, :2].sum(1).ravel().tolist(), int(total[:, :, :2].any((0, 2)).sum())]
+        out = [(None, kind, bucket, None, sums)]
+        for i, (name, asks) in enumerate(zip(rows["block"].to_pylist(), rows["asks"].to_pylist())):
+            if asks:
+                out.append((name, kind, bucket, _pack_counts(total[1 - folds[i], place[bounds[i] : bounds[i + 1]]]), None))
+        return pa.Table.from_batches([_batch(out, replied)])
 
     def finish(dealt: pa.Table, replies: pa.Table) -> pa.Table:
-        own = opened(dealt["docs"][0])
+        own = _opened(dealt["docs"][0])
         block = Block.of(own, text_col)
         replies = replies.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        found: list[list[np.ndarray]] = [[np.zeros((0, 8), np.int64)], [np.zeros((0, 4), np.int64)]]
+        found: list[list[np.ndarray]] = [[np.zeros((0, 4), np.int64)], [np.zeros((0, 2), np.int64)]]
         for kind, packed in zip(replies["kind"].to_pylist(), replies["counts"]):
-            found[kind].append(_counts(packed, (8, 4)[kind]))
-        both = losses(block, np.concatenate(found[0]), np.concatenate(found[1]))
+            found[kind].append(_counts(packed, (4, 2)[kind]))
+        other = 1 - dealt["fold"][0].as_py()
+        both = _losses(block, np.concatenate(found[0]), np.concatenate(found[1]), tokens[2 * other : 2 * other + 2], vocabulary)
         total = np.concatenate([np.zeros((2, 1)), np.cumsum(both, axis=1)], 1)
         n = np.diff(block.bounds)
         mean = (total[:, block.bounds[1:]] - total[:, block.bounds[:-1]]) / np.maximum(n, 1)
+        own = own.select([c for c in own.column_names if c != flag])
         for name, values in zip(_RESULT, (n, mean[0], mean[1], mean[1] - mean[0])):
             own = own.append_column(name, pa.array(n) if name == "n_tokens" else pa.array(np.round(values, 6), mask=n == 0))
         return own
 
-    gc.collect()  # Frames of the fit hold their shuffle files as long as Python holds them.
-    dealt = cut(docs.mapInArrow(deal, "block long, docs binary"), "lm-blocks")
-    wanted = dealt.mapInArrow(ask, asked)
-    replies = cut(wanted.groupBy("kind", "bucket").cogroup(models.table.groupBy("kind", "bucket")).applyInArrow(reply, replied), "lm-replies")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, result)
+    replies = cut(dealt.mapInArrow(count, part).groupBy("kind", "bucket").applyInArrow(add, replied), "lm-replies")
+    sums = replies.where("kind = 0 AND block IS NULL").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(5))).head()
+    tokens, vocabulary = np.array(sums[:4]), max(WORD_SLOTS, sums[4])
+    asking, answers = dealt.where(F.col("role") >= _ASKS), replies.where("block IS NOT NULL").drop("sums")
+    return asking.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, result)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
