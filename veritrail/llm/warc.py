@@ -1,8 +1,17 @@
-"""WARC archives: records written through Spark's text writer, and a reader that salvages damaged files."""
+"""WARC archives: records written through Spark's text writer, and a reader that salvages damaged files.
+
+A compressed archive has a gzip member for each record, so that damage costs the records it hits.
+Spark has no writer of binary files, but its text writer writes bytes as they are and ends each
+row with a separator. The last byte of a member is the highest of the record's length, 0 for
+records below 16 MB, so a zero byte as separator completes each member, and the files hold
+nothing but members.
+"""
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut, new_path, table
+from .scratch import new_path, table
+
+LOG = logging.getLogger(__name__)
 
 #: Payloads from this size may be replaced by a revisit record.
 REVISIT_BYTES = 100
@@ -21,7 +32,7 @@ FILE_RECORDS = 2000
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
 _TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 _ID, _NAME = re.compile(r"<[^<>\s]+>"), re.compile(r"[a-z0-9-]+")
 _CHUNK = 1 << 20
@@ -77,14 +88,37 @@ def record_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), block).alias("value"))
 
 
+def member(record: bytes) -> bytes:
+    """The record as a gzip member that ends in a zero byte; an empty member follows a record whose own doesn't."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record) + pack.flush()
+    return out if out[-1] == 0 else out + member(b"")
+
+
+def _members_but_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            records = batch.column(0).slice(at, 64)
+            yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer().to_pybytes() + _END.encode())[:-1] for r in records], pa.binary())], ["value"])
+
+
 def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes a record per page under ``path`` (.txt.gz files of WARC/1.1 records).
+    """Writes a record per page under ``path``: WARC/1.1, as gzip members or, with ``none``, as they are.
 
     A null html is an empty payload, a null url leaves the target out, a null page_id has an
-    empty name. The line separator of the text writer is the pair of blank lines that ends a
-    record, so records are streamed and never gathered.
+    empty name; payloads may be of any length below 2 GB. Rows that repeat a page are records of
+    their own. An empty table writes no record; columns but page_id, url and html are not read.
+    In plain files the line separator of the text writer is the pair of blank lines that ends a
+    record. Records are streamed and never gathered.
     """
-    record_text(revisits(pages)).write.option("compression", compression).option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = record_text(revisits(pages))
+    separator = _END
+    if compression == "gzip":
+        packed = records.select(F.col("value").cast("binary")).mapInArrow(_members_but_ends, "value binary")
+        records, separator = packed.select(F.col("value").cast("string")), "\0"
+    elif compression != "none":
+        raise ValueError(f"compression must be gzip or none, not {compression}")
+    records.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 # --- reading -----------------------------------------------------------------------------
@@ -124,10 +158,43 @@ class Salvage:
     gaps: list[Gap] = field(default_factory=list)
 
 
+def _stated(digest: str) -> tuple[str, bytes] | None:
+    """Name and bytes of a digest header, in hex or base 32; null if it is of no known kind."""
+    name, colon, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size, value = hashlib.new(name).digest_size, value.strip()
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return name, b""
+
+
+def _check_digests(record: Record) -> None:
+    """ValueError if a digest of the record's own bytes is wrong.
+
+    A block digest speaks for the whole block. A payload digest counts where there is no block
+    digest; that of a revisit is another record's, that of a cut off payload may be of the whole.
+    """
+    block = _stated(record.headers.get("warc-block-digest", ""))
+    if block:
+        if hashlib.new(block[0], record.block).digest() != block[1]:
+            raise ValueError("the block has another digest")
+        return
+    payload = _stated(record.headers.get("warc-payload-digest", ""))
+    if not payload or record.type == "revisit" or "warc-truncated" in record.headers:
+        return
+    if hashlib.new(payload[0], record.payload).digest() != payload[1]:
+        raise ValueError("the payload has another digest")
+
+
 def _read_record(data: bytes, at: int, doubtful: bool = False) -> tuple[Record, int]:
     """The record at ``at`` and where it ends; ValueError names the check that failed.
 
-    In ``doubtful`` bytes a record without a digest of its own payload needs sound headers.
+    In ``doubtful`` bytes a record needs sound headers besides, for which no digest speaks.
     """
     if not _VERSION.match(data, at):
         raise ValueError("no version line")
@@ -140,17 +207,17 @@ def _read_record(data: bytes, at: int, doubtful: bool = False) -> tuple[Record,
         if not colon:
             raise ValueError("a header without a colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if not (headers.get("warc-type") and headers.get("warc-record-id")):
+        raise ValueError("no type or record id")
     if not re.fullmatch(r"\d+", headers.get("content-length", "")):
         raise ValueError("no content length")
     start, end = head + 4, head + 4 + int(headers["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("the block does not end in blank lines")
     record = Record(at, headers.get("warc-type", ""), headers, data[start:end])
-    digest = headers.get("warc-payload-digest", "")
-    own = digest.startswith("sha256:") and record.type != "revisit"
-    if own and hashlib.sha256(record.payload).hexdigest() != digest[7:]:
-        raise ValueError("the payload has another digest")
-    if doubtful and not own and not (record.type in _TYPES and _ID.fullmatch(headers.get("warc-record-id", "")) and all(map(_NAME.fullmatch, headers))):
+    sound = record.type in _TYPES and _ID.fullmatch(headers.get("warc-record-id", "")) and all(map(_NAME.fullmatch, headers))
+    _check_digests(record)
+    if doubtful and not sound:
         raise ValueError("odd headers in a damaged member")
     return record, end + 4
 
@@ -248,7 +315,7 @@ def salvage(data: bytes) -> Salvage:
 
 def _starts_record(data: bytes, at: int) -> bool:
     try:
-        return zlib.decompressobj(31).decompress(data[at : at + 4096], 16).startswith(b"WARC/1.")
+        return zlib.decompressobj(31).decompress(data[at : at + 4096], 16).startswith(b"WARC/")
     except zlib.error:
         return False
 
@@ -256,12 +323,23 @@ def _starts_record(data: bytes, at: int) -> bool:
 _ROWS = "file string, offset long, reason string, gap_end long, record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string"
 
 
+def _row(name: str, x: Record | Gap) -> tuple:
+    if isinstance(x, Gap):
+        return (name, x.start, x.reason, x.end, *[None] * 7)
+    revisit = x.type == "revisit"
+    body = b"" if revisit else x.payload
+    digest = x.headers.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest()
+    return (name, x.offset, None, None, x.type, x.headers.get("warc-record-id"), x.headers.get("warc-target-uri"), digest, x.stated_bytes if revisit else len(body), x.headers.get("warc-refers-to"), body)
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row per record and per quarantined gap (``reason`` not null) of all files under ``path``.
 
     ``payload_digest`` and ``payload_bytes`` of a revisit are those that it states of the full
-    payload. With ``payloads`` a binary column ``payload`` follows. Works through Spark's reader,
-    so on any file system; a file is held in memory by the task that reads it.
+    payload. With ``payloads`` a binary column ``payload`` follows. Gaps are logged as well.
+    Works through Spark's reader, so on any file system; a file, which Spark gives as one value
+    and so below 2 GB, is held in memory with what it inflates to by the task that reads it. A
+    folder without records gives no rows.
     """
     schema = _ROWS + (", payload binary" if payloads else "")
 
@@ -270,17 +348,14 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
             for row in range(batch.num_rows):
                 name, content = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 found = salvage(content)
-                rows = []
-                for r in found.records:
-                    revisit = r.type == "revisit"
-                    body = b"" if revisit else r.payload
-                    digest = r.headers.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest()
-                    rows.append((name, r.offset, None, None, r.type, r.headers.get("warc-record-id"), r.headers.get("warc-target-uri"), digest, r.stated_bytes if revisit else len(body), r.headers.get("warc-refers-to"), body))
-                rows += [(name, g.start, g.reason, g.end, None, None, None, None, None, None, None) for g in found.gaps]
-                columns = list(zip(*rows)) if rows else [()] * 11
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
-                names = [f.split()[0] for f in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[: len(names)], kinds)], names)
+                for g in found.gaps:
+                    LOG.warning("%s: bytes %d to %d quarantined: %s", name, g.start, g.end, g.reason)
+                items = [*found.records, *found.gaps]
+                for i in range(0, len(items), 500):
+                    columns = list(zip(*(_row(name, x) for x in items[i : i + 500])))
+                    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
+                    names = [f.split()[0] for f in schema.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[: len(names)], kinds)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, schema)
@@ -295,14 +370,19 @@ def archive_round_trip(pages: DataFrame, path: str) -> DataFrame:
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``. A page whose page_id is
     null comes back with null. Rows that repeat the smallest page_id are responses, all of them.
-    The files are plain text: gzip would be one member a file, of which damage leaves the start only.
+    See :func:`write_warc` for null, empty and long payloads, an empty table and other columns.
+    A gap in what is read back ends the job with its file, place and reason.
     """
-    write_warc(pages, path, "none")
-    back = read_warc(pages.sparkSession, path).where(F.col("reason").isNull())
-    return back.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", _page("refers_to")).alias("refers_to"))
+    write_warc(pages, path)
+    back = read_warc(pages.sparkSession, path)
+    what = F.concat_ws(" ", F.lit("damaged archive:"), "file", F.col("offset").cast("string"), "reason")
+    whole = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(F.raise_error(what).cast("boolean"))
+    revisited = F.when(F.col("record_type") == "revisit", _page("refers_to")).alias("refers_to")
+    return back.where(whole).select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", revisited)
 
 
 def op9_warc(spark, sf_dir):
+    """Archives of all ``pages``, written and read back by :func:`archive_round_trip`."""
     return archive_round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
 
