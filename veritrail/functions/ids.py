@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import column
@@ -47,19 +47,39 @@ def source_key(ids: Column | str, hashes: Column | str) -> Column:
     return F.array_join(F.array_sort(pairs), "+")
 
 
-def corpus_hash(content_hash: Column | str) -> Column:
-    """Aggregate: hash of all content hashes, copies counted."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(column(content_hash))), "|"), 256)
+#: Leading digits by which hashes are gathered before they are hashed together: 65,536 groups.
+PREFIX = 4
 
 
-def index_version(chunk_hash: Column | str) -> Column:
-    """Aggregate: hash of the set of chunk hashes; copies and ids don't matter."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_set(column(chunk_hash))), "\n"), 256)
+def hash_of_all(rows: DataFrame, value: str, name: str, by: list[str] | None = None, distinct: bool = True) -> DataFrame:
+    """``by, name``: one hash of all values, in any order; copies count unless ``distinct``.
 
+    Values are gathered by the leading digits of their own hash, every group is hashed in order,
+    and the hash of the groups' hashes is the result. So no array holds more than a group, or
+    the groups' hashes. No values give no row, or with no ``by`` the hash of nothing.
+    """
+    by = by or []
+    own = rows.select(*by, F.col(value).cast("string").alias("__v")).where(F.col("__v").isNotNull())
+    own = own.distinct() if distinct else own
+    own = own.withColumn("__p", F.substring(F.sha2("__v", 256), 1, PREFIX))
+    groups = own.groupBy(*by, "__p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__v")), "\n"), 256).alias("__h"))
+    pairs = F.array_sort(F.collect_list(F.struct("__p", "__h")))
+    return groups.groupBy(*by).agg(F.sha2(F.array_join(F.transform(pairs, lambda x: x["__h"]), "\n"), 256).alias(name))
 
-def question_set_id(key: Column | str) -> Column:
-    """Aggregate: hash of the set of question keys."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_set(column(key))), "\n"), 256)
+
+def corpus_hash(rows: DataFrame, content_hash: str = "content_hash", by: list[str] | None = None) -> DataFrame:
+    """``corpus_hash`` of all content hashes, copies counted."""
+    return hash_of_all(rows, content_hash, "corpus_hash", by, distinct=False)
+
+
+def index_version(rows: DataFrame, chunk_hash: str = "hash", by: list[str] | None = None) -> DataFrame:
+    """``index_version`` of the set of chunk hashes; copies and ids don't matter."""
+    return hash_of_all(rows, chunk_hash, "index_version", by)
+
+
+def question_set_id(rows: DataFrame, key: str = "question_key", by: list[str] | None = None) -> DataFrame:
+    """``question_set_id`` of the set of question keys."""
+    return hash_of_all(rows, key, "question_set_id", by)
 
 
 def config_hash(config: dict, adapter_sha256: str, judge_model: str, k: int, match_threshold: float | None = None) -> str:

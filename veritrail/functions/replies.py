@@ -35,13 +35,14 @@ def _object(text: Column) -> Column:
 
 
 def json_object(reply: Column | str) -> Column:
-    """One object from a reply: in a fence, as it is, from the first to the last brace, or with brackets closed."""
-    text = F.trim(column(reply))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    """One object from a reply: as it is, from the first to the last brace, or with brackets closed; of a reply with a fence what is inside."""
+    whole = F.trim(column(reply))
+    fenced = F.regexp_extract(whole, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    text = F.when(F.regexp_like(whole, F.lit(r"(?s).*```(?:json)?\s*.*?```.*")), F.trim(fenced)).otherwise(whole)
     from_brace = F.regexp_extract(text, r"(?s)(\{.*)", 1)
     whole = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     tail = _closed(F.nullif(F.regexp_replace(from_brace, r"\s*```\s*$", ""), F.lit("")))
-    return F.coalesce(*(_object(F.nullif(c, F.lit(""))) for c in (fenced, text, whole, tail)))
+    return F.coalesce(*(_object(F.nullif(c, F.lit(""))) for c in (text, whole, tail)))
 
 
 def _kind(value: Column, path: str) -> Column:

@@ -142,7 +142,7 @@ def question_problem(question: Column | str, source: Column | str) -> Column:
 def sentences(text: Column | str) -> Column:
     """Sentences of the text without blank and heading lines."""
     lines = F.filter(F.transform(F.split(column(text), "\n"), F.trim), lambda line: (line != "") & ~line.startswith("#"))
-    return F.filter(F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"), lambda s: s != "")
+    return F.filter(F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"), lambda s: s != "")
 
 
 def contains_normalized(text: Column | str, part: Column | str) -> Column:
@@ -151,25 +151,52 @@ def contains_normalized(text: Column | str, part: Column | str) -> Column:
     return (F.size(tokens_numeric(part)) > 0) & padded(text).contains(padded(part))
 
 
+# Months, units of numbers, and the shapes of dates, times, numbers and names.
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+UNITS = (
+    "percent|business days|calendar days|days?|hours?|minutes?|weeks?|months?|years?|seconds?|"
+    "kilometres|kilometers|metres|meters|centimetres|km/h|kWh|km|kg|euros?|dollars?|"
+    "people|passengers|stops|trams|buses|vehicles|technicians|controllers|drivers|employees|staff|"
+    "members|units|seats|routes|lines|boardings|trips"
+)
+DATE = rf"\b(?:(?:{MONTHS})\s+\d{{1,2}},\s*\d{{4}}|(?:{MONTHS})\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})\b"
+TIME = r"(?<![\d:])\d{1,2}:\d{2}(?![\d:])"
+NUMBER = rf"(?:[$€£]\s?)?\d+(?:,\d{{3}})*(?:\.\d+)?(?:\s(?:million|billion))?(?:\s?%|\s(?:{UNITS})\b)?(?![\d,.]\d)"
+NAME = r"\b[A-Z][a-zA-Z0-9&'-]*(?:\s+(?:of\s+|the\s+)?[A-Z0-9][a-zA-Z0-9&'-]*)*"
+
+
 def answer_span(text: Column | str) -> Column:
-    """The first date, else the first time, else the first number with its unit, else the last capitalised name."""
+    """A short answer: the first date, else the first time, else the first number with its unit that belongs to no name, else the last name.
+
+    A number right after a word that begins with a capital is part of a name. A name at the very
+    start, or one that ends in 's, is none. Null if there is nothing of the kind.
+    """
     t = column(text)
     first = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 0), F.lit(""))
-    names = F.regexp_extract_all(t, F.lit(r"(?<=[a-z,] )[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*"), F.lit(0))
-    return F.coalesce(
-        first(r"\b\d{4}-\d{2}-\d{2}\b"),
-        first(r"\b\d{1,2}:\d{2}\b"),
-        first(r"\b\d+(?:[.,]\d+)*(?: ?(?:%|percent|days|hours|minutes|kg|km|ms|GB|MB))?"),
-        F.try_element_at(names, F.lit(-1)),
-    )
+    # The word before a number is taken along, so that one of a name can be told.
+    numbers = F.regexp_extract_all(t, F.lit(rf"(\S*\s*)(?<![A-Za-z0-9.,-])({NUMBER})"), F.lit(0))
+    free = F.filter(numbers, lambda n: ~F.regexp_like(n, F.lit(rf"^\p{{Lu}}\S*\s+(?:{NUMBER})$")))
+    number = F.trim(F.regexp_extract(F.try_element_at(free, F.lit(1)), rf"(?<![A-Za-z0-9.,-])({NUMBER})$", 1))
+    names = F.regexp_extract_all(t, F.lit(NAME), F.lit(0))
+    names = F.when(F.regexp_like(t, F.lit("^" + NAME)), F.slice(names, 2, 1 << 20)).otherwise(names)
+    names = F.filter(names, lambda n: ~n.endswith("'s"))
+    return F.coalesce(first(DATE), first(TIME), F.nullif(number, F.lit("")), F.try_element_at(names, F.lit(-1)))
+
+
+EXCERPT = 700
+MOST_MARKED = 80
+
 
+def excerpt(text: Column | str, answer: Column | str, width: int = EXCERPT) -> Column:
+    """The text, white space folded; of a long one a window that begins a third of its width before the answer.
 
-def excerpt(text: Column | str, answer: Column | str, width: int = 700) -> Column:
-    """A window of the text, white space folded, around the first place of the answer."""
-    t = F.trim(F.regexp_replace(column(text), r"\s+", " "))
-    at = F.instr(F.lower(t), F.lower(column(answer)))
-    start = F.greatest(F.lit(1), F.least(at - F.lit(width // 2), F.length(t) - width + 1))
-    return F.when(F.length(t) <= width, t).otherwise(F.substring(t, start, F.lit(width)))
+    Without the answer in it, the window is the start. Dots stand where text is left out.
+    """
+    t, a = F.trim(F.regexp_replace(column(text), r"\s+", " ")), F.coalesce(column(answer), F.lit(""))
+    at = F.when(a == "", 0).otherwise(F.instr(F.lower(t), F.lower(a)))
+    start = F.when(at == 0, 0).otherwise(F.greatest(F.lit(0), at - 1 - F.lit(width // 3)))
+    piece = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(t, start + 1, F.lit(width)), F.when(start + width < F.length(t), "…").otherwise(""))
+    return F.when(F.length(t) <= width, t).otherwise(piece)
 
 
 def escape_html(text: Column | str) -> Column:
@@ -179,6 +206,32 @@ def escape_html(text: Column | str) -> Column:
     return out
 
 
+def highlight(text: Column | str, answer: Column | str) -> Column:
+    """The excerpt as HTML with every occurrence of the answer, in any case, in bold; a long answer is not marked."""
+    safe = escape_html(excerpt(text, answer))
+    needle = escape_html(F.trim(F.coalesce(column(answer), F.lit("")), F.lit(" \t\r\n")))
+    quoted = F.concat(F.lit("(?iu)\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    marked = F.regexp_replace(safe, quoted, F.lit("<b>$0</b>"))
+    return F.when((needle == "") | (F.length(needle) > MOST_MARKED), safe).otherwise(marked)
+
+
+UNKNOWN = "I don't know."
+
+
+def best_sentence(contexts: Column | str, question: Column | str) -> Column:
+    """The sentence of the contexts that shares most content words with the question, the first on ties; else that it isn't known."""
+    asked = content_tokens(question)
+    every = F.flatten(F.transform(column(contexts), sentences))
+    scored = F.transform(every, lambda s, i: F.struct(F.size(F.array_intersect(asked, content_tokens(s))).alias("shared"), (-i).alias("place"), s.alias("sentence")))
+    best = F.array_max(F.filter(scored, lambda x: x["shared"] > 0))
+    return F.coalesce(best["sentence"], F.lit(UNKNOWN))
+
+
+def lead_sentence(contexts: Column | str) -> Column:
+    """The first sentence of the first context; else that it isn't known."""
+    return F.coalesce(F.try_element_at(sentences(F.try_element_at(column(contexts), F.lit(1))), F.lit(1)), F.lit(UNKNOWN))
+
+
 def name_tokens(text: Column | str) -> Column:
     """Tokens of names: capitalised inside a sentence and nowhere written in lower case.
 

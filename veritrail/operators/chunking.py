@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +51,27 @@ def chunk_pack(docs: DataFrame, text: str = "text", most: int = 800) -> DataFram
     hard = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(most)), lambda at: F.substring(s, at + 1, F.lit(most)))
     folded = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
     units = F.flatten(F.transform(folded, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, r"(?<=[.!?])\s+"), hard)))))
-    empty = F.array().cast("array<string>")
-    packed = F.aggregate(
-        units,
-        F.struct(empty.alias("done"), F.lit("").alias("open")),
-        lambda acc, u: F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), u.alias("open")))
-        .when(F.length(acc["open"]) + 1 + F.length(u) <= most, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n"), u).alias("open")))
-        .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), u.alias("open"))),
-        lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))),
-    )
-    return docs.where(F.col(text).isNotNull()).select("*", F.posexplode(packed).alias("position", "__part")).withColumn(text, F.col("__part")).drop("__part")
+    starts = _part_starts(most)(F.transform("__units", F.length))
+    joined = F.transform(F.col("__starts"), lambda s, i: F.array_join(F.slice("__units", s + 1, F.coalesce(F.try_element_at("__starts", i + 2), F.size("__units")) - s), "\n"))
+    rows = docs.where(F.col(text).isNotNull()).withColumn("__units", units).withColumn("__starts", starts).select("*", F.posexplode(joined).alias("position", "__part"))
+    return rows.withColumn(text, F.col("__part")).drop("__part", "__units", "__starts")
+
+
+def _part_starts(most: int):
+    """From the lengths of units the place of the first unit of each part. It depends on all before it, so it is a loop, over lengths only."""
+
+    @F.arrow_udf("array<int>")
+    def starts(lengths: pa.Array) -> pa.Array:
+        out = []
+        for sizes in lengths.to_pylist():
+            own, size = [], 0
+            for i, n in enumerate(sizes or ()):
+                if i and size + 1 + n <= most:
+                    size += 1 + n
+                else:
+                    own.append(i)
+                    size = n
+            out.append(own)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return starts

@@ -57,8 +57,13 @@ def select_questions(questions: DataFrame, results: DataFrame, last_index: str |
     return "regression", marked.where("is_new").unionByName(old)
 
 
-def plan_pool(pool: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """``pool`` (question_key, chunk_id, chunk_hash) with ``action``: reuse, or retire as changed or deleted."""
+def plan_pool(pool: DataFrame, before: DataFrame, after: DataFrame, fresh: bool = False, target: int | None = None, last_target: int | None = None) -> DataFrame:
+    """``pool`` (question_key, chunk_id, chunk_hash) with ``action``: reuse, or retire as changed, deleted or fresh.
+
+    All questions retire as fresh if that is asked for, or if another number of questions is wanted than last time.
+    """
+    if fresh or (target is not None and last_target is not None and target != last_target):
+        return pool.withColumn("action", F.lit("fresh"))
     current = after.select("chunk_id", F.col("hash").alias("__now"))
     action = F.when(F.col("__now").isNull(), "deleted").when(F.col("__now") == F.col("chunk_hash"), "reuse").otherwise("changed")
     return pool.join(current, "chunk_id", "left").withColumn("action", action).drop("__now")
@@ -93,6 +98,22 @@ def within_budget(work: DataFrame, cap: int, order: list[str], cost: str = "cost
     return running_sum(work, order, cost, "spent").where(F.col("spent") <= cap)
 
 
+MATCH_BY = ("id", "text")
+MOST_QUESTIONS = 500
+
+
+def check_arguments(match_by: str = "id", k: int = 5, questions: int = 20, budget: int | None = None) -> None:
+    """ValueError for a match mode that there isn't, k or a budget below 1, or a number of questions outside 1 to 500."""
+    if match_by not in MATCH_BY:
+        raise ValueError(f"match_by must be one of {', '.join(MATCH_BY)}, not {match_by!r}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if not 1 <= questions <= MOST_QUESTIONS:
+        raise ValueError(f"questions must be from 1 to {MOST_QUESTIONS}")
+    if budget is not None and budget < 1:
+        raise ValueError("the budget must be at least 1 call")
+
+
 def check_cost(generated_chunks: int, questions: int) -> tuple[int, int]:
     """Model calls of a check: least, and most if every case is asked again without context."""
     least = generated_chunks + 2 * questions
@@ -111,11 +132,11 @@ def improve_cost(passages: int, trials: int, budget: int, floor: int = 1) -> dic
 
 
 def knob_values(spec: list | dict) -> list:
-    """The values of a knob: a list as it is, or a range with ends included, ten decimals, at most 1000 values."""
+    """The values of a knob: a list without repeats, or a range with ends included, ten decimals, at most 1000 values."""
     if isinstance(spec, list):
         if not spec:
             raise ValueError("a knob needs a value")
-        return spec
+        return [v for i, v in enumerate(spec) if v not in spec[:i]]
     low, high, step = spec["min"], spec["max"], spec["step"]
     if step <= 0 or high < low:
         raise ValueError("a range needs min <= max and a positive step")

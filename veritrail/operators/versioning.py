@@ -32,20 +32,32 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return last.select(*keys, "v.*").select(*rows.columns)
 
 
+def _without(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the table whose key does not occur in ``rows``; null is a key like any other."""
+    gone = rows.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return table.join(gone, same, "left_anti")
+
+
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the table has not, the first of each key: what an insert that keeps old rows adds."""
-    fresh = rows.join(table.select(*keys), keys, "left_anti")
-    return fresh.dropDuplicates(keys)
+    return _without(rows, table, keys).dropDuplicates(keys)
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with the given rows in place of those of the same keys."""
-    return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The table with a row of each key of ``rows`` in place of its own: the last by ``order``, without an order any of them.
+
+    Null is a key like any other.
+    """
+    last = latest_by(rows, keys, order) if order else rows.dropDuplicates(keys)
+    return _without(table, rows, keys).unionByName(last)
 
 
 def replace_by_key(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The table with all rows of the keys that occur in ``rows`` replaced; saving twice changes nothing."""
-    return upsert(table, rows, [key])
+    """The table with all rows of the keys that occur in ``rows`` replaced by theirs; saving twice changes nothing."""
+    return _without(table, rows, [key]).unionByName(rows)
 
 
 def update_status(table: DataFrame, ids: DataFrame, key: str, status: str, reason: str | None = None) -> DataFrame:

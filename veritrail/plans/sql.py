@@ -45,6 +45,42 @@ def split(chunk: str) -> str:
     return f"CASE WHEN {hashed(chunk, SPLIT_SALT)} % 100 < 70 THEN 'dev' ELSE 'test' END"
 
 
+SPACES = r"[ \t\n\x0B\f\r]+"
+
+
+def folded(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{SPACES}', ' ', 'g'), ' ')"
+
+
+def excerpt(x: str, answer: str, width: int = 700) -> str:
+    """Of a text and a literal answer that is not empty."""
+    t = folded(x)
+    start = f"CASE WHEN instr(lower({t}), lower({answer})) = 0 THEN 0 ELSE greatest(0, instr(lower({t}), lower({answer})) - 1 - {width // 3}) END"
+    cut = f"CASE WHEN {start} > 0 THEN '…' ELSE '' END || substr({t}, {start} + 1, {width}) || CASE WHEN {start} + {width} < length({t}) THEN '…' ELSE '' END"
+    return f"CASE WHEN length({t}) <= {width} THEN {t} ELSE {cut} END"
+
+
+def escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;')"
+
+
+def highlight(x: str, answer: str) -> str:
+    return f"regexp_replace({escaped(excerpt(x, answer))}, regexp_escape({answer}), '<b>\\0</b>', 'gi')"
+
+
+def sentences(x: str) -> str:
+    lines = f"[l FOR l IN [trim(y, ' ') FOR y IN string_split({x}, chr(10))] IF l <> '' AND NOT starts_with(l, '#')]"
+    marked = f"regexp_replace(array_to_string({lines}, ' '), '([.!?]){SPACES}([A-Z0-9\"''(])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"[s FOR s IN string_split({marked}, chr(1)) IF s <> '']"
+
+
+def tree_hash(table: str, value: str, by: str, name: str, distinct: bool = True) -> str:
+    """One hash of all values of each group, by the first four digits of their own hashes."""
+    rows = f"SELECT {'DISTINCT ' if distinct else ''}{by}, {value} AS v FROM {table}"
+    groups = f"SELECT {by}, left(sha256(v), 4) AS p, sha256(string_agg(v, chr(10) ORDER BY v)) AS h FROM ({rows}) GROUP BY ALL"
+    return f"SELECT {by}, sha256(string_agg(h, chr(10) ORDER BY p)) AS {name} FROM ({groups}) GROUP BY {by}"
+
+
 CHUNKS = """chunks AS (
   SELECT doc_id || '#' || pos AS chunk_id, doc_id, pos AS position, substr(text, pos * 700 + 1, 800) AS text, sha256(substr(text, pos * 700 + 1, 800)) AS hash
   FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 700.0) AS BIGINT))) AS pos FROM documents WHERE length(text) > 0))"""

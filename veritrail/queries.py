@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .functions import ids as I
 from .functions import replies as R
 from .functions import text as X
+from .operators import cases as E
 from .operators import chunking as C
 from .operators import history as H
 from .operators import planning as P
@@ -194,11 +195,11 @@ def sink_replace_all(t):
     return store.read("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT doc_id, CASE WHEN (doc_id % 2 = 0) THEN 'a' ELSE 'b' END AS verdict FROM documents")
+@query("SELECT doc_id, CASE WHEN (doc_id % 2 = 0) THEN 'a' ELSE 'b' END AS verdict, lang, len(text) AS n FROM documents")
 def sink_json_lossless(t):
-    nested = t.documents.select("doc_id", F.struct(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("verdict"), F.array("lang").alias("langs")).alias("r"))
-    back = nested.select("doc_id", F.from_json(F.to_json("r"), nested.schema["r"].dataType).alias("r"))
-    return back.select("doc_id", "r.verdict")
+    nested = t.documents.select("doc_id", F.struct(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("verdict"), F.array("lang").alias("langs"), "text").alias("r"))
+    back = E.from_json_rows(E.to_json_rows(nested, ["r"]), nested.schema, ["r"])
+    return back.select("doc_id", "r.verdict", F.col("r.langs")[0].alias("lang"), F.length("r.text").alias("n"))
 
 
 @query(f"""WITH q AS (SELECT doc_id, [CAST(doc_id AS VARCHAR), CAST(doc_id % 7 AS VARCHAR)] AS c FROM documents),
@@ -243,10 +244,14 @@ def id_chunk(t):
     return t.chunks.select(I.chunk_id("doc_id", "position", "text").alias("id"), "chunk_id")
 
 
-@query("SELECT item_id, sha256(sha256(text) || '|' || sha256('b') || chr(10) || trim(left(text, 40), ' ')) AS question_id, sha256('c' || item_id || ':' || 3) AS test_id, sha256('c' || item_id || '@' || sha256(text) || chr(10) || trim(left(text, 40), ' ')) AS pool_id FROM benchmark")
+@query(
+    "SELECT item_id, sha256(sha256(text) || '|' || sha256('b') || chr(10) || trim(text, ' ')) AS question_id, sha256('c' || item_id || ':' || 3) AS test_id, "
+    "sha256('c' || item_id || '@' || sha256(text) || chr(10) || trim(text, ' ')) AS pool_id FROM benchmark"
+)
 def id_question(t):
-    fact, chunk, h = F.substring("text", 1, 40), F.concat(F.lit("c"), "item_id"), I.hash_content("text")
-    return t.benchmark.select("item_id", I.question_id(F.array(h, F.sha2(F.lit("b"), 256)), fact).alias("question_id"), I.test_case_id(chunk, F.lit(3)).alias("test_id"), I.pool_question_id(chunk, h, fact).alias("pool_id"))
+    chunk, h = F.concat(F.lit("c"), "item_id"), I.hash_content("text")
+    ids = I.question_id(F.array(h, F.sha2(F.lit("b"), 256)), "text"), I.test_case_id(chunk, F.lit(3)), I.pool_question_id(chunk, h, "text")
+    return t.benchmark.select("item_id", *(c.alias(n) for c, n in zip(ids, ("question_id", "test_id", "pool_id"))))
 
 
 @query("SELECT item_id, array_to_string(list_sort(['z' || item_id || '@' || sha256(text), 'a' || item_id || '@h']), '+') AS source_key FROM benchmark")
@@ -254,19 +259,20 @@ def id_source(t):
     return t.benchmark.select("item_id", I.source_key(F.array(F.concat(F.lit("z"), "item_id"), F.concat(F.lit("a"), "item_id")), F.array(F.sha2("text", 256), F.lit("h"))).alias("source_key"))
 
 
-@query("SELECT source, sha256(string_agg(h, '|' ORDER BY h)) AS corpus_hash FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
+@query(Q.tree_hash("documents", "sha256(text)", "source", "corpus_hash", distinct=False))
 def corpus_hash(t):
-    return t.documents.groupBy("source").agg(I.corpus_hash(F.sha2("text", 256)).alias("corpus_hash"))
+    return I.corpus_hash(t.documents.select("source", F.sha2("text", 256).alias("content_hash")), by=["source"])
 
 
-@query("SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS index_version FROM (SELECT DISTINCT source, sha256(text) AS h FROM documents) GROUP BY source")
+@query(Q.tree_hash("documents", "sha256(text)", "source", "index_version"))
 def index_version(t):
-    return t.documents.groupBy("source").agg(I.index_version(F.sha2("text", 256)).alias("index_version"))
+    return I.index_version(t.documents.select("source", F.sha2("text", 256).alias("hash")), by=["source"])
 
 
-@query("SELECT run_id, sha256(string_agg(k, chr(10) ORDER BY k)) AS question_set FROM (SELECT DISTINCT doc_id % 5 AS run_id, CAST(doc_id // 5 AS VARCHAR) AS k FROM documents) GROUP BY run_id")
+@query(Q.tree_hash("(SELECT doc_id % 5 AS run_id, CAST(doc_id // 5 AS VARCHAR) AS k FROM documents)", "k", "run_id", "question_set"))
 def id_question_set(t):
-    return t.cases.groupBy("run_id").agg(I.question_set_id(F.col("question_id").cast("string")).alias("question_set"))
+    keys = t.cases.select("run_id", F.col("question_id").cast("string").alias("question_key"))
+    return I.question_set_id(keys, by=["run_id"]).withColumnRenamed("question_set_id", "question_set")
 
 
 @query("""SELECT p AS k, sha256('{"adapter_sha256": "x", "config": {"k": ' || p || '}, "judge_model": "m", "k": 5, "scoring_version": 1}') AS config_hash FROM (SELECT unnest(range(1, 6)) AS p)""")
@@ -363,9 +369,9 @@ def bigrams(t):
     return t.documents.select("doc_id", F.size(X.bigrams("text")).alias("n"), F.sha2(F.array_join(F.array_sort(X.bigrams("text")), "|"), 256).alias("h"))
 
 
-@query("SELECT doc_id, trim(trim(regexp_replace(lower(left(text, 200)), '\\s+', ' ', 'g'), ' '), ' .,;:!?\"''') AS answer FROM documents")
+@query(f"SELECT doc_id, sha256(regexp_replace(regexp_replace({Q.folded('lower(text)')}, '^[ .,;:!?\"'']+', ''), '[ .,;:!?\"'']+$', '')) AS answer_sha256 FROM documents")
 def normalize_answer(t):
-    return t.documents.select("doc_id", X.normalize_answer(F.substring("text", 1, 200)).alias("answer"))
+    return t.documents.select("doc_id", F.sha2(X.normalize_answer("text"), 256).alias("answer_sha256"))
 
 
 @query(f"""WITH p AS (SELECT a.item_id AS a, b.item_id AS b, {Q.content('a.text')} AS x, {Q.content('b.text')} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
@@ -385,7 +391,7 @@ def lexical_overlap(t):
     return t.questions.select("query_id", F.round(X.lexical_overlap("text", "gold"), 4).alias("overlap"))
 
 
-@query()
+@query(f"SELECT doc_id, unnest(range(0, len(s))) AS position, unnest(s) AS sentence FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents WHERE text IS NOT NULL)")
 def sentences(t):
     return t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("position", "sentence"))
 
@@ -395,15 +401,14 @@ def answer_span(t):
     return t.documents.select("doc_id", X.answer_span("text").alias("answer"))
 
 
-@query("""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents), a AS (SELECT *, greatest(1, least(instr(lower(t), ' the ') - 350, length(t) - 699)) AS s FROM f)
-SELECT doc_id, CASE WHEN length(t) <= 700 THEN t ELSE substr(t, s, 700) END AS excerpt FROM a""")
+@query(f"SELECT doc_id, {Q.excerpt('text', chr(39) + 'the' + chr(39))} AS excerpt FROM documents")
 def excerpt(t):
-    return t.documents.select("doc_id", X.excerpt("text", F.lit(" the ")).alias("excerpt"))
+    return t.documents.select("doc_id", X.excerpt("text", F.lit("the")).alias("excerpt"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(left(text, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS html FROM documents")
+@query(f"SELECT doc_id, {Q.highlight('text', chr(39) + 'the' + chr(39))} AS html FROM documents")
 def highlight(t):
-    return t.documents.select("doc_id", X.escape_html(F.substring("text", 1, 300)).alias("html"))
+    return t.documents.select("doc_id", X.highlight("text", F.lit("the")).alias("html"))
 
 
 @query(f"WITH p AS (SELECT item_id, {Q.fold(Q.numeric('text'))} AS x FROM benchmark) SELECT a.item_id AS a, contains(' ' || array_to_string(a.x, ' ') || ' ', ' ' || array_to_string(b.x[1:3], ' ') || ' ') AS found FROM p a JOIN p b ON b.item_id = a.item_id + a.item_id % 2")
@@ -464,17 +469,19 @@ def parse_facts(t):
 
 @query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id)")
 def join_case_to_question(t):
-    return t.documents.join(t.labels, "doc_id").select("doc_id", "quality")
+    cases = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("doc_id")
+    return E.cases_with_questions(cases, t.labels.select("doc_id", "quality"), "doc_id")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def join_case_left(t):
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return E.cases_or_placeholder(t.documents.select("doc_id"), t.labels.select("doc_id", "quality"), "doc_id", "quality", -1)
 
 
-@query(f"WITH {Q.CHUNKS} SELECT l.doc_id, count(*) AS n_chunks FROM labels l JOIN chunks c USING (doc_id) GROUP BY l.doc_id")
+@query(f"WITH {Q.CHUNKS} SELECT chunk_id, sha256(text) AS h FROM chunks WHERE position = 0")
 def join_gold_text(t):
-    return t.labels.select("doc_id").distinct().join(t.chunks, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    chunks = t.chunks
+    return E.gold_texts(chunks.where("position = 0").select("chunk_id"), chunks).select("chunk_id", F.sha2("text", 256).alias("h"))
 
 
 @query(f"WITH {VERSIONS} SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.hash IS NULL THEN 'new' WHEN n.hash IS NULL THEN 'deleted' WHEN o.hash <> n.hash THEN 'changed' ELSE 'unchanged' END AS change FROM old o FULL JOIN new n ON o.chunk_id = n.chunk_id")
@@ -490,14 +497,14 @@ def staleness(t):
 
 @query(f"WITH {CASES} SELECT a.run_id, count(*) AS shared FROM cases a JOIN cases b ON a.question_id = b.question_id AND b.run_id = a.run_id - 1 GROUP BY a.run_id")
 def shared_questions(t):
-    a = t.cases.select("run_id", "question_id")
-    return a.join(a.select((F.col("run_id") + 1).alias("run_id"), "question_id"), ["run_id", "question_id"]).groupBy("run_id").agg(F.count(F.lit(1)).alias("shared"))
+    previous = t.runs.select("run_id", (F.col("run_id") - 1).alias("prev_run_id"))
+    return E.shared_questions(t.cases, previous)
 
 
-@query(f"WITH {CASES} SELECT d.doc_id, c.verdict, c.verdict IS NULL AS to_run FROM documents d LEFT JOIN (SELECT * FROM cases WHERE run_id = 2) c ON d.doc_id = c.question_id")
+@query(f"WITH {CASES} SELECT d.doc_id, c.verdict, c.verdict IS NULL AS to_run FROM documents d LEFT JOIN (SELECT * FROM cases WHERE run_id = 2 AND doc_id % 4 = 2) c ON d.doc_id = c.question_id")
 def cache_lookup(t):
-    cached = t.cases.where("run_id = 2").select(F.col("question_id").alias("doc_id"), "verdict")
-    return t.documents.select("doc_id").join(cached, "doc_id", "left").withColumn("to_run", F.col("verdict").isNull())
+    kept = t.cases.select("question_id", "verdict", F.concat(F.lit("c"), "run_id").alias("config_hash"), F.concat(F.lit("v"), F.col("doc_id") % 4).alias("index_version"))
+    return E.cache_lookup(t.documents.select(F.col("doc_id").alias("question_id")), kept, "c2", "v2").select(F.col("question_id").alias("doc_id"), "verdict", "to_run")
 
 
 _GOT = "[CAST(doc_id + 1 AS VARCHAR), CAST(doc_id + doc_id % 3 AS VARCHAR), CAST(doc_id AS VARCHAR), 'x']"
@@ -640,8 +647,7 @@ def overlap_median(t):
 
 @query("SELECT event_type AS reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY event_type")
 def reject_reason_rank(t):
-    counted = t.events.groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "reason")))
+    return E.reason_rank(t.events, "event_type")
 
 
 _DOMINANT = "CASE greatest(n_retrieval_failure, n_lucky_pass, n_generation_failure) WHEN 0 THEN NULL WHEN n_retrieval_failure THEN 'retrieval_failure' WHEN n_lucky_pass THEN 'lucky_pass' ELSE 'generation_failure' END"
@@ -652,9 +658,21 @@ def dominant_and_headline(t):
     return S.headline(S.dominant_failure(S.run_summary(t.cases, ["run_id"]))).select("run_id", "dominant", "headline_kind")
 
 
-@query(f"WITH {CASES}, s AS ({_SUMMARY}) SELECT run_id, 'needs_work' AS status, {_DOMINANT} AS problem, 'fix_' || {_DOMINANT} AS advice FROM s")
+@query(f"""WITH {CASES}, s AS ({_SUMMARY} UNION ALL SELECT 9, 0, 0, 0, 0, 0, 0, 0, 0, NULL, NULL, 0),
+v AS (SELECT *, run_id = 1 AS healthy, run_id = 2 AS blind FROM s) SELECT run_id,
+  CASE WHEN total_cases = 0 THEN 'empty' WHEN healthy THEN 'healthy' ELSE 'needs_work' END AS status,
+  CASE WHEN total_cases = 0 OR healthy THEN NULL WHEN blind THEN 'not_grounded' ELSE {_DOMINANT} END AS problem,
+  CASE WHEN total_cases = 0 THEN 'write_questions' WHEN run_id = 3 THEN 'match_by_text' WHEN blind THEN 'return_contexts' WHEN healthy THEN 'keep_checking' ELSE 'fix_' || {_DOMINANT} END AS advice FROM v""")
 def plain_summary(t):
-    rows = S.run_summary(t.cases, ["run_id"]).withColumns({"hits": F.col("n_true_pass") + F.col("n_generation_failure"), "match_by": F.lit("id"), "any_context": F.lit(True)})
+    """Run 1 is made healthy, run 2 matches by text without any context, run 3 has no hit by id, and run 9 has no cases."""
+    rows = S.run_summary(t.cases, ["run_id"])
+    none = t.spark.createDataFrame([(9,)], "run_id bigint").select(*(F.col(c) if c == "run_id" else F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    rows = rows.unionByName(none)
+    good = F.col("run_id") == 1
+    rows = rows.withColumns({f"n_{v}": F.when(good, F.col("total_cases") if v == "true_pass" else F.lit(0)).otherwise(F.col(f"n_{v}")) for v in S.VERDICTS})
+    hits = F.when(F.col("run_id") == 3, 0).otherwise(F.col("n_true_pass") + F.col("n_generation_failure"))
+    text = F.col("run_id") == 2
+    rows = rows.withColumns({"hits": hits, "match_by": F.when(text, "text").otherwise("id"), "any_context": ~text})
     return S.plain_summary(rows).select("run_id", "status", "problem", "advice")
 
 
@@ -668,26 +686,47 @@ def failure_stack(t):
     return S.failure_stack(t.cases, "run_id")
 
 
-@query(f"WITH {CASES} SELECT doc_id, CASE verdict WHEN 'true_pass' THEN 'earned' WHEN 'lucky_pass' THEN 'from memory' WHEN 'generation_failure' THEN 'read wrongly' ELSE 'not found' END AS label, CASE WHEN hit THEN doc_id % 4 + 1 ELSE 0 END AS place FROM cases")
+@query(f"""WITH {CASES}, x AS (SELECT c.*, d.text, CASE WHEN hit THEN doc_id % 2 + 1 END AS rank, CASE WHEN doc_id % 3 = 0 THEN 'because' END AS rationale FROM cases c JOIN documents d USING (doc_id))
+SELECT doc_id, coalesce('#' || rank, '–') AS rank_text,
+  CASE verdict WHEN 'true_pass' THEN 'True pass' WHEN 'lucky_pass' THEN 'Lucky pass' WHEN 'generation_failure' THEN 'Generation failure' ELSE 'Retrieval failure' END AS label,
+  CASE WHEN adapter_error IS NOT NULL THEN 'The pipeline raised an error, which counts as a failure: ' || adapter_error ELSE
+    CASE verdict WHEN 'generation_failure' THEN 'The right passage came back at place ' || rank || ', and the answer was still wrong: look at the prompt or the model.'
+      WHEN 'retrieval_failure' THEN 'The passage with the answer did not come back, and the answer was wrong.'
+      WHEN 'lucky_pass' THEN 'The answer was right, though the passage that holds it did not come back.' || CASE WHEN confirmed THEN ' Asked again without passages it was right once more: it came from memory.'
+        WHEN NOT confirmed THEN ' Asked again without passages it was wrong: another passage may have helped.' ELSE '' END
+      ELSE 'The right passage, and the right answer.' END || CASE WHEN rationale IS NOT NULL AND verdict <> 'true_pass' THEN ' Judge: ' || rationale ELSE '' END END AS why,
+  CASE WHEN verdict = 'true_pass' THEN 0 ELSE 3 END AS n_tries,
+  CASE rank WHEN 1 THEN 'a <b>the</b> &lt;b&gt;' WHEN 2 THEN {Q.highlight('text', chr(39) + 'the' + chr(39))} END AS source_html,
+  CASE WHEN NOT hit THEN {Q.highlight('text', chr(39) + 'the' + chr(39))} END AS gold_html FROM x""")
 def case_explain(t):
-    label = F.element_at(F.create_map(*(F.lit(x) for x in ("true_pass", "earned", "lucky_pass", "from memory", "generation_failure", "read wrongly", "retrieval_failure", "not found"))), F.col("verdict"))
-    return t.cases.select("doc_id", label.alias("label"), F.when(F.col("hit"), F.col("doc_id") % 4 + 1).otherwise(0).alias("place"))
-
-
-@query(f"WITH {CASES} SELECT run_id, round(count(*) FILTER (verdict = 'true_pass') * 100.0 / count(*), 1) AS ring, round(count(*) FILTER (hit) * 100.0 / count(*), 1) AS hit_pct FROM cases GROUP BY run_id")
+    rows = t.cases.join(t.documents.select("doc_id", "text"), "doc_id").withColumns(
+        {
+            "rank": F.when(F.col("hit"), F.col("doc_id") % 2 + 1), "contexts": F.array(F.lit("a the <b>"), F.col("text")), "expected": F.lit("the"), "gold_text": F.col("text"),
+            "rationale": F.when(F.col("doc_id") % 3 == 0, "because"), "error": F.col("adapter_error"),
+        }
+    )
+    found = F.filter("passages", lambda p: p["source"])
+    return E.explain_cases(rows).select("doc_id", "rank_text", "label", "why", F.size("tries").alias("n_tries"), F.try_element_at(found, F.lit(1))["html"].alias("source_html"), "gold_html")
+
+
+@query(f"""WITH {CASES}, c AS (SELECT run_id, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (is_correct) AS correct, count(*) FILTER (verdict = 'lucky_pass') AS lucky,
+  round(count(*) FILTER (hit) * 100.0 / count(*), 1) AS hit_pct, round(count(*) FILTER (is_correct) * 100.0 / count(*), 1) AS correct_pct, round(count(*) FILTER (verdict = 'true_pass') * 100.0 / count(*), 1) AS ring,
+  count(*) FILTER (verdict = 'true_pass') || '/' || count(*) AS ring_text, round(avg(groundedness) * 100, 1) AS grounded_pct, count(*) FILTER (judge_failed) AS judge_failures FROM cases GROUP BY run_id)
+SELECT *, CASE WHEN hit_pct > correct_pct THEN 'More hits than right answers: what went wrong came after the search.' WHEN hit_pct < correct_pct THEN 'More right answers than hits: some did not come from the right page.' ELSE 'As many hits as right answers: where the page was found, the answer followed.' END
+  || '|' || CASE WHEN lucky = 0 THEN 'No lucky passes: right answers came from the documents.' ELSE 'Lucky passes, which the search did not earn: ' || lucky END
+  || CASE WHEN n < 20 THEN '|A small sample: ' || n WHEN judge_failures > 0 THEN '|Replies of the judge that could not be read: ' || judge_failures ELSE '' END AS bullets FROM c""")
 def stat_cards(t):
-    n = F.count(F.lit(1))
-    return t.cases.groupBy("run_id").agg(F.round(F.count_if(F.col("verdict") == "true_pass") * 100.0 / n, 1).alias("ring"), F.round(F.count_if("hit") * 100.0 / n, 1).alias("hit_pct"))
+    return E.bullets(E.stat_cards(t.cases, ["run_id"])).withColumn("bullets", F.array_join("bullets", "|"))
 
 
-@query(f"WITH {CASES} SELECT DISTINCT question_id FROM cases WHERE hit")
+@query(f"WITH {CASES} SELECT DISTINCT question_id FROM cases WHERE hit AND run_id = 2")
 def distinct_ids(t):
-    return t.cases.where("hit").select("question_id").distinct()
+    return E.distinct_ids(t.cases.withColumns({"config_hash": F.concat(F.lit("c"), "run_id"), "split": F.when(F.col("hit"), "dev").otherwise("test")}), "c2", "dev")
 
 
-@query("SELECT source, CAST(max(d) AS VARCHAR) AS captured FROM (SELECT user_id % 20 AS source, CAST(ts AS DATE) AS d FROM events) GROUP BY source")
+@query("SELECT source, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS captured FROM (SELECT user_id % 20 AS source, ts FROM events) GROUP BY source")
 def captured_date(t):
-    return t.events.groupBy((F.col("user_id") % 20).alias("source")).agg(F.max(F.to_date("ts")).cast("string").alias("captured"))
+    return E.captured_date(t.events.withColumn("source", F.col("user_id") % 20), "source", "ts")
 
 
 @query("SELECT q AS questions, 3 + 2 * q AS least_calls, 3 + 4 * q AS most_calls FROM (SELECT unnest(range(1, 21)) AS q)")
@@ -695,9 +734,10 @@ def cost_estimate(t):
     return t.spark.createDataFrame([(q, *P.check_cost(3, q)) for q in range(1, 21)], "questions bigint, least_calls bigint, most_calls bigint")
 
 
-@query(f"SELECT count(*) AS active_test FROM documents WHERE {Q.split('CAST(doc_id AS VARCHAR)')} = 'test'")
+@query(f"SELECT count(*) AS n FROM documents WHERE {Q.split('CAST(doc_id AS VARCHAR)')} = 'test' AND doc_id % 3 <> 0")
 def counts_only(t):
-    return t.documents.where(I.split_of(F.col("doc_id").cast("string")) == "test").agg(F.count(F.lit(1)).alias("active_test"))
+    rows = t.documents.select(I.split_of(F.col("doc_id").cast("string")).alias("split"), F.when(F.col("doc_id") % 3 == 0, "stale").otherwise("active").alias("status"))
+    return E.count_of(rows)
 
 
 # --- trials ------------------------------------------------------------------------------
@@ -727,24 +767,28 @@ def knob_changes(t):
 
 @query(f"WITH {TRIALS} SELECT config AS source, count(*) AS n FROM trials GROUP BY config")
 def source_counts(t):
-    return t.trials.groupBy(F.col("config").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return E.source_counts(t.trials, "config")
 
 
 @query(f"WITH {TRIALS}, f AS (SELECT * FROM trials QUALIFY row_number() OVER (PARTITION BY tune_id ORDER BY trial_index DESC) <= 8) SELECT tune_id, trial_index, score, row_number() OVER (PARTITION BY tune_id ORDER BY trial_index) AS x FROM f")
 def loop_view(t):
-    last = t.trials.withColumn("n", F.row_number().over(Window.partitionBy("tune_id").orderBy(F.desc("trial_index")))).where("n <= 8")
-    return last.select("tune_id", "trial_index", "score", F.row_number().over(Window.partitionBy("tune_id").orderBy("trial_index")).alias("x"))
+    return E.loop_view(t.trials).select("tune_id", "trial_index", "score", "x")
 
 
 @query(f"WITH {TRIALS} SELECT tune_id, max(score) AS best, count(*) AS n_trials, max(CASE WHEN trial_index = 0 THEN score END) AS baseline FROM trials GROUP BY tune_id")
 def tune_extra(t):
-    return t.trials.groupBy("tune_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n_trials"), F.max(F.when(F.col("trial_index") == 0, F.col("score"))).alias("baseline"))
+    return E.tune_extra(t.trials)
 
 
-@query(f"WITH {TRIALS} SELECT tune_id, trial_index, score FROM trials WHERE score < 50 QUALIFY row_number() OVER (PARTITION BY tune_id ORDER BY trial_index) <= 5")
+@query(f"""WITH {TRIALS}, b AS (SELECT tune_id, trial_index FROM trials QUALIFY row_number() OVER (PARTITION BY tune_id ORDER BY score DESC, trial_index) = 1),
+f AS (SELECT o_orderpriority AS tune_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS trial_index, o_orderkey AS k FROM orders),
+q AS (SELECT tune_id, trial_index, k * 10 + j AS question_id FROM f, (SELECT unnest(range(0, 8)) AS j))
+SELECT tune_id, trial_index, question_id FROM q JOIN b USING (tune_id, trial_index) QUALIFY row_number() OVER (PARTITION BY tune_id ORDER BY question_id) <= 5""")
 def feedback_topk(t):
-    order = Window.partitionBy("tune_id").orderBy("trial_index")
-    return t.trials.where("score < 50").withColumn("n", F.row_number().over(order)).where("n <= 5").select("tune_id", "trial_index", "score")
+    place = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
+    rows = t.orders.select(F.col("o_orderpriority").alias("tune_id"), (F.row_number().over(place) - 1).alias("trial_index"), "o_orderkey")
+    failed = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("tune_id", "trial_index", (F.col("o_orderkey") * 10 + F.col("j")).alias("question_id"))
+    return E.feedback(t.trials, failed).select("tune_id", "trial_index", "question_id")
 
 
 # --- ordering and history ----------------------------------------------------------------
@@ -786,8 +830,7 @@ def regression_sample(t):
 
 @query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 3")
 def examples_per_reason(t):
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return t.events.withColumn("n", F.row_number().over(order)).where("n <= 3").select("event_type", "event_id")
+    return E.first_of_each(t.events, "event_type", ["ts", "event_id"]).select("event_type", "event_id")
 
 
 @query("SELECT sha256(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -805,13 +848,12 @@ def topk_retrieval(t):
 
 @query(f"WITH {POOL} SELECT chunk_id FROM pool UNION SELECT CAST(doc_id AS VARCHAR) FROM labels")
 def union_done_keys(t):
-    return t.pool.select("chunk_id").union(t.labels.select(F.col("doc_id").cast("string"))).distinct()
+    return E.union_done_keys(t.pool, t.labels.select(F.col("doc_id").cast("string").alias("chunk_id")), key="chunk_id")
 
 
-@query(f"WITH {VERSIONS} (SELECT 'new' AS side, chunk_id FROM (SELECT chunk_id FROM new EXCEPT SELECT chunk_id FROM old)) UNION ALL SELECT 'both', chunk_id FROM (SELECT chunk_id FROM new INTERSECT SELECT chunk_id FROM old)")
+@query(f"WITH {VERSIONS} (SELECT 'new' AS side, chunk_id FROM (SELECT chunk_id FROM new EXCEPT SELECT chunk_id FROM old)) UNION ALL (SELECT 'deleted', chunk_id FROM (SELECT chunk_id FROM old EXCEPT SELECT chunk_id FROM new)) UNION ALL SELECT 'both', chunk_id FROM (SELECT chunk_id FROM new INTERSECT SELECT chunk_id FROM old)")
 def set_except_intersect(t):
-    old, new = (v.select("chunk_id") for v in t.versions)
-    return new.exceptAll(old).select(F.lit("new").alias("side"), "chunk_id").unionByName(new.intersect(old).select(F.lit("both").alias("side"), "chunk_id"))
+    return E.id_sets(*t.versions)
 
 
 @query("WITH o AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY sha256('0:v2:' || doc_id), CAST(doc_id AS VARCHAR) LIMIT 50) SELECT doc_id, TRUE AS is_new FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, FALSE FROM o")
@@ -874,12 +916,11 @@ def det_judge_groundedness(t):
     return t.questions.select("query_id", S.judge_grounded("gold", F.array("text")).alias("score"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT item_id, {Q.content('text')} AS q, {Q.sentences('text')} AS ss FROM benchmark), u AS (SELECT item_id, q, unnest(ss) AS sentence, unnest(range(0, len(ss))) AS place, ss[1] AS lead FROM s),
+c AS (SELECT *, {Q.shared('q', Q.content('sentence'))} AS shared FROM u) SELECT item_id, first(sentence ORDER BY shared DESC, place) AS answer, any_value(lead) AS lead FROM c GROUP BY item_id""")
 def det_answer(t):
-    parts = t.benchmark.select("item_id", "text", F.posexplode(X.sentences("text")).alias("place", "sentence"))
-    shared = F.size(F.array_intersect(X.content_tokens(F.substring("text", 1, 60)), X.content_tokens("sentence")))
-    best = parts.withColumn("shared", shared).groupBy("item_id").agg(F.max_by(F.struct("sentence", "shared"), F.struct("shared", -F.col("place"))).alias("b"))
-    return best.select("item_id", F.when(F.col("b.shared") > 0, F.col("b.sentence")).otherwise("I don't know").alias("answer"))
+    context = F.array(F.col("text"))
+    return t.benchmark.select("item_id", X.best_sentence(context, "text").alias("answer"), X.lead_sentence(context).alias("lead"))
 
 
 def _echo_adapter():
@@ -971,9 +1012,10 @@ def det_verify(t):
 
 @query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents")
 def scan_store_ordered(t):
-    return t.documents.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("place"))
+    return E.ordered(t.documents.select("doc_id", "lang"), ["lang"], ["doc_id"])
 
 
 @query(f"WITH {CASES} SELECT c.doc_id, c.verdict, l.quality FROM cases c JOIN labels l ON l.doc_id = c.question_id")
 def join_results_to_questions(t):
-    return t.cases.select("doc_id", "verdict", "question_id").join(t.labels.select(F.col("doc_id").alias("question_id"), "quality"), "question_id").drop("question_id")
+    return E.results_of_questions(t.cases.select("doc_id", "verdict", "question_id"), t.labels.select(F.col("doc_id").alias("question_id"), "quality")).drop("question_id")
+
