@@ -148,6 +148,23 @@ def recall_at_k(gold: Column, retrieved: Column, k: int) -> dict[str, Column]:
     }
 
 
+def text_recall_at_k(rows: DataFrame, chunks: DataFrame, k: int, threshold: float = MATCH_THRESHOLD, key: str = "question_id") -> DataFrame:
+    """``rows`` (chunk_ids, contexts) with ``recall, reciprocal_rank, hit`` by text: a gold chunk is found where one of the first k contexts overlaps it.
+
+    The rank is that of the first such context of any gold chunk. A gold chunk that is not in
+    ``chunks`` (chunk_id, text) is an error; a question without gold chunks has 0, 0 and false.
+    """
+    from .cases import gold_texts
+
+    gold = gold_texts(rows.select(key, F.explode(F.array_distinct("chunk_ids")).alias("chunk_id")), chunks).select(key, "chunk_id", bigrams("text").alias("want"))
+    shown = rows.select(key, F.posexplode(F.slice("contexts", 1, k)).alias("place", "context")).select(key, "place", bigrams("context").alias("have"))
+    met = gold.join(shown, key, "left").withColumn("place", F.when(bigram_match(F.col("want"), F.col("have")) >= threshold, F.col("place") + 1))
+    first = met.groupBy(key, "chunk_id").agg(F.min("place").alias("place"))
+    found = first.groupBy(key).agg((F.count("place") / F.count(F.lit(1))).alias("recall"), F.coalesce(1.0 / F.min("place"), F.lit(0.0)).alias("reciprocal_rank"))
+    out = rows.join(found, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("recall", "reciprocal_rank")})
+    return out.withColumn("hit", F.col("recall") == 1.0)
+
+
 def match_contexts(contexts: DataFrame, gold: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """``query_id, match_rank, match_score``: the first context that overlaps the gold text, and the best overlap.
 
