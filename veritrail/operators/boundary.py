@@ -6,6 +6,7 @@ A call may be costly and differ each time: write what comes back before it is us
 from __future__ import annotations
 
 import json
+import math
 import time
 import urllib.error
 import urllib.request
@@ -158,7 +159,7 @@ class RuleJudge:
         contexts, _, answer = user.partition("\n\nAnswer:\n")
         words, have = set(answer.lower().split()), set(contexts.removeprefix("Contexts:\n").lower().split())
         share = len(words & have) / len(words) if words else 0.0
-        return json.dumps({"is_grounded": share >= 0.8, "score": round(share, 3), "rationale": None})
+        return json.dumps({"is_grounded": share >= 0.8, "score": math.floor(share * 1000 + 0.5) / 1000, "rationale": None})
 
 
 def ablate(cases: DataFrame, make_client: Callable[[], object], key: str = "question_id") -> DataFrame:

@@ -13,6 +13,8 @@ from .ordering import numbered, running_sum
 
 REGRESSION_SAMPLE = 50
 MAX_RANGE_VALUES = 1000
+#: Chunks of a corpus among which similar ones are paired at most.
+MOST_SIMILAR = 2000
 
 
 def spread(chunks: DataFrame, questions: int, order: list[str]) -> DataFrame:
@@ -161,12 +163,13 @@ def random_order(configs: DataFrame, seed: int) -> DataFrame:
     return configs.withColumn("trial_order", F.row_number().over(Window.orderBy(key, *names)) - 1)
 
 
-def candidate_pairs(chunks: DataFrame, tokens: str = "tokens", least: float = 0.15, similar: bool = True, salt: str | None = None) -> DataFrame:
+def candidate_pairs(chunks: DataFrame, tokens: str = "tokens", least: float = 0.15, similar: bool | None = None, salt: str | None = None) -> DataFrame:
     """``chunk_a, chunk_b, score`` for questions over two chunks of one split, best first.
 
     Neighbours in a document score 1 + similarity; chunks of different documents whose word
     sets reach ``least`` in Jaccard score that. The latter come from an inverted list of words
-    and are meant for small corpora; ``similar`` turns them off.
+    and are sought among at most ``MOST_SIMILAR`` chunks, the rule of this operator, unless
+    ``similar`` says otherwise.
     """
     from ..functions.text import jaccard
 
@@ -175,6 +178,8 @@ def candidate_pairs(chunks: DataFrame, tokens: str = "tokens", least: float = 0.
     order = Window.partitionBy("doc_id").orderBy("position")
     ahead = rows.withColumns({c + "_b": F.lead(c).over(order) for c in ("chunk_id", "t", "split")}).where("chunk_id_b IS NOT NULL")
     near = ahead.where("split = split_b").select(F.col("chunk_id").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b"), F.round(1 + jaccard(F.col("t"), F.col("t_b")), 6).alias("score"))
+    if similar is None:
+        similar = chunks.limit(MOST_SIMILAR + 1).count() <= MOST_SIMILAR
     if not similar:
         return near
     words = rows.select("chunk_id", "doc_id", "split", F.size("t").alias("n"), F.explode("t").alias("word"))

@@ -322,12 +322,6 @@ def is_usable_fact(t):
     return t.benchmark.select("item_id", X.is_usable_fact(F.col("text"), answer).alias("usable"))
 
 
-@query()
-def question_problem(t):
-    asked = F.concat(F.element_at(F.array(F.lit("According to the passage, what is "), F.lit("What is "), F.lit("Что ")), (F.col("item_id") % 3 + 1).cast("int")), F.substring("text", 1, 30))
-    return t.benchmark.select("item_id", X.question_problem(asked, F.col("text")).alias("problem"))
-
-
 _TIMES = "['What happened last week?', 'Who is it now?', 'What came two years ago?', 'Which one is the latest?', 'What is a lasting weakness?', 'Who knows the nowhere man?', 'When was it built?', 'What is due at the moment?']"
 
 
@@ -587,7 +581,7 @@ def retrieve_degraded(t):
 n AS (SELECT *, lead(chunk_id) OVER w AS b, lead(t) OVER w AS u, lead(s) OVER w AS v FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY position))
 SELECT chunk_id AS chunk_a, b AS chunk_b, round(1 + CASE WHEN len(t) = 0 OR len(u) = 0 THEN 0.0 ELSE {Q.shared('t', 'u')}::DOUBLE / len(list_distinct(t || u)) END, 6) AS score FROM n WHERE b IS NOT NULL AND s = v""")
 def candidate_pairs(t):
-    return P.candidate_pairs(t.chunks.withColumn("tokens", X.content_tokens("text")), similar=False)
+    return P.candidate_pairs(t.chunks.withColumn("tokens", X.content_tokens("text")))
 
 
 @query(f"""WITH c AS (SELECT CAST(item_id AS VARCHAR) AS k, item_id, {Q.content('text')} AS t, {Q.split('CAST(item_id AS VARCHAR)')} AS s FROM benchmark),
@@ -999,7 +993,7 @@ def generate_multihop(t):
     from .plans.generate import pair_sources
 
     chunks = t.chunks
-    return offline.questions(pair_sources(P.candidate_pairs(chunks.withColumn("tokens", X.content_tokens("text")), similar=False), chunks, 200))
+    return offline.questions(pair_sources(P.candidate_pairs(chunks.withColumn("tokens", X.content_tokens("text"))), chunks, 200))
 
 
 @query(f"WITH {Q.CLOZE}, v AS (SELECT query_id, {Q.content('gold')} AS f, {Q.content('text')} AS q, {Q.content('expected')} AS e FROM questions) SELECT query_id, len([w FOR w IN list_intersect(q, f) IF NOT list_contains(e, w)]) >= 2 AS unambiguous FROM v")
