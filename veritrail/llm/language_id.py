@@ -17,18 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import spare, table
 
 #: Bounds of the labelled sample that the automata are built from, for each language.
 SAMPLE_ROWS = 128
 ROW_CHARS = 320
+#: Parts that the texts of a language are ranked in before their best are ranked together.
+DEALS = 32
 SAMPLE_CHARS = SAMPLE_ROWS * ROW_CHARS
 #: Entries of a language's dense table at most; an automaton that would take more, by many letters, is searched by its edges.
 DENSE = 1 << 24
-#: Code points after which a new phrase begins in any case, so that a long text is parsed as many short ones.
+#: Code points of a block. The blocks of a text are parsed side by side, and then as one text, see :func:`parse_blocks`.
 BLOCK = 256
 #: Code points that are parsed at a time.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -100,13 +102,10 @@ class Dense:
         move[:, width - 1], phrases[:, width - 1] = np.arange(len(go)), 0
         return cls(own, (move * width * 4 + phrases).astype(np.uint32).ravel())
 
-    def phrases(self, codes: np.ndarray) -> np.ndarray:
-        state, count = np.zeros(codes.shape[1], np.uint32), np.zeros(codes.shape[1], np.uint32)
-        for row in self.own[codes]:
-            move = self.moves[state + row]
-            count += move & np.uint32(3)
-            state = move >> np.uint32(2)
-        return count + (state != 0)
+    def step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a letter each, and the phrases that end there."""
+        move = self.moves[state + row]
+        return move >> np.uint32(2), (move & np.uint32(3)).astype(np.uint8)
 
 
 @dataclass
@@ -127,18 +126,51 @@ class Sparse:
         order = np.argsort(edges)
         return cls(own, edges[order], to[order], root)
 
-    def phrases(self, codes: np.ndarray) -> np.ndarray:
+    def step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a letter each, and the phrases that end there."""
         width = len(self.root)
-        state, count = np.zeros(codes.shape[1], np.int64), np.zeros(codes.shape[1], np.uint32)
-        for row in self.own[codes]:
-            edge = state * width + row
-            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
-            hit, begin = self.edges[at] == edge, self.root[row]
-            ended = np.where(hit, 0, np.where(begin >= 0, 1, np.where(state == 0, 1, 2)))
-            pad = row == width - 1
-            count += np.where(pad, 0, ended).astype(np.uint32)
-            state = np.where(pad, state, np.where(hit, self.to[at], np.maximum(begin, 0)))
-        return count + (state != 0)
+        edge = state * np.int64(width) + row
+        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+        hit, begin, pad = self.edges[at] == edge, self.root[row], row == width - 1
+        ended = np.where(pad | hit, 0, np.where(begin >= 0, 1, np.where(state == 0, 1, 2)))
+        after = np.where(pad, state, np.where(hit, self.to[at], np.maximum(begin, 0)))
+        return after.astype(np.uint32), ended.astype(np.uint8)
+
+
+def parse_blocks(automaton: Dense | Sparse, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Phrases that end in each block of ``codes[place, block]``, where ``first`` marks the first block of a text.
+
+    The result is that of parsing each text from its start to its end. All blocks are parsed at
+    once as if a phrase began with each. A block whose forerunner ends inside a phrase is then
+    parsed again from that state, until it comes to the state it had at the same place before:
+    from there on nothing changes. If that place lies beyond its end, the next block follows.
+    The last phrase of a text ends with it.
+    """
+    n = codes.shape[1]
+    rows = automaton.own[codes]
+    states, ended = np.empty(codes.shape, np.uint32), np.empty(codes.shape, np.uint8)
+    state = np.zeros(n, np.uint32)
+    for t, row in enumerate(rows):
+        state, ended[t] = automaton.step(state, row)
+        states[t] = state
+    begin = np.zeros(n, np.uint32)
+    todo = np.flatnonzero(~first)
+    while len(todo):
+        todo = todo[states[-1, todo - 1] != begin[todo]]
+        now = begin[todo] = states[-1, todo - 1]
+        open_ = todo
+        for t, row in enumerate(rows):
+            if not len(open_):
+                break
+            now, count = automaton.step(now, row[open_])
+            differ = now != states[t, open_]
+            ended[t, open_], states[t, open_] = count, now
+            open_, now = open_[differ], now[differ]
+        todo = open_ + 1
+        todo = todo[todo < n]
+        todo = todo[~first[todo]]
+    last = np.append(first[1:], True)
+    return ended.sum(0, dtype=np.int64) + (last & (states[-1] != 0))
 
 
 @dataclass
@@ -155,9 +187,10 @@ class LanguageModel:
     pointer_bits: np.ndarray
     width: int
 
-    def phrases(self, codes: np.ndarray) -> np.ndarray:
-        """``[language, block]`` counts for ``codes[place, block]``."""
-        return np.stack([a.phrases(codes) for a in self.automata])
+    def phrases(self, codes: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """``[language, block]`` counts for ``codes[place, block]``; without ``first`` every block is a text."""
+        first = np.ones(codes.shape[1], bool) if first is None else first
+        return np.stack([parse_blocks(a, codes, first) for a in self.automata])
 
 
 def train(samples: dict[str, str]) -> LanguageModel:
@@ -201,7 +234,9 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
         first = np.concatenate([[0], np.cumsum(blocks)])
         row = np.repeat(first[:-1] * BLOCK, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         flat.reshape(-1)[row] = np.concatenate([c for _, c in pending])
-        counts = model.phrases(np.ascontiguousarray(flat.T))
+        begins = np.zeros(blocks.sum(), bool)
+        begins[first[:-1]] = True
+        counts = model.phrases(np.ascontiguousarray(flat.T), begins)
         totals = np.add.reduceat(counts, first[:-1], axis=1).astype(float)
         entropy = totals * model.pointer_bits[:, None] / lengths
         order = np.argsort(entropy, axis=0, kind="stable")
@@ -243,7 +278,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & text.isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("order"), F.substring(text, start, F.lit(ROW_CHARS)).alias("text")
     )
-    lowest = labelled.select("lang", "order").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= SAMPLE_ROWS)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("order"))
+    some = labelled.select("lang", "order").distinct().withColumn("deal", F.pmod("order", F.lit(DEALS)))
+    some = some.withColumn("rank", rank("lang", "deal")).where(F.col("rank") <= SAMPLE_ROWS)
+    lowest = some.withColumn("rank", rank("lang")).where(F.col("rank") <= SAMPLE_ROWS).select("lang", "order", "rank")
     chosen = labelled.join(F.broadcast(lowest), ["lang", "order"]).select("lang", "rank", "text").distinct()
     samples: dict[str, list[str]] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
@@ -252,9 +290,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score; columns of those names are replaced.
+    """``docs`` with the predicted language and its score; columns of those names are replaced, others kept whatever their names.
 
-    Reads nothing but the text. See :func:`predict` for null, empty and letterless texts.
+    Reads nothing but the text, and all of a long one. See :func:`predict` for null, empty and
+    letterless texts and for ties. Repeated rows get the same answer each; an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -267,11 +307,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", labe
             scores.append(b)
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], ["label", "score"])
 
-    found = docs.withColumn("__lang", parse.asNondeterministic()(F.col(text_col)))
-    return found.withColumns({label_col: F.col("__lang.label"), score_col: F.col("__lang.score")}).drop("__lang")
+    name = spare(docs, "language")
+    found = docs.withColumn(name, parse.asNondeterministic()(F.col(text_col)))
+    return found.withColumns({label_col: F.col(f"{name}.label"), score_col: F.col(f"{name}.score")}).drop(name)
 
 
 def op1_language_id(spark, sf_dir):
+    """The language of all ``documents``, by :func:`identify` with a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
