@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Memory
-from .scratch import table
+from .scratch import spare, table
 
 _SPACE = "▁"
 _WORD = re.compile(" +[^ ]*")
@@ -349,7 +349,12 @@ def decode_column(docs: DataFrame, path: str, ids_col: str = "ids", text_col: st
 
 
 def encoding_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` of every whole text; columns of those names are replaced."""
+    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` of every whole text; columns of those names are replaced, others kept.
+
+    A null text counts as empty, and an empty one has no token. Long texts are encoded whole; repeated
+    rows get the same answer each; an empty table gives no rows. A worker remembers the pieces
+    of a bounded number of words, which changes nothing but the time that a rarer word takes.
+    """
     name = _on_executors(docs, path)
 
     @F.arrow_udf("struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string>")
@@ -358,11 +363,13 @@ def encoding_digests(docs: DataFrame, path: str, text_col: str = "text") -> Data
         columns = [[x for part in parts for x in part[k]] for k in range(3)]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    found = docs.withColumn("__bpe", run.asNondeterministic()(F.col(text_col)))
-    return found.withColumns({c: F.col(f"__bpe.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__bpe")
+    own = spare(docs, "encoding")
+    found = docs.withColumn(own, run.asNondeterministic()(F.col(text_col)))
+    return found.withColumns({c: F.col(f"{own}.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(own)
 
 
 def op5_sentencepiece(spark, sf_dir):
+    """Token ids and decoded texts of all ``documents``, by :func:`encoding_digests`."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
