@@ -16,7 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from .shingles import mix, word_hashes
 WORD_SLOTS = 1 << 17
 #: Bytes of the documents that are counted, or scored, together, and of text for each bucket of counts.
 BLOCK_BYTES, BUCKET_BYTES = 1 << 23, 1 << 24
-#: Ids of targets that are broadcast at most, of 16 bytes each with their flag.
+#: Ids of targets that are sent to every task at most, of 8 bytes each.
 BROADCAST_IDS = 1 << 22
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 32.0
@@ -201,13 +203,14 @@ def _losses(block: Block, words: np.ndarray, pairs: np.ndarray, tokens: np.ndarr
 _COUNTS, _ASKS = 1, 2
 
 
-def _dealt_blocks(docs: DataFrame, text_col: str, role: int) -> DataFrame:
-    """``block, role, fold, docs``: documents of a fold in compressed blocks of about ``BLOCK_BYTES`` of text."""
+def _dealt_blocks(docs: DataFrame, text_col: str, role: int, mark: Mark | None = None) -> DataFrame:
+    """``block, role, fold, docs``: documents of a fold in compressed blocks of about ``BLOCK_BYTES`` of text, with a column of marks if asked."""
     schema = "block long, role int, fold int, docs binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (role << 60) | (TaskContext.get().partitionId() << 28)
         for i, (fold, own) in enumerate(_blocks(batches, text_col)):
+            own = mark.add(own) if mark else own
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(own.combine_chunks())
@@ -220,13 +223,32 @@ def _opened(docs: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(docs.as_buffer()).read_all()
 
 
-def _flagged(models: Models, flag: str) -> DataFrame:
-    """The corpus with a column that tells targets; their ids are broadcast up to ``BROADCAST_IDS``, joined by shuffle beyond."""
+@dataclass
+class Mark:
+    """Sorted ids of targets, to tell them where the documents are dealt."""
+
+    ids: Broadcast
+    id_col: str
+    flag: str
+
+    def add(self, rows: pa.Table) -> pa.Table:
+        known, own = self.ids.value, rows[self.id_col].combine_chunks()
+        values = np.asarray(pc.fill_null(own.cast(pa.int64()), 0))
+        at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+        hit = (known[at] == values) if len(known) else np.zeros(len(values), bool)
+        return rows.append_column(self.flag, pa.array(hit & np.asarray(own.is_valid())))
+
+
+def _flagged(models: Models, flag: str) -> tuple[DataFrame, Mark | None]:
+    """The corpus, and what tells its targets: up to ``BROADCAST_IDS`` whole numbers as a mark, else a column from a join by shuffle."""
     docs, name = models.corpus, spare(models.corpus, "target_id")
-    good = models.targets.select(F.col(models.id_col).alias(name), F.lit(True).alias(flag)).where(F.col(name).isNotNull()).distinct()
-    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    good = F.broadcast(good) if few else good.hint("merge")
-    return docs.join(good, F.col(models.id_col) == F.col(name), "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop(name)
+    good = models.targets.select(F.col(models.id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
+    whole = all(isinstance(f.schema[c].dataType, T.IntegralType) for f, c in ((docs, models.id_col), (good, name)))
+    if whole and good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = np.sort(np.asarray(good.select(F.col(name).cast("long")).toArrow()[name].combine_chunks()))
+        return docs, Mark(docs.sparkSession.sparkContext.broadcast(ids), models.id_col, flag)
+    good = good.withColumn(flag, F.lit(True)).hint("merge")
+    return docs.join(good, F.col(models.id_col) == F.col(name), "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop(name), None
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
@@ -249,14 +271,16 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     flag = spare(models.corpus, "is_target")
     own = docs is models.corpus and text_col == models.text_col
     docs = docs.drop(*(c for c in _RESULT if c != text_col))
-    corpus = _flagged(models, flag)
+    corpus, mark = _flagged(models, flag)
     size = int(corpus.agg(F.sum(F.octet_length(models.text_col))).head()[0] or 0)
     buckets = max(1, -(-size // BUCKET_BYTES))
     if own:
-        dealt = _dealt_blocks(corpus.drop(*(c for c in _RESULT if c != text_col)), text_col, _COUNTS | _ASKS)
+        dealt = _dealt_blocks(corpus.drop(*(c for c in _RESULT if c != text_col)), text_col, _COUNTS | _ASKS, mark)
     else:
-        counting = corpus.select(F.col(models.text_col).alias(text_col), flag)
-        dealt = _dealt_blocks(counting, text_col, _COUNTS).unionByName(_dealt_blocks(docs, text_col, _ASKS))
+        told = F.col(models.id_col).alias(spare(docs, "doc_id_")) if mark else F.col(flag)
+        mark = mark and Mark(mark.ids, spare(docs, "doc_id_"), flag)
+        counting = corpus.select(F.col(models.text_col).alias(text_col), told)
+        dealt = _dealt_blocks(counting, text_col, _COUNTS, mark).unionByName(_dealt_blocks(docs, text_col, _ASKS))
     part = "kind int, bucket int, block long, fold int, asks boolean, keys binary, counts binary"
     replied = "block long, kind int, bucket int, counts binary, sums array<long>"
     result = T.StructType([*docs.schema, *(T.StructField(c, T.LongType() if c == "n_tokens" else T.DoubleType()) for c in _RESULT)])
