@@ -208,8 +208,9 @@ def pack(parts: DataFrame, capacity: int = 4096, most_documents: int | None = No
 
     A sequence takes ``capacity`` tokens, ``most_documents`` pieces and ``most_attention`` of
     summed squared lengths; by default the last two bind no more than the first. Pieces are
-    dealt evenly into shards by a hash of the row and each shard is packed by :func:`best_fit`;
-    more input means more shards, not larger ones. ``parts`` is written once. No rows give none.
+    dealt evenly into shards by a hash of their place in the table, so that repeated rows are
+    spread like others, and each shard is packed by :func:`best_fit`; more input means more
+    shards, not larger ones. ``parts`` is written once. No rows give none.
     """
     limits = (float(capacity), float(most_documents or capacity), float(most_attention or capacity * capacity))
     parts = cut(parts, "pieces")
@@ -222,17 +223,23 @@ def pack(parts: DataFrame, capacity: int = 4096, most_documents: int | None = No
         base = own["shard"][0].as_py() << 32
         return own.drop_columns(["shard"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     return dealt.groupBy("shard").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, **limits) -> DataFrame:
-    """Pieces of all documents with their sequence and place; null texts count as empty."""
+    """Pieces of all documents with their sequence and place.
+
+    Null texts count as empty, and an empty one is a piece of one token. Long texts are cut into
+    pieces of ``capacity``. Repeated rows are pieces of their own, a null id stays null, other
+    columns are not read, and an empty table gives no rows.
+    """
     return pack(pieces(docs, tokenizer_path, capacity), capacity, **limits)
 
 
 def op6_best_fit_packing(spark, sf_dir):
+    """All ``documents`` in sequences of 4096 tokens, by :func:`pack_documents`. As few sequences as it can: the other limits don't bind."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
