@@ -303,3 +303,23 @@ def test_pipeline(spark, tmp_path):
         if k < 4:
             assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == set(left), k
     assert {r["doc_id"] for r in now.collect()} == set(left) and pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_stages_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null texts, clashing names and an empty table, in every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(5, "alpha beta gamma"), (5, "shared text here"), (7, "shared text here"), (7, "shared text here"), (None, "shared text here"), (None, "no id, me@x.org"), (3, None), (4, ""), (6, "1 2 3")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, lang_score int, gone_id int, gone_key int, personal_data int, shard int, piece_ int"
+    docs = spark.createDataFrame([(*r, "en", "s", 0, *[None] * 7) for r in rows], names).repartition(2)
+    now, none = docs, docs.limit(0)
+    expected = [
+        sorted(rows[:6], key=repr), sorted([rows[0], rows[2], rows[3], rows[5]], key=repr), sorted([rows[0], rows[2], rows[3], rows[5]], key=repr),
+        sorted([rows[0], rows[2], rows[3], (None, "no id, [EMAIL]")], key=repr),
+    ]
+    for (_, stage), want in zip(pipeline.STAGES[:-1], expected):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr) == want
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    packed = pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert len(packed) == 4 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 4
+    assert pipeline.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
