@@ -268,7 +268,7 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     the counts and returns the sums to each block that asked, which is scored from them. The
     driver gets a few sums.
     """
-    flag = spare(models.corpus, "is_target")
+    flag = spare(models.corpus, "is_target", docs)
     own = docs is models.corpus and text_col == models.text_col
     docs = docs.drop(*(c for c in _RESULT if c != text_col))
     corpus, mark = _flagged(models, flag)
