@@ -58,6 +58,12 @@ def test_facts_and_problems(spark):
     assert one(spark, X.question_problem("q", "s"), q="What is it?", s="what") is None
 
 
+def test_sentences_keep_digits(spark):
+    assert one(spark, X.sentences("t"), t="0997 | a\n 1219 b. x1 \n# 2\n3 c 3\n4") == ["0997 | a 1219 b. x1 3 c 3 4"]
+    assert one(spark, X.sentences("t"), t="0\n1\n") == ["0 1"]
+    assert one(spark, X.sentences("t"), t="One.\n   \n  # no\n  Two! ") == ["One.", "Two!"]
+
+
 def test_split_share(spark):
     rows = spark.range(10_000).select(I.split_of(F.concat(F.lit("c"), F.col("id"))).alias("s"))
     assert 0.68 < rows.where("s = 'dev'").count() / 10_000 < 0.72

@@ -141,7 +141,8 @@ def question_problem(question: Column | str, source: Column | str) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Sentences of the text without blank and heading lines."""
-    lines = F.filter(F.transform(F.split(column(text), "\n"), F.trim), lambda line: (line != "") & ~line.startswith("#"))
+    # Not F.trim itself: transform would hand the line's place to its second parameter, the characters to trim.
+    lines = F.filter(F.transform(F.split(column(text), "\n"), lambda line: F.trim(line)), lambda line: (line != "") & ~line.startswith("#"))
     return F.filter(F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"), lambda s: s != "")
 
 
