@@ -63,3 +63,13 @@ def test_reports(spark):
     assert "A &amp; B" in page and "&lt;b&gt;" in page and "<b>" not in page
     assert json_for_html({"a": "</script>&"}) == '{"a":"\\u003c/script\\u003e\\u0026"}'
     assert best_config({"k": 3}, 75.0, "t1").splitlines()[-1] == "k: 3"
+
+
+def test_report_is_whole(spark):
+    n = 2500
+    rows = spark.range(0, n, 1, 3).selectExpr("id", "concat('<', id, '>\r\n') AS t").orderBy("id")
+    page = html_report("Rows", {"rows": rows, "none": rows.where("id < 0")})
+    table, rest = page.split("</table>", 1)
+    assert table.count("<tr>") == n + 1 and [int(x.split("<")[0]) for x in table.split("<tr><td>")[1:]] == list(range(n))
+    shown = [json.loads(x.split("</script>")[0]) for x in page.split("<script type='application/json'>")[1:]]
+    assert shown == [[{"id": i, "t": f"<{i}>\r\n"} for i in range(n)], []]

@@ -12,6 +12,7 @@ from .operators import boundary as B
 from .operators import planning as P
 from .operators import retrieval as V
 from .operators import tuning as U
+from .operators.cases import LABELS
 from .plans import evaluate as W
 from .plans import generate as G
 from .plans import reports as H
@@ -71,9 +72,14 @@ def sink_html_report(t):
             "rationale": F.lit(None).cast("string"), "error": F.col("adapter_error"),
         }
     )
-    page = H.run_report(rows, t.runs, t.trials.where("trial_index < 3"))
-    labels = sum(f"<td>{label}</td>" in page for label in ("True pass", "Lucky pass", "Generation failure", "Retrieval failure"))
-    return t.spark.createDataFrame([(page.count("<h2>") - 1, labels, page.split("<h2>Questions</h2>")[1].split("</table>")[0].count("<tr>") - 1)], "sections bigint, verdicts bigint, explained bigint")
+    section, heads, labels, explained = "", 0, set(), 0
+    for piece in H.html_pieces("Check", H.run_sections(rows, t.runs, t.trials.where("trial_index < 3"))):
+        if piece.startswith("<h2>"):
+            section, heads = piece[4:].split("</h2>")[0], heads + 1
+        elif piece.startswith("<tr>"):
+            labels |= {label for label in LABELS.values() if f"<td>{label}</td>" in piece}
+            explained += section == "Questions"
+    return t.spark.createDataFrame([(heads - 1, len(labels), explained)], "sections bigint, verdicts bigint, explained bigint")
 
 
 @query(f"SELECT CASE WHEN {Q.split('CAST(doc_id AS VARCHAR)')} = 'dev' THEN 'dev' ELSE 'locked' END AS view, count(*) AS n FROM documents GROUP BY 1")
