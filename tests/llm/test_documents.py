@@ -441,6 +441,38 @@ def test_tagger_written_forms():
     assert right / found >= 0.9 and right / there >= 0.7
 
 
+def test_tagger_reads_every_character():
+    net = pii.train()
+    symbols = np.random.default_rng(4).integers(0, pii.SYMBOLS, (40, pii.WINDOW))
+    want = pii.marginals(net, pii._forward(net, symbols)[0])[0]
+    assert np.abs(pii.posteriors(pii._single(net), symbols.T).swapaxes(1, 2) - want).max() < 1e-4
+    # Neither a digit, an at sign, a word "dot" nor a bracket; and a name that begins long before its first "dot".
+    plain = "the desk is run by tom_baker at west-gate.co"
+    long = "averyverylongfirstnamehere dot andaverylongsurname at somelongdepartment-of dot example dot com"
+    around = "word and more words here, " * 40
+    for text in (plain, around + plain + " " + around, long + " is it", around + long + " " + around):
+        found = [text[s:e] for _, s, e in pii.find_spans(net, [text])[0][1]]
+        assert found == [plain[19:] if plain in text else long]
+
+
+def test_tagger_decoding(monkeypatch):
+    rng, lawful = np.random.default_rng(5), np.where(pii.allowed_moves(), 0.0, -1e4)
+    for _ in range(300):
+        n = int(rng.integers(1, 150))
+        belief = np.exp(rng.normal(0, rng.choice([0.3, 2, 6]), (n, pii.LABELS)) + np.eye(pii.LABELS)[0] * rng.choice([0, 3, 6]))
+        belief /= belief.sum(1, keepdims=True)
+        score = np.log(belief + pii.FLOOR)
+        best = np.where(np.arange(pii.LABELS) % 2 + (np.arange(pii.LABELS) == 0), score[0], -1e4)
+        for row in score[1:]:
+            best = (best[:, None] + lawful).max(0) + row
+        got = pii._decoded(belief, np.array([0]))
+        assert score[np.arange(n), got].sum() == pytest.approx(best.max()) and lawful[got[:-1], got[1:]].sum() == 0
+    texts = [pii._example(random.Random(i))[0] * (1 + i % 60) for i in range(40)] + ["", "x"]
+    want = pii.tag_zones(pii.train(), texts)
+    monkeypatch.setattr(pii, "PART", 1000)
+    assert pii.tag_zones(pii.train(), texts) == want == [pii.tag_zones(pii.train(), [t])[0] for t in texts]
+
+
 def test_personal_data(spark, docs, empty):
     texts = ["Mail a.b@c.org now", "at 10.0.0.300 or 10.0.0.30", "card 4242 4242 4242 4242, not 4242 4242 4242 4241", "call +1 (269) 555-3296 45241322646 please", "x" * 5000 + " me@x.org " + "y" * 5000, "no data here", None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

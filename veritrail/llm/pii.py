@@ -1,8 +1,6 @@
 """Personal data: rule spans, and a character BiLSTM with CRF transitions that adds others.
 
-A kind of personal data has a digit, an at sign, or one of the words that are written for an at
-sign or a dot. The network reads the text around those, in overlapping windows; elsewhere no
-span can lie, so nothing is passed over.
+The network reads every character of every text, in overlapping windows.
 """
 
 from __future__ import annotations
@@ -10,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import flat_utf8
 from .scratch import spare, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,7 +28,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
-_TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])dot(?![A-Za-z])|[\[({] ?at ?[\])}]", re.IGNORECASE)
 
 Span = tuple[int, int, int]
 
@@ -84,8 +81,6 @@ def base_spans(text: str) -> list[Span]:
 #: Labels: outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 96, 48
-#: Characters on either side of a digit, at sign or such a word that the network reads.
-MARGIN = 32
 EMBED, HIDDEN = 12, 16
 TRAIN_STEPS, TRAIN_BATCH, TRAIN_LENGTH = 480, 32, 72
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0@.+-_%() /:,=\n#[]'\"|"
@@ -322,80 +317,244 @@ def train(seed: int = 7, steps: int = TRAIN_STEPS) -> Tagger:
     return net
 
 
-def zones(text: str) -> list[tuple[int, int]]:
-    """Where the network reads: ``MARGIN`` characters around every digit or at sign, joined where they meet."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - MARGIN), min(len(text), m.start() + MARGIN)
-        if out and start <= out[-1][1]:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
-
-
-def _window_starts(length: int) -> list[int]:
+def _window_starts(length: int) -> np.ndarray:
     if length <= WINDOW:
-        return [0]
-    starts = list(range(0, length - WINDOW, STRIDE))
-    return [*starts, length - WINDOW]
-
-
-def best_labels(net: Tagger, belief: np.ndarray) -> np.ndarray:
-    """The most likely lawful label sequence for ``belief[place, label]``."""
-    lawful = np.where(allowed_moves(), 0.0, -1e4)
-    score = np.log(belief + 1e-9)
-    back = np.zeros(belief.shape, np.int64)
-    best = score[0].copy()
-    best[2::2] = -1e4
-    for t in range(1, len(score)):
-        options = best[:, None] + lawful
-        back[t] = options.argmax(0)
-        best = options.max(0) + score[t]
-    out = np.zeros(len(score), np.int64)
-    out[-1] = best.argmax()
-    for t in range(len(score) - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+        return np.zeros(1, np.int64)
+    return np.append(np.arange(0, length - WINDOW, STRIDE), length - WINDOW)
 
 
-#: Windows that go through the network at a time.
-BATCH = 1024
+#: Windows that go through the network at a time. There are always as many, so that a window's figures don't depend on its neighbours.
+BATCH = 384
+#: Characters whose posteriors are held at a time.
+PART = 1 << 19
+#: Posteriors are floored at ``FLOOR`` for decoding: no place is worth more than ``LEAD``, so what gains more by being outside is outside.
+FLOOR, LEAD = 1e-9, 21.0
+#: A place is quiet if the posterior of all spans is at most ``QUIET`` in every window. No span goes over ``PAD`` quiet places, as PAD * log((1 - QUIET) / QUIET) > LEAD.
+QUIET, PAD = 0.1, 10
 
 
-def tag_zones(net: Tagger, parts: list[str]) -> list[list[Span]]:
-    """Spans of each part. Every window is decoded to label posteriors; where windows overlap these
-    are averaged, places near a window's middle weighing more, and one global decoding of the
-    part's averages reconciles them."""
-    jobs = [(i, s) for i, part in enumerate(parts) for s in _window_starts(len(part))]
-    codes = [symbols_of(p) for p in parts]
-    belief = [np.zeros((len(p), LABELS)) for p in parts]
-    weight = [np.zeros(len(p)) for p in parts]
-    space = _ALPHABET.index(" ")
+def _single(net: Tagger) -> tuple[np.ndarray, ...]:
+    """Weights in single precision for :func:`posteriors`: sigmoids as tanh of halves, hidden states doubled, bias as a column."""
+    gates = np.concatenate([net.gates[:, :EMBED], net.bias, net.gates[:, EMBED:] / 2], 1).swapaxes(1, 2).copy()
+    gates[:, : 3 * HIDDEN] /= 2
+    moves, _ = _chain(net)
+    embed, gates, out, out_bias, moves = (np.ascontiguousarray(x, np.float32) for x in (net.embed.T, gates.swapaxes(1, 2), net.out.T / 2, net.out_bias[:, None], np.exp(moves)))
+    return embed, gates.swapaxes(1, 2), out, out_bias, moves
+
+
+def posteriors(weights: tuple[np.ndarray, ...], symbols: np.ndarray) -> np.ndarray:
+    """The posteriors ``[place, label, window]`` that :func:`_forward` and :func:`marginals` give for ``symbols[place, window]``, with windows side by side in memory."""
+    embed, gates, out, out_bias, moves = weights
+    length, count = symbols.shape
+    seen = np.take(embed, symbols, axis=1)
+    x = np.zeros((2, EMBED + 1 + HIDDEN, count), np.float32)
+    x[:, EMBED] = 1
+    z, c, u = np.empty((2, 4 * HIDDEN, count), np.float32), np.zeros((2, HIDDEN, count), np.float32), np.empty((2, HIDDEN, count), np.float32)
+    states = np.empty((length, 2 * HIDDEN, count), np.float32)
+    i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    for t in range(length):
+        x[0, :EMBED], x[1, :EMBED] = seen[:, t], seen[:, length - 1 - t]
+        np.matmul(gates, x, out=z)
+        np.tanh(z, out=z)
+        z[:, : 3 * HIDDEN] += 1
+        c *= f
+        np.multiply(i, g, out=u)
+        c += u
+        c *= 0.5
+        np.tanh(c, out=u)
+        u *= o
+        x[:, EMBED + 1 :] = u
+        states[t, :HIDDEN], states[length - 1 - t, HIDDEN:] = u
+    scores = np.matmul(out, states)
+    scores += out_bias
+    scores -= scores[:, :1].copy()
+    np.clip(scores, -30, 30, out=scores)
+    np.exp(scores, out=scores)
+    # Scaled at every second place, which single precision bears after the clip.
+    ahead, total = np.empty_like(scores), np.empty((length, count), np.float32)
+    a = scores[0]
+    for t in range(length):
+        if t:
+            np.matmul(moves.T, ahead[t - 1], out=ahead[t])
+            a = np.multiply(ahead[t], scores[t], out=ahead[t])
+        if t % 2 == 0 or t == length - 1:
+            a.sum(0, out=total[t])
+            np.divide(a, total[t], out=ahead[t])
+    b = np.ones_like(a)
+    for t in range(length - 2, -1, -1):
+        scores[t + 1] *= b
+        np.matmul(moves, scores[t + 1], out=b)
+        if (t + 1) % 2 == 0 or t + 1 == length - 1:
+            b /= total[t + 1]
+        ahead[t] *= b
+    return ahead
+
+
+def _groups(lengths: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """Texts, long ones in parts, as ``(text, start, end)`` in groups of about ``PART`` characters."""
+    group, size = [], 0
+    for i, n in enumerate(lengths):
+        for a in range(0, n, PART):
+            b = min(n, a + PART)
+            group.append((i, a, b))
+            size += max(b - a, WINDOW)
+            if size >= PART:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _beliefs(weights: tuple[np.ndarray, ...], codes: list[np.ndarray], group: list[tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each part of the group the places at most ``PAD`` from one that isn't quiet, and their mean posteriors.
+
+    All windows that touch the part are read whole. Where they overlap their posteriors are
+    averaged, places near a window's middle weighing more.
+    """
+    at, first, laid, windows = 0, [], [], []
+    for i, a, b in group:
+        starts = _window_starts(len(codes[i]))
+        starts = starts[(starts < b + PAD) & (starts + WINDOW > a - PAD)]
+        lo, hi = int(starts[0]), min(len(codes[i]), int(starts[-1]) + WINDOW)
+        first.append(at - lo)
+        laid.append((at, codes[i][lo:hi]))
+        windows.append(starts + (at - lo))
+        at += max(hi - lo, WINDOW) + PAD
+    flat, real = np.full(at, _ALPHABET.index(" "), np.uint8), np.zeros(at, bool)
+    for place, own in laid:
+        flat[place : place + len(own)] = own
+        real[place : place + len(own)] = True
+    starts = np.concatenate(windows)
+    count = len(starts)
+    starts = np.append(starts, np.zeros(-count % BATCH, np.int64))
+    loud, kept = np.zeros(at, bool), []
+    steps = np.arange(WINDOW)[:, None]
+    for k in range(0, len(starts), BATCH):
+        places = starts[k : k + BATCH] + steps
+        found = posteriors(weights, flat[places])
+        loud[places[found[:, 0] < 1 - QUIET]] = True
+        kept.append((places[:, : count - k], found))
+    loud &= real
+    near = loud.copy()
+    for d in range(1, PAD + 1):
+        near[d:] |= loud[:-d]
+        near[:-d] |= loud[d:]
+    near &= real
+    number, shown = np.cumsum(near) - 1, np.flatnonzero(near)
+    belief, weight = np.zeros((len(shown), LABELS)), np.zeros(len(shown))
     ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
-    for at in range(0, len(jobs), BATCH):
-        some = jobs[at : at + BATCH]
-        grid = np.full((len(some), WINDOW), space)
-        for row, (i, s) in enumerate(some):
-            own = codes[i][s : s + WINDOW]
-            grid[row, : len(own)] = own
-        scores, _ = _forward(net, grid)
-        posterior = marginals(net, scores)[0]
-        for row, (i, s) in enumerate(some):
-            n = min(WINDOW, len(parts[i]) - s)
-            belief[i][s : s + n] += posterior[:n, row] * ramp[:n, None]
-            weight[i][s : s + n] += ramp[:n]
-    out = []
-    for b, w in zip(belief, weight):
-        labels = best_labels(net, b / w[:, None]).tolist()
-        spans, start = [], None
-        for t, label in enumerate([*labels, 0]):
-            if start is not None and (label == 0 or label % 2 == 1):
-                spans.append(((labels[start] - 1) // 2, start, t))
-                start = None
-            if label % 2 == 1:
-                start = t
-        out.append(spans)
+    for places, found in kept:
+        t, w = np.nonzero(near[places])
+        rows = number[places[t, w]]
+        np.add.at(belief, rows, found[t, :, w] * ramp[t, None])
+        np.add.at(weight, rows, ramp[t])
+    belief /= weight[:, None]
+    for (i, a, b), offset in zip(group, first):
+        x, y = np.searchsorted(shown, [a + offset, b + offset])
+        yield i, shown[x:y] - offset, belief[x:y]
+
+
+def best_labels(belief: list[np.ndarray]) -> list[np.ndarray]:
+    """The most likely lawful label sequence for each ``belief[place, label]``, those of like length side by side."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(belief)
+    order = sorted(range(len(belief)), key=lambda k: len(belief[k]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and len(belief[order[end]]) <= 2 * len(belief[order[at]]) and len(belief[order[end]]) * (end + 1 - at) <= PART // 8:
+            end += 1
+        some, at = order[at:end], end
+        length = len(belief[some[-1]])
+        score = np.full((length, LABELS, len(some)), -1e4)
+        score[:, 0] = 0
+        for n, k in enumerate(some):
+            score[: len(belief[k]), :, n] = np.log(belief[k] + FLOOR)
+        best = score[0].copy()
+        best[2::2] = -1e4
+        # Whatever a label inside its kind does not follow, the best of all labels precedes.
+        top, goes_on = np.empty((length, len(some)), np.int64), np.empty((length, len(KINDS), len(some)), bool)
+        for t in range(1, length):
+            best.argmax(0, out=top[t])
+            np.greater_equal(best[2::2], best[1::2], out=goes_on[t])
+            own = np.maximum(best[2::2], best[1::2])
+            best = best.max(0) + score[t]
+            np.add(own, score[t, 2::2], out=best[2::2])
+        labels, rows = np.empty((length, len(some)), np.int64), np.arange(len(some))
+        labels[-1] = best.argmax(0)
+        for t in range(length - 1, 0, -1):
+            now = labels[t]
+            inside = (now > 0) & (now % 2 == 0)
+            labels[t - 1] = np.where(inside, now - ~goes_on[t, np.maximum(now - 1, 0) // 2, rows], top[t])
+        for n, k in enumerate(some):
+            out[k] = labels[: len(belief[k]), n]
+    return out
+
+
+def _decoded(belief: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """:func:`best_labels` of each stretch of places.
+
+    In a run of places that are likeliest outside, a span that comes from before the run and goes
+    on to a place loses the lead of the places before it to a span that begins there, if that lead
+    is more than beginning there costs; likewise a span that goes on behind the run. A place where
+    both hold is outside in the best sequence, so stretches fall apart there. Where the likeliest
+    labels of a piece are lawful as they are, they are its best sequence.
+    """
+    labels = belief.argmax(1)
+    lead = np.log(belief[:, 0] + FLOOR) - np.log(belief[:, 1:].max(1) + FLOOR)
+    cost = np.log(((belief[:, 2::2] + FLOOR) / (belief[:, 1::2] + FLOOR)).max(1)) + 1e-6
+    ahead = lead > 0
+    sums = np.cumsum(np.where(ahead, lead, 0.0))
+    before = sums - np.where(ahead, lead, 0.0)
+    opens, closes = np.zeros(len(labels), bool), np.zeros(len(labels), bool)
+    opens[starts], closes[np.append(starts[1:], len(labels)) - 1] = True, True
+    left = before - np.maximum.accumulate(np.where(ahead, np.where(opens, before, 0.0), sums))
+    right = np.minimum.accumulate(np.where(ahead & ~closes, np.inf, sums)[::-1])[::-1] - sums
+    behind = np.minimum.accumulate(np.where(ahead & ~closes, len(labels), np.arange(len(labels)))[::-1])[::-1]
+    sure = np.flatnonzero(ahead & (left > np.maximum(cost, 0)) & (ahead[behind] | (right > np.maximum(cost, 0)[behind])))
+    starts = np.unique(np.concatenate([starts, sure, sure[sure + 1 < len(labels)] + 1]))
+    lawful = np.append(True, allowed_moves()[labels[:-1], labels[1:]])
+    lawful[starts] = (labels[starts] == 0) | (labels[starts] % 2 == 1)
+    ends = np.append(starts[1:], len(belief))
+    pieces = [slice(starts[k], ends[k]) for k in np.unique(np.searchsorted(starts, np.flatnonzero(~lawful), "right") - 1)]
+    for piece, own in zip(pieces, best_labels([belief[p] for p in pieces])):
+        labels[piece] = own
+    return labels
+
+
+def tag_zones(net: Tagger, texts: list[str]) -> list[list[Span]]:
+    """Spans of each text. Every character is read, in overlapping windows that are decoded to label
+    posteriors and averaged; one global decoding of the text's averages reconciles them.
+
+    The decoding is that of the whole text: places further than ``PAD`` from any that isn't quiet
+    are outside in the best sequence, so only the others are gone through.
+    """
+    weights = _single(net)
+    codes = [symbols_of(t).astype(np.uint8) for t in texts]
+    out: list[list[Span]] = [[] for _ in texts]
+    texts_of: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    belief: list[np.ndarray] = []
+    groups = list(_groups([len(c) for c in codes]))
+    for group in groups:
+        for i, where, what in _beliefs(weights, codes, group):
+            texts_of.append(np.full(len(where), i))
+            places.append(where)
+            belief.append(what)
+        last, _, end = group[-1]
+        if group is not groups[-1] and (end < len(codes[last]) or sum(map(len, places)) < PART):
+            continue
+        of, where, what = np.concatenate(texts_of), np.concatenate(places), np.concatenate(belief)
+        texts_of, places, belief = [], [], []
+        if not len(of):
+            continue
+        starts = np.flatnonzero(np.append(True, (np.diff(where) != 1) | (np.diff(of) != 0)))
+        labels = _decoded(what, starts)
+        begins = np.flatnonzero(labels % 2 == 1)
+        # A span ends before the next label that doesn't go on, or with its stretch.
+        stops = np.sort(np.concatenate([np.flatnonzero((labels == 0) | (labels % 2 == 1)), starts, [len(labels)]]))
+        ends = stops[np.searchsorted(stops, begins, "right")] - 1
+        for i, label, a, b in zip(of[begins].tolist(), labels[begins].tolist(), where[begins].tolist(), where[ends].tolist()):
+            out[i].append(((label - 1) // 2, a, b + 1))
     return out
 
 
@@ -424,34 +583,24 @@ def find_spans(net: Tagger, texts: list[str | None]) -> list[tuple[list[Span], l
     continues it. Null and empty texts have none. Offsets are code points, the end exclusive.
     """
     out: list[tuple[list[Span], list[Span]]] = [([], []) for _ in texts]
-    work: list[tuple[int, int]] = []
-    parts: list[str] = []
-    taken: dict[int, bytearray] = {}
-    for i, text in enumerate(texts):
-        if text and _TRIGGER.search(text):
-            base = base_spans(text)
-            out[i] = (base, base)
-            for a, b in zones(text):
-                work.append((i, a))
-                parts.append(text[a:b])
-    for (i, at), spans in zip(work, tag_zones(net, parts)):
-        text, (base, found) = texts[i], out[i]
+    work = [i for i, text in enumerate(texts) if text]
+    for i, spans in zip(work, tag_zones(net, [texts[i] for i in work])):
+        text, base = texts[i], base_spans(texts[i])
+        out[i] = (base, base)
         more = []
-        if spans and i not in taken:
-            taken[i] = bytearray(len(text))
-            for _, x, y in base:
-                taken[i][x:y] = b"\1" * (y - x)
+        taken = bytearray(len(text) if spans else 0)
+        for _, x, y in base if spans else ():
+            taken[x:y] = b"\1" * (y - x)
         for kind, s, e in spans:
-            s, e = s + at, e + at
             while s < e and text[s] in " \n":
                 s += 1
             while s < e and text[e - 1] in " \n.,-":
                 e -= 1
             alone = not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum())
-            if s < e and alone and _plausible(kind, text[s:e]) and not any(taken[i][s:e]):
+            if s < e and alone and _plausible(kind, text[s:e]) and not any(taken[s:e]):
                 more.append((kind, s, e))
         if more:
-            out[i] = (base, sorted([*found, *more]))
+            out[i] = (base, sorted([*base, *more]))
     return out
 
 
@@ -469,21 +618,6 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-_DOTTED, _BRACED = re.compile(b"dot", re.IGNORECASE), re.compile(rb"[\[({] ?at", re.IGNORECASE)
-
-
-def _with_triggers(column: pa.Array) -> list[str | None]:
-    """The texts that may hold what the network reads around; null for all others, which are not decoded."""
-    data, offsets = flat_utf8(column)
-    hit = ((data >= 48) & (data <= 57)) | (data == 64)
-    raw = data.tobytes()
-    for pattern in (_DOTTED, _BRACED):
-        hit[[m.start() for m in pattern.finditer(raw)]] = True
-    total = np.concatenate([[0], np.cumsum(hit)])
-    has = total[offsets[1:]] > total[offsets[:-1]]
-    return [column[i].as_py() if has[i] else None for i in range(len(column))]
-
-
 def find_personal_data(docs: DataFrame, text_col: str = "text", seed: int = 7) -> DataFrame:
     """``docs`` with ``n_email, n_ip, n_card, n_phone`` (rule spans), ``base_sha256`` and ``spans``.
 
@@ -498,7 +632,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", seed: int = 7) -
     def run(column: pa.Array) -> pa.Array:
         rows: list[tuple] = []
         for at in range(0, len(column), 1024):
-            for base, spans in find_spans(net.value, _with_triggers(column[at : at + 1024])):
+            for base, spans in find_spans(net.value, column[at : at + 1024].to_pylist()):
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
                 rows.append((*counts, hashlib.sha256(write_spans(base).encode()).hexdigest(), write_spans(spans)))
         columns = list(zip(*rows)) if rows else [()] * 6
@@ -520,10 +654,9 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text", seed: int = 7)
         out: list[pa.Array] = []
         for at in range(0, len(column), 1024):
             part = column[at : at + 1024]
-            texts = _with_triggers(part)
-            found = find_spans(net.value, texts)
+            values = part.to_pylist()
+            found = find_spans(net.value, values)
             if any(spans for _, spans in found):
-                values = part.to_pylist()
                 part = pa.array([redact(v, spans) if spans else v for v, (_, spans) in zip(values, found)], column.type)
             out.append(part)
         return pa.concat_arrays(out) if out else column
