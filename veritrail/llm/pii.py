@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lstm_graph import lstm_graph, session
 from .scratch import spare, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -325,6 +326,8 @@ def _window_starts(length: int) -> np.ndarray:
 
 #: Windows that go through the network at a time. There are always as many, so that a window's figures don't depend on its neighbours.
 BATCH = 384
+#: Of these, as many at a time through the LSTM, as its gates for whole windows lie in memory.
+LSTM_BATCH = 96
 #: Characters whose posteriors are held at a time.
 PART = 1 << 19
 #: Posteriors are floored at ``FLOOR`` for decoding: no place is worth more than ``LEAD``, so what gains more by being outside is outside.
@@ -333,41 +336,21 @@ FLOOR, LEAD = 1e-9, 21.0
 QUIET, PAD = 0.1, 10
 
 
-def _single(net: Tagger) -> tuple[np.ndarray, ...]:
-    """Weights in single precision for :func:`posteriors`: sigmoids as tanh of halves, hidden states doubled, bias as a column."""
-    gates = np.concatenate([net.gates[:, :EMBED], net.bias, net.gates[:, EMBED:] / 2], 1).swapaxes(1, 2).copy()
-    gates[:, : 3 * HIDDEN] /= 2
+def _single(net: Tagger) -> tuple:
+    """The network in single precision for :func:`posteriors`: a session that gives emission scores less that of the outside, and factors of moves."""
     moves, _ = _chain(net)
-    embed, gates, out, out_bias, moves = (np.ascontiguousarray(x, np.float32) for x in (net.embed.T, gates.swapaxes(1, 2), net.out.T / 2, net.out_bias[:, None], np.exp(moves)))
-    return embed, gates.swapaxes(1, 2), out, out_bias, moves
+    model = lstm_graph(net.embed, net.gates, net.bias, net.out - net.out[:, :1], net.out_bias - net.out_bias[0])
+    return session(model), np.exp(moves).astype(np.float32)
 
 
-def posteriors(weights: tuple[np.ndarray, ...], symbols: np.ndarray) -> np.ndarray:
+def posteriors(weights: tuple, symbols: np.ndarray) -> np.ndarray:
     """The posteriors ``[place, label, window]`` that :func:`_forward` and :func:`marginals` give for ``symbols[place, window]``, with windows side by side in memory."""
-    embed, gates, out, out_bias, moves = weights
+    network, moves = weights
     length, count = symbols.shape
-    seen = np.take(embed, symbols, axis=1)
-    x = np.zeros((2, EMBED + 1 + HIDDEN, count), np.float32)
-    x[:, EMBED] = 1
-    z, c, u = np.empty((2, 4 * HIDDEN, count), np.float32), np.zeros((2, HIDDEN, count), np.float32), np.empty((2, HIDDEN, count), np.float32)
-    states = np.empty((length, 2 * HIDDEN, count), np.float32)
-    i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-    for t in range(length):
-        x[0, :EMBED], x[1, :EMBED] = seen[:, t], seen[:, length - 1 - t]
-        np.matmul(gates, x, out=z)
-        np.tanh(z, out=z)
-        z[:, : 3 * HIDDEN] += 1
-        c *= f
-        np.multiply(i, g, out=u)
-        c += u
-        c *= 0.5
-        np.tanh(c, out=u)
-        u *= o
-        x[:, EMBED + 1 :] = u
-        states[t, :HIDDEN], states[length - 1 - t, HIDDEN:] = u
-    scores = np.matmul(out, states)
-    scores += out_bias
-    scores -= scores[:, :1].copy()
+    scores = np.empty((length, LABELS, count), np.float32)
+    for k in range(0, count, LSTM_BATCH):
+        (some,) = network.run(None, {"symbols": symbols[:, k : k + LSTM_BATCH].astype(np.int32, order="C")})
+        scores[:, :, k : k + LSTM_BATCH] = some.swapaxes(1, 2)
     np.clip(scores, -30, 30, out=scores)
     np.exp(scores, out=scores)
     # Scaled at every second place, which single precision bears after the clip.
@@ -405,7 +388,7 @@ def _groups(lengths: list[int]) -> Iterator[list[tuple[int, int, int]]]:
         yield group
 
 
-def _beliefs(weights: tuple[np.ndarray, ...], codes: list[np.ndarray], group: list[tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _beliefs(weights: tuple, codes: list[np.ndarray], group: list[tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each part of the group the places at most ``PAD`` from one that isn't quiet, and their mean posteriors.
 
     All windows that touch the part are read whole. Where they overlap their posteriors are
