@@ -2,9 +2,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from veritrail.boundary_queries import sink_html_report
 from veritrail.operators.planning import candidate_pairs
 from veritrail.plans import generate as G
+from veritrail.plans import reports
 from veritrail.plans.reports import best_config, html_report, json_for_html
+from veritrail.queries import Tables
 
 
 class Writer:
@@ -73,3 +76,18 @@ def test_report_is_whole(spark):
     assert table.count("<tr>") == n + 1 and [int(x.split("<")[0]) for x in table.split("<tr><td>")[1:]] == list(range(n))
     shown = [json.loads(x.split("</script>")[0]) for x in page.split("<script type='application/json'>")[1:]]
     assert shown == [[{"id": i, "t": f"<{i}>\r\n"} for i in range(n)], []]
+
+
+def test_report_of_all_runs(spark, tmp_path, monkeypatch):
+    ids, n = [0, *(i for i in range(60) if i % 5)], 12
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(s, k, 10.0 * k, "F") for s in "ab" for k in range(n)], "o_orderpriority string, o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    pieces, told = [], reports.html_pieces
+    monkeypatch.setattr(reports, "html_pieces", lambda *a: (pieces.append(p) or p for p in told(*a)))
+    assert [tuple(r) for r in sink_html_report(Tables(spark, str(tmp_path))).collect()] == [(4, 4, 1)]
+    parts = {p.split("</h2>")[0]: p for p in "".join(pieces).split("<h2>")[1:]}
+    shown = {name: json.loads(p.split("<script type='application/json'>")[1].split("</script>")[0]) for name, p in parts.items()}
+    assert all(p.split("</table>")[0].count("<tr>") == len(shown[name]) + 1 for name, p in parts.items())
+    assert [(r["run_id"], r["question_id"]) for r in shown["Questions"]] == sorted((i % 5, i // 5) for i in ids)
+    assert [(r["run_id"], r["total_cases"]) for r in shown["Summary"]] == [(r["run_id"], r["n"]) for r in shown["Reading"]] == [(0, 1), (1, n), (2, n), (3, n), (4, n)]
+    assert [(r["tune_id"], r["trial_index"], r["x"]) for r in shown["Improvement loop"]] == [(s, k, k + 1) for s in "ab" for k in range(n)]

@@ -65,20 +65,20 @@ def json_for_html(t):
 
 @query(f"WITH {CASES} SELECT 4 AS sections, (SELECT count(DISTINCT verdict) FROM cases) AS verdicts, (SELECT count(*) FROM cases WHERE run_id = 0) AS explained")
 def sink_html_report(t):
-    """The page of run 0, told by what stands in it."""
-    rows = t.cases.where("run_id = 0").withColumns(
+    """The page of all runs, told by what stands in it; ``explained`` are its cases of run 0."""
+    rows = t.cases.withColumns(
         {
             "question": F.lit("q"), "expected": F.lit("the"), "answer": F.lit("a"), "rank": F.when(F.col("hit"), 1), "contexts": F.array(F.lit("the <passage>")), "gold_text": F.lit("the gold"),
             "rationale": F.lit(None).cast("string"), "error": F.col("adapter_error"),
         }
     )
     section, heads, labels, explained = "", 0, set(), 0
-    for piece in H.html_pieces("Check", H.run_sections(rows, t.runs, t.trials.where("trial_index < 3"))):
+    for piece in H.html_pieces("Check", H.run_sections(rows, t.runs, t.trials, ["run_id"])):
         if piece.startswith("<h2>"):
             section, heads = piece[4:].split("</h2>")[0], heads + 1
-        elif piece.startswith("<tr>"):
+        elif section == "Questions" and piece.startswith("<tr>"):
             labels |= {label for label in LABELS.values() if f"<td>{label}</td>" in piece}
-            explained += section == "Questions"
+            explained += piece.startswith("<tr><td>0</td>")
     return t.spark.createDataFrame([(heads - 1, len(labels), explained)], "sections bigint, verdicts bigint, explained bigint")
 
 

@@ -219,10 +219,11 @@ def bullets(cards: DataFrame) -> DataFrame:
     return cards.withColumn("bullets", F.when(F.col("n") > 0, said).otherwise(F.array().cast("array<string>")))
 
 
-def loop_view(trials: DataFrame, last: int = LAST_TRIALS) -> DataFrame:
-    """The last trials of each search with their place ``x`` from 1, left to right."""
-    shown = trials.withColumn("__n", F.row_number().over(Window.partitionBy("tune_id").orderBy(F.desc("trial_index")))).where(F.col("__n") <= last).drop("__n")
-    return ordered(shown, ["tune_id"], ["trial_index"], "x")
+def loop_view(trials: DataFrame, last: int | None = LAST_TRIALS) -> DataFrame:
+    """The last trials of each search, or all where ``last`` is None, with their place ``x`` from 1, left to right."""
+    if last is not None:
+        trials = trials.withColumn("__n", F.row_number().over(Window.partitionBy("tune_id").orderBy(F.desc("trial_index")))).where(F.col("__n") <= last).drop("__n")
+    return ordered(trials, ["tune_id"], ["trial_index"], "x")
 
 
 def tune_extra(trials: DataFrame) -> DataFrame:
